@@ -48,3 +48,40 @@ def fit_first_send(history: DataFrame) -> DataFrame:
     """Learn each campaign's first sending month once (a table of
     one row per campaign)."""
     return history.groupBy("i").agg(F.min("send_date").alias("first_send"))
+
+
+def member_features(
+    members: DataFrame,
+    giving: DataFrame,
+    promotions: DataFrame,
+    targets: DataFrame,
+    ref,
+    scale: float,
+    segments: Sequence[str],
+    key: str = "member_id",
+) -> tuple[DataFrame, list[str]]:
+    """Model table: one row per member with numeric features (non-donors get
+    zeros and a recency of 99 months) and the targets.  All inputs are keyed
+    by member, so the joins are co-partitioned on the key."""
+    ref_idx = fx.month_index(F.lit(ref))
+    g = giving.select(
+        key,
+        F.col("ngiftall").cast("double").alias("n_gifts"),
+        (F.col("ramntall") / scale).alias("total_amount"),
+        (F.col("avggift") / scale).alias("mean_gift"),
+        (F.col("lastgift") / scale).alias("last_gift"),
+        (ref_idx - fx.month_index(F.col("lastdate"))).cast("double").alias("months_since_last"),
+        F.col("timelag").cast("double").alias("timelag"),
+    )
+    p = promotions.select(key, F.col("numprom").cast("double").alias("n_promotions"),
+                          F.col("n_responses").cast("double").alias("n_responses"))
+    m = members.select(key, (F.col("acctbal") / 1000.0).alias("acctbal"), "segment")
+    j = m.join(targets, key, "inner").join(g, key, "left").join(p, key, "left")
+    zero = ["n_gifts", "total_amount", "mean_gift", "last_gift", "timelag", "n_promotions", "n_responses"]
+    j = j.fillna(0.0, zero).fillna(99.0, ["months_since_last"])
+    seg = [F.coalesce(F.col("segment") == F.lit(s), F.lit(False)).cast("double").alias(f"seg_{s}") for s in segments]
+    names = ["acctbal"] + zero[:4] + ["months_since_last", "timelag", "n_promotions", "n_responses"] + [
+        f"seg_{s}" for s in segments
+    ]
+    out = j.select(key, "target_b", "target_d", *[c for c in names if not c.startswith("seg_")], *seg)
+    return out, names
