@@ -143,7 +143,6 @@ def with_prefix_sums(
     for c in sum_cols:
         sl = sl.withColumn(f"_lcum_{c}", F.sum(c).over(local))
     out = _attach(sl, off, ["_slice", *group_cols])
-    cols = [F.col("_off_cnt") + F.col("_lpos")]
     out = out.withColumn("_pos", F.col("_off_cnt") + F.col("_lpos"))
     for c in sum_cols:
         out = out.withColumn(
@@ -152,7 +151,6 @@ def with_prefix_sums(
     drop = ["_slice", "_lpos", "_off_cnt"] + [f"_off_{c}" for c in sum_cols] + [
         f"_lcum_{c}" for c in sum_cols
     ]
-    del cols
     return out.drop(*drop)
 
 
@@ -178,23 +176,21 @@ def exact_quantiles(
     """Exact linear-interpolation quantiles (``percentile`` /
     ``quantile_cont``) per group, with hot groups split across slices.
 
-    Output: group columns + one column ``q<i>`` per probability.  Nulls in
-    ``value_col`` are ignored, as in SQL."""
-    base = df.where(F.col(value_col).isNotNull())
-    order: list[tuple[str, bool]] = [(value_col, True)]
-    if key_col:
-        order.append((key_col, True))
-    ranked = with_positions(
-        base.select(*group_cols, value_col, *([key_col] if key_col else [])),
-        order,
-        group_cols,
-        slices,
+    The rows are first reduced to (group, value, count) by a partial +
+    final aggregation, so repeated values cost nothing; running counts in
+    value order then give each distinct value its position range, and only
+    the values covering the needed positions survive.  Output: group
+    columns + one column ``q<i>`` per probability.  Nulls are ignored."""
+    del key_col  # ties share a value: the order among them does not matter
+    counts = (
+        df.where(F.col(value_col).isNotNull())
+        .groupBy(*group_cols, value_col)
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    # Positions needed per group and probability: floor and ceil of
-    # h = (n - 1) * p + 1; only those rows survive the filter.
+    pref = with_prefix_sums(counts, [(value_col, True)], ["_c"], group_cols, slices)
     want = []
     for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p)) + 1
+        h = (F.col("tot__c") - 1) * F.lit(float(p)) + 1
         want.append(
             F.struct(
                 F.lit(i).alias("qi"),
@@ -203,12 +199,16 @@ def exact_quantiles(
                 (h - F.floor(h)).alias("frac"),
             )
         )
-    picked = ranked.select(
-        *group_cols, value_col, "_pos", F.explode(F.array(*want)).alias("w")
-    ).where((F.col("_pos") == F.col("w.lo")) | (F.col("_pos") == F.col("w.hi")))
+    first = F.col("cum__c") - F.col("_c") + 1
+    last = F.col("cum__c")
+    has_lo = (first <= F.col("w.lo")) & (F.col("w.lo") <= last)
+    has_hi = (first <= F.col("w.hi")) & (F.col("w.hi") <= last)
+    picked = pref.select(
+        *group_cols, value_col, "_c", "cum__c", F.explode(F.array(*want)).alias("w")
+    ).where(has_lo | has_hi)
     per = picked.groupBy(*group_cols, F.col("w.qi").alias("qi")).agg(
-        F.max(F.when(F.col("_pos") == F.col("w.lo"), F.col(value_col))).alias("vlo"),
-        F.max(F.when(F.col("_pos") == F.col("w.hi"), F.col(value_col))).alias("vhi"),
+        F.max(F.when(has_lo, F.col(value_col))).alias("vlo"),
+        F.max(F.when(has_hi, F.col(value_col))).alias("vhi"),
         F.first("w.frac").alias("frac"),
     )
     per = per.select(

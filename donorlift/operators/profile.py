@@ -40,10 +40,35 @@ def value_counts(df: DataFrame, cols: Sequence[str], keep_null: bool = False) ->
     return lv.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
+
+
+def typed_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, value, cnt) with nulls, without casting numbers to text:
+    numeric columns are counted as doubles, the rest as strings; the count
+    tables are then united with the value rendered as text only for the
+    (far fewer) distinct values."""
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    num = [c for c in cols if types[c].startswith(NUMERIC)]
+    other = [c for c in cols if c not in num]
+    parts = []
+    if num:
+        lv = long_values(df, num, "double")
+        parts.append(lv.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+                     .select("feature", F.col("value").cast("string").alias("value"), "cnt"))
+    if other:
+        lv = long_values(df, other, "string")
+        parts.append(lv.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A1 + A2: per column: rows, non-null, distinct, top-1 and top-2
     counts, their ratio and the share of distinct values."""
-    vc = value_counts(df, cols, keep_null=True)
+    vc = typed_value_counts(df, cols)
     nn = F.col("value").isNotNull()
     s1 = vc.groupBy("feature").agg(
         F.sum("cnt").alias("n_rows"),

@@ -84,21 +84,35 @@ def gifts(t: Tables) -> DataFrame:
     )
 
 
-def targets(t: Tables) -> DataFrame:
-    """Response to the campaign: any order on/after REF; amount = their sum.
-
-    Aggregate first (partial + final aggregation on the key), then one
-    left join to the member keys; both sides are keyed on member_id."""
+def member_orders(t: Tables) -> DataFrame:
+    """One scan and one shuffle of orders for everything keyed by member:
+    gifts before REF (count, recent count, sum) and the response after REF
+    (count, sum), by conditional aggregates with map-side partial
+    aggregation, then a left join to all member keys."""
     o = t.orders
-    resp = (
-        o.where(o.o_orderdate >= F.lit(_dt.datetime(2001, 7, 1)))
-        .groupBy(F.col("o_custkey").alias("member_id"))
-        .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("_amt"))
+    before = o.o_orderdate < F.lit(_dt.datetime(2001, 7, 1))
+    back = month_index(_ref()) - month_index(o.o_orderdate.cast("date"))
+    amt = o.o_totalprice.cast("decimal(18,2)")
+    agg = o.groupBy(o.o_custkey.alias("member_id")).agg(
+        F.count_if(before & (back <= 24)).alias("_recent"),
+        F.count_if(before).alias("_all"),
+        F.sum(F.when(before, amt)).alias("_sum"),
+        F.count_if(~before).alias("_nresp"),
+        F.sum(F.when(~before, amt)).alias("_amt"),
     )
     keys = t.customer.select(F.col("c_custkey").alias("member_id"))
-    return keys.join(resp, "member_id", "left").select(
+    return keys.join(agg, "member_id", "left")
+
+
+def targets(t: Tables) -> DataFrame:
+    """Response to the campaign: any order on/after REF; amount = their sum."""
+    return _targets_of(member_orders(t))
+
+
+def _targets_of(mo: DataFrame) -> DataFrame:
+    return mo.select(
         "member_id",
-        F.when(F.col("_amt").isNotNull(), 1).otherwise(0).cast("int").alias("target_b"),
+        F.when(F.coalesce(F.col("_nresp"), F.lit(0)) > 0, 1).otherwise(0).cast("int").alias("target_b"),
         F.coalesce(F.col("_amt"), F.lit(0)).cast("double").alias("target_d"),
     )
 
@@ -203,19 +217,13 @@ def raw_members(t: Tables) -> DataFrame:
 
 def scored(t: Tables) -> DataFrame:
     """Rule score per member, no model needed:
-    p = gifts in the last 24 months / (all gifts + 1), d_hat = mean gift."""
-    g = gifts(t)
-    recent = month_index(_ref()) - month_index(F.col("gift_date")) <= 24
-    agg = g.groupBy("member_id").agg(
-        F.count(F.when(recent, 1)).alias("_recent"),
-        F.count(F.lit(1)).alias("_all"),
-        F.sum(F.col("amount").cast("decimal(18,2)")).alias("_sum"),
-    )
-    tg = targets(t)
-    return tg.join(agg, "member_id", "left").select(
+    p = gifts in the last 24 months / (all gifts + 1), d_hat = mean gift.
+    Scores and targets come from the same single aggregation of orders."""
+    mo = member_orders(t)
+    return mo.select(
         "member_id",
         (F.coalesce(F.col("_recent"), F.lit(0)) / (F.coalesce(F.col("_all"), F.lit(0)) + 1)).alias("p"),
-        (F.col("_sum").cast("double") / F.col("_all")).alias("d_hat"),
-        "target_b",
-        "target_d",
+        (F.col("_sum").cast("double") / F.when(F.col("_all") > 0, F.col("_all"))).alias("d_hat"),
+        F.when(F.coalesce(F.col("_nresp"), F.lit(0)) > 0, 1).otherwise(0).cast("int").alias("target_b"),
+        F.coalesce(F.col("_amt"), F.lit(0)).cast("double").alias("target_d"),
     )
