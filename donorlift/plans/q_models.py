@@ -233,3 +233,23 @@ def q_stream_score(spark, sf_dir):
     model = pipe.fit(ff.df)
     feats = ff.df.select("member_id", "features")
     return st.score_stream(spark, sf_dir, model, feats, "member_id")
+
+
+# ---- neighbours (R7, I5) ------------------------------------------------------------
+@register("smote", None, ids="R7")
+def q_smote(spark, sf_dir):
+    from donorlift.operators.neighbors import borderline_smote
+
+    ff = feature_frame(spark, sf_dir)
+    return borderline_smote(ff.df.select("member_id", "target_b", *ff.names), "member_id", "target_b",
+                            ff.names, ratio=0.5, m=10, k=5)
+
+
+@register("impute_knn", None, ids="I5")
+def q_impute_knn(spark, sf_dir):
+    from donorlift.operators.neighbors import knn_impute
+
+    ff = feature_frame(spark, sf_dir)
+    wide = _mtd_wide(spark, sf_dir)
+    tab = ff.df.select("member_id", *ff.names).join(wide, "member_id", "left")
+    return knn_impute(tab, "member_id", ff.names, MTD_COLS, k=5)
