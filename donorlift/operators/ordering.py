@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from donorlift.session import ensure_checkpoint_dir
 
+
 # Offsets tables up to this many rows are broadcast; bigger ones are joined
 # with a shuffle.  The table has (slices x groups) rows, so it is bounded by
 # the number of groups, never by the number of rows.
@@ -91,6 +92,9 @@ def _offsets(
 
 
 def _attach(sl: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the offsets (slices x groups rows) back: broadcast after a
+    count shows it is small, so the big sliced side is never shuffled;
+    otherwise a shuffle join."""
     n = off.count()
     if n <= BROADCAST_OFFSETS_MAX_ROWS:
         off = F.broadcast(off)

@@ -178,33 +178,62 @@ def mailing_summary(
     amount_col: str,
     pred_amount_col: str,
     unit_cost: float,
-    kstar: int,
+    kstar: int | None = None,
     n_grid: int = DEFAULT_GRID,
 ) -> DataFrame:
     """G9/G7/A21 at alpha*: mailed count; min/mean/std/max of profit per
-    mailed member; realised and predicted total; share of the maximum;
-    one aggregation over the members."""
-    m = mailed_at(crit_col, kstar, n_grid)
+    mailed member; realised and predicted total; share of the maximum.
+
+    One pass over the members: they are reduced to one row per first-mailed
+    grid index (plus one row for the never mailed) with count, sum, sum of
+    squares, min, max, predicted sum and responders' sum; alpha* (unless
+    given) and every statistic then come from that table of <= N + 1 rows."""
+    b = first_mailed_index(F.col(crit_col), n_grid)
+    never = F.lit(n_grid)
+    k = F.when(b.isNull() | (b > n_grid - 1), never).otherwise(b)
     net = _net(F.col(amount_col), unit_cost)
     pnet = F.col(pred_amount_col) - F.lit(unit_cost)
-    agg = df.agg(
-        F.count(F.when(m, 1)).alias("n_mailed"),
-        F.sum(F.when(m, net)).alias("_s"),
-        F.min(F.when(m, net)).cast("double").alias("min_profit"),
-        F.max(F.when(m, net)).cast("double").alias("max_member_profit"),
-        F.stddev_samp(F.when(m, net.cast("double"))).alias("_sd"),
-        F.sum(F.when(F.col(amount_col) > 0, net)).alias("_mx"),
-        F.sum(F.when(m, pnet)).alias("_pred"),
+    stats = df.select(k.alias("k"), net.alias("net"), pnet.alias("pnet"),
+                      (F.col(amount_col) > 0).alias("resp")).groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("net").alias("s"),
+        F.sum(F.col("net").cast("double") * F.col("net").cast("double")).alias("ss"),
+        F.min("net").alias("mn"),
+        F.max("net").alias("mx"),
+        F.sum("pnet").alias("ps"),
+        F.sum(F.when(F.col("resp"), F.col("net"))).alias("rs"),
+    )
+    mailed_rows = F.col("k") < n_grid
+    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    allw = Window.partitionBy()
+    t = stats.withColumn("_cum", F.when(mailed_rows, F.sum(F.when(mailed_rows, F.col("s"))).over(w)))
+    if kstar is None:
+        best = F.max(F.when(mailed_rows, F.struct(F.col("_cum"), (-F.col("k")).alias("nk")))).over(allw)
+        t = t.withColumn("_kstar", -best["nk"])
+    else:
+        t = t.withColumn("_kstar", F.lit(kstar).cast("long"))
+    sel = mailed_rows & (F.col("k") <= F.col("_kstar"))
+    agg = t.agg(
+        F.max("_kstar").alias("k"),
+        F.sum(F.when(sel, F.col("n"))).alias("n_mailed"),
+        F.sum(F.when(sel, F.col("s"))).alias("_s"),
+        F.sum(F.when(sel, F.col("ss"))).alias("_ss"),
+        F.min(F.when(sel, F.col("mn"))).cast("double").alias("min_profit"),
+        F.max(F.when(sel, F.col("mx"))).cast("double").alias("max_member_profit"),
+        F.sum("rs").alias("_mx"),
+        F.sum(F.when(sel, F.col("ps"))).alias("_pred"),
     )
+    n = F.col("n_mailed")
     s = F.col("_s").cast("double")
+    var = (F.col("_ss") - s * s / n) / (n - 1)
     return agg.select(
-        F.lit(kstar).cast("long").alias("k"),
-        F.lit(kstar / (n_grid - 1)).alias("alpha"),
-        "n_mailed",
+        F.col("k").cast("long").alias("k"),
+        (F.col("k") / F.lit(n_grid - 1)).alias("alpha"),
+        F.coalesce(n, F.lit(0)).cast("long").alias("n_mailed"),
         s.alias("profit"),
         "min_profit",
-        F.round(s / F.col("n_mailed"), 4).alias("mean_profit"),
-        F.round(F.col("_sd"), 2).alias("std_profit"),
+        F.round(s / n, 4).alias("mean_profit"),
+        F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 2).alias("std_profit"),
         "max_member_profit",
         F.col("_mx").cast("double").alias("max_profit"),
         F.round(s / F.col("_mx").cast("double") * 100, 4).alias("pct_of_max"),

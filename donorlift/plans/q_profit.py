@@ -139,7 +139,7 @@ FROM mailed""",
 )
 def q_mailing_summary(spark, sf_dir):
     s = scored_with_crit(spark, sf_dir)
-    return pr.mailing_summary(s, "crit", "target_d", "d_hat", U, kstar(spark, sf_dir), N)
+    return pr.mailing_summary(s, "crit", "target_d", "d_hat", U, None, N)
 
 
 @register(
