@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from donorlift.functions import codes as fx
@@ -95,16 +95,16 @@ def fit_levels(df: DataFrame, col: str, order: str = "alphabetAsc") -> DataFrame
 
     Output (level, code) with code 1..L in natural (ascending) order, or by
     descending frequency (ties by level) with ``order='frequencyDesc'``.
-    The distinct step is a partial + final aggregation; only the distinct
-    levels reach the numbering window."""
+    The distinct step is a partial + final aggregation; the levels are then
+    numbered by exact distributed positions."""
+    from donorlift.operators.ordering import with_positions
+
     lv = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("level")).agg(
         F.count(F.lit(1)).alias("freq")
     )
-    if order == "frequencyDesc":
-        w = Window.orderBy(F.col("freq").desc(), F.col("level").asc())
-    else:
-        w = Window.orderBy(F.col("level").asc())
-    return lv.select("level", F.row_number().over(w).cast("int").alias("code"))
+    spec = [("freq", False), ("level", True)] if order == "frequencyDesc" else [("level", True)]
+    # distributed numbering: a nominal with very many levels is not ordered in one task
+    return with_positions(lv, spec, pos_col="code").select("level", F.col("code").cast("int").alias("code"))
 
 
 def apply_levels(

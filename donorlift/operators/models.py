@@ -356,3 +356,41 @@ def save_pipeline(model: PipelineModel, path: str) -> None:
 
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def feature_names(df: DataFrame, col: str = "features") -> list[str]:
+    """Feature names of an assembled vector, from its ML attribute
+    metadata (VectorAssembler writes one attribute per slot)."""
+    attrs = df.schema[col].metadata.get("ml_attr", {}).get("attrs", {})
+    slots = [a for group in attrs.values() for a in group]
+    return [a["name"] for a in sorted(slots, key=lambda a: a["idx"])]
+
+
+def record_result(store_root: str, spark, model_name: str, params: str, metric: str, score: float,
+                  model=None) -> DataFrame:
+    """Append (model, params, metric, score, path) to the results table;
+    the fitted model is written only when it beats the best stored score for
+    that metric.  Returns the results table."""
+    import uuid
+
+    table = f"{store_root.rstrip('/')}/results"
+    try:
+        prev = spark.read.parquet(table)
+        best = prev.where(F.col("metric") == metric).agg(F.max("score")).first()[0]
+    except Exception:  # noqa: BLE001 - no table yet
+        best = None
+    path = None
+    if model is not None and (best is None or score > best):
+        path = f"{store_root.rstrip('/')}/models/{model_name}-{uuid.uuid4().hex}"
+        model.write().overwrite().save(path)
+    row = spark.createDataFrame([(model_name, params, metric, float(score), path)],
+                                "model string, params string, metric string, score double, path string")
+    row.write.mode("append").parquet(table)
+    return spark.read.parquet(table)
+
+
+def best_model(results: DataFrame, metric: str) -> DataFrame:
+    """The stored model with the greatest score (max_by)."""
+    r = results.where((F.col("metric") == metric) & F.col("path").isNotNull())
+    return r.agg(F.max_by("model", "score").alias("model"), F.max_by("path", "score").alias("path"),
+                 F.max("score").alias("score"))

@@ -109,6 +109,24 @@ def profit_curve(
     )
 
 
+def predicted_curve(
+    df: DataFrame, crit_col: str, pred_amount_col: str, unit_cost: float, n_grid: int = DEFAULT_GRID
+) -> DataFrame:
+    """G7 over the grid: profit if every mailed member gave its predicted
+    amount (k, profit), one pass as in ``profit_curve``."""
+    spark = df.sparkSession
+    b = first_mailed_index(F.col(crit_col), n_grid)
+    stats = (
+        df.select(b.alias("k"), (F.col(pred_amount_col) - F.lit(unit_cost)).alias("v"))
+        .where(F.col("k").isNotNull() & (F.col("k") <= n_grid - 1))
+        .groupBy("k").agg(F.sum("v").alias("s"))
+    )
+    grid = spark.range(0, n_grid).select(F.col("id").alias("k"))
+    j = grid.join(F.broadcast(stats), "k", "left")
+    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return j.select("k", F.round(F.coalesce(F.sum("s").over(w), F.lit(0.0)), 2).alias("profit"))
+
+
 def alpha_star(curve: DataFrame) -> DataFrame:
     """The grid point of greatest profit; ties go to the smallest
     alpha.  Exact: the curve is a step function evaluated on the grid.

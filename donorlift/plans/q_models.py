@@ -48,10 +48,11 @@ def q_fit_logit(spark, sf_dir):
                                      F.col("prediction").cast("int").alias("pred"))
 
 
-@register("coef_table", None, ids="M10 P9 K2")
+@register("coef_table", None, ids="M10 P9 K2 X6")
 def q_coef_table(spark, sf_dir):
     ff = feature_frame(spark, sf_dir)
-    return md.coef_table(md.logit().fit(ff.df), ff.names, spark)
+    names = md.feature_names(ff.df)  # from the vector's metadata
+    return md.coef_table(md.logit().fit(ff.df), names, spark)
 
 
 @register("fit_forest_amount", None, ids="M7 R9 G7")
@@ -253,3 +254,24 @@ def q_impute_knn(spark, sf_dir):
     wide = _mtd_wide(spark, sf_dir)
     tab = ff.df.select("member_id", *ff.names).join(wide, "member_id", "left")
     return knn_impute(tab, "member_id", ff.names, MTD_COLS, k=5)
+
+
+@register("model_registry", None, ids="S8 V9 V5")
+def q_model_registry(spark, sf_dir):
+    """Fit two classifiers on the learning split, score AUC on the hold-out,
+    record both; a model is stored only when it improves on the best."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    import uuid
+
+    ff = feature_frame(spark, sf_dir)
+    split = sm.stratified_split(ff.df.select("member_id", "target_b"), "member_id", "target_b")
+    learn = ff.df.join(split.where("split = 'train'").select("member_id"), "member_id", "left_semi")
+    hold = ff.df.join(split.where("split = 'test'").select("member_id"), "member_id", "left_semi")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    ev = BinaryClassificationEvaluator(labelCol="target_b", metricName="areaUnderROC")
+    res = None
+    for name, est in (("logit", md.logit()), ("gbt", md.gbt())):
+        m = est.fit(learn)
+        res = md.record_result(root, spark, name, str(est.extractParamMap().get(est.maxIter)), "auc",
+                               ev.evaluate(m.transform(hold)), m)
+    return md.best_model(res, "auc")

@@ -178,3 +178,29 @@ FROM scored""",
 def q_cup_measure(spark, sf_dir):
     s = scored_with_crit(spark, sf_dir).withColumn("pred_amount", F.col("p") * F.col("d_hat"))
     return pr.cup_measure(s, "pred_amount", "target_d", U)
+
+
+@register(
+    "curve_compare",
+    with_views(
+        ["scored"],
+        """
+SELECT k, alpha, kind, profit FROM (
+  SELECT r.k, r.alpha, r.profit AS realised, p.profit AS predicted
+  FROM curve r JOIN pcurve p ON r.k = p.k)
+UNPIVOT (profit FOR kind IN (realised, predicted))""",
+        _CTES[:3] + [("pcurve", """
+SELECT g.k, round(COALESCE(SUM(s.d_hat - 10880.0), 0), 2) AS profit
+FROM grid g LEFT JOIN crit s ON g.k / 9999 > s.c GROUP BY g.k""")],
+    ),
+    ids="J5 U4 G7",
+)
+def q_curve_compare(spark, sf_dir):
+    """The realised curve next to the curve predicted without true amounts
+    (every mailed member assumed to give its predicted amount), joined on
+    the integer grid index (never on the double alpha), then melted."""
+    s = scored_with_crit(spark, sf_dir)
+    real = pr.profit_curve(s, "crit", "target_d", U, N).select("k", "alpha", F.col("profit").alias("realised"))
+    pred = pr.predicted_curve(s, "crit", "d_hat", U, N).select("k", F.col("profit").alias("predicted"))
+    both = real.join(pred, "k")
+    return both.unpivot(["k", "alpha"], ["realised", "predicted"], "kind", "profit")
