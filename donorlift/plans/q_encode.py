@@ -81,10 +81,10 @@ def q_hash_encode(spark, sf_dir):
     "coords_lookup",
     with_views(["members"], """
 SELECT c.c_custkey AS member_id, c.c_nationkey AS zip, m.region,
-  CASE WHEN c.c_nationkey IS NULL THEN NULL WHEN z.k IS NOT NULL THEN z.lat
-       WHEN m.region IN ('MIDDLE EAST') THEN 38.8719 ELSE 0.0 END AS latitude,
-  CASE WHEN c.c_nationkey IS NULL THEN NULL WHEN z.k IS NOT NULL THEN z.lon
-       WHEN m.region IN ('MIDDLE EAST') THEN -77.0563 ELSE 0.0 END AS longitude
+  CAST(CASE WHEN c.c_nationkey IS NULL THEN NULL WHEN z.k IS NOT NULL THEN z.lat
+       WHEN m.region IN ('MIDDLE EAST') THEN 38.8719 ELSE 0.0 END AS DOUBLE) AS latitude,
+  CAST(CASE WHEN c.c_nationkey IS NULL THEN NULL WHEN z.k IS NOT NULL THEN z.lon
+       WHEN m.region IN ('MIDDLE EAST') THEN -77.0563 ELSE 0.0 END AS DOUBLE) AS longitude
 FROM customer c JOIN members m ON c.c_custkey = m.member_id
 LEFT JOIN (SELECT n_nationkey AS k, n_nationkey * 3.0 - 36.0 AS lat, n_regionkey * 60.0 - 120.0 + n_nationkey AS lon
            FROM nation WHERE n_nationkey % 4 <> 0) z ON c.c_nationkey = z.k"""),

@@ -320,7 +320,7 @@ def q_r2(spark, sf_dir):
     with_views(["scored"], """
 SELECT COUNT(CASE WHEN pred = 1 THEN 1 END) AS n_mailed,
   CAST(SUM(CASE WHEN target_b = 1 AND pred = 1 THEN CAST(target_d AS DECIMAL(18,2)) - CAST(10880.0 AS DECIMAL(18,2)) END) AS DOUBLE) AS tp_net,
-  COUNT(CASE WHEN target_b = 0 AND pred = 1 THEN 1 END) * 10880.0 AS fp_cost,
+  CAST(COUNT(CASE WHEN target_b = 0 AND pred = 1 THEN 1 END) * 10880.0 AS DOUBLE) AS fp_cost,
   CAST(SUM(CASE WHEN pred = 1 THEN CAST(target_d AS DECIMAL(18,2)) - CAST(10880.0 AS DECIMAL(18,2)) END) AS DOUBLE) AS net_profit
 FROM pred""", [_PRED]),
     ids="V10",
@@ -332,7 +332,7 @@ def q_campaign_cost(spark, sf_dir):
 @register(
     "recall_ranking",
     with_views(["scored"], """
-SELECT rule, recall, ROW_NUMBER() OVER (ORDER BY recall DESC, rule ASC) AS rank FROM (
+SELECT rule, recall, CAST(ROW_NUMBER() OVER (ORDER BY recall DESC, rule ASC) AS INTEGER) AS rank FROM (
   SELECT 'p>=' || t AS rule,
          round(CAST(COUNT(CASE WHEN target_b = 1 AND p >= CAST(t AS DOUBLE) THEN 1 END) AS DOUBLE)
                / COUNT(CASE WHEN target_b = 1 THEN 1 END), 4) AS recall

@@ -63,7 +63,7 @@ SELECT a.member_id, a.recency,
   CAST(LEAST(GREATEST(CASE a.recency WHEN 'L' THEN a.n24 WHEN 'I' THEN a.n36 ELSE a.n12 END, 1), 4)
        AS INTEGER) AS frequency,
   {_band_sql('l.amount')} AS amount,
-  a.star, a.last_back AS months_since_last
+  a.star, CAST(a.last_back AS INTEGER) AS months_since_last
 FROM (SELECT *,
         CASE WHEN star THEN 'S'
              WHEN first_back <= 6 AND n = 1 THEN 'F'
@@ -217,7 +217,7 @@ def q_star_donors(spark, sf_dir):
 @register(
     "lapsed_members",
     with_views(["gifts"], f"""
-SELECT member_id, last_gift_date, months_since FROM (
+SELECT member_id, last_gift_date, CAST(months_since AS INTEGER) AS months_since FROM (
   SELECT member_id, MAX(gift_date) AS last_gift_date,
          {REF_MONTH} - {month_idx('MAX(gift_date)')} AS months_since
   FROM gifts GROUP BY member_id)

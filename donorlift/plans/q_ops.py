@@ -192,7 +192,7 @@ def q_response_rate(spark, sf_dir):
 @register(
     "top_donors",
     with_views(["gifts"], """
-SELECT member_id, monetary, ROW_NUMBER() OVER (ORDER BY monetary DESC, member_id) AS rank
+SELECT member_id, monetary, CAST(ROW_NUMBER() OVER (ORDER BY monetary DESC, member_id) AS INTEGER) AS rank
 FROM (SELECT member_id, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS monetary
       FROM gifts GROUP BY member_id ORDER BY monetary DESC, member_id LIMIT 50)"""),
     ids="K1 K3 K5",

@@ -97,7 +97,7 @@ WIDE_SQL = _wide_sql()
     "missing_report",
     with_views(["history"], """
 SELECT feature, n_missing, round(n_missing / n, 4) AS missing_share,
-       ROW_NUMBER() OVER (ORDER BY n_missing DESC, feature ASC) AS rank
+       CAST(ROW_NUMBER() OVER (ORDER BY n_missing DESC, feature ASC) AS INTEGER) AS rank
 FROM (
   SELECT feature, CAST(SUM(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
          COUNT(*) AS n
