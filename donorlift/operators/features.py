@@ -50,6 +50,15 @@ def fit_first_send(history: DataFrame) -> DataFrame:
     return history.groupBy("i").agg(F.min("send_date").alias("first_send"))
 
 
+def first_send_lookup(history: DataFrame) -> Column:
+    """E2/Q7 fit, applied as a literal: the learned (campaign -> first send)
+    table has one row per campaign, so it is collected once and becomes a
+    map expression; the history is then not evaluated twice in one plan."""
+    rows = fit_first_send(history).collect()
+    m = F.create_map(*[x for r in rows for x in (F.lit(r["i"]), F.lit(r["first_send"]))])
+    return m[F.col("i")]
+
+
 def member_features(
     members: DataFrame,
     giving: DataFrame,

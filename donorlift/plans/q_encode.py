@@ -107,10 +107,10 @@ def q_coords_lookup(spark, sf_dir):
 
 def _mtd_wide(spark, sf_dir):
     h = si.history(_t(spark, sf_dir))
-    first = fe.fit_first_send(h)
-    long = h.join(F.broadcast(first), "i").select(
+    first = fe.first_send_lookup(h)
+    long = h.select(
         "member_id", "i",
-        fe.months_to_donation(F.col("send_date"), F.col("first_send"), F.col("rdate")).alias("m"),
+        fe.months_to_donation(F.col("send_date"), first, F.col("rdate")).alias("m"),
     )
     return long.groupBy("member_id").agg(
         *[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"MTD_{i}") for i in CAMPAIGNS]

@@ -148,11 +148,10 @@ FROM history h JOIN (SELECT i, MIN(send_date) AS first_send FROM history GROUP B
 )
 def q_months_to_donation(spark, sf_dir):
     h = si.history(_t(spark, sf_dir))
-    first = fe.fit_first_send(h)  # one row per campaign: bounded broadcast
-    j = h.join(F.broadcast(first), "i")
-    return j.select(
+    first = fe.first_send_lookup(h)  # one value per campaign, learned once
+    return h.select(
         "member_id", "i",
-        fe.months_to_donation(F.col("send_date"), F.col("first_send"), F.col("rdate")).alias("months_to_donation"),
+        fe.months_to_donation(F.col("send_date"), first, F.col("rdate")).alias("months_to_donation"),
     )
 
 
