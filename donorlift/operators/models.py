@@ -13,7 +13,7 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -137,15 +137,19 @@ class AmountModel:
 
 
 def fit_amount_forest(ff: FeatureFrame, amount: str = "target_d", label: str = "target_b",
-                      scale: float = 1.0, trees: int = 50, depth: int = 6, seed: int = 42) -> AmountModel:
-    """M7 + R9: Box-Cox (lambda by likelihood), standardise, forest on donors."""
+                      scale: float = 1.0, trees: int = 50, depth: int = 6, seed: int = 42,
+                      regressor=None) -> AmountModel:
+    """M7 + R9: Box-Cox (lambda by likelihood), standardise, then a regressor
+    on donors (a random forest unless another MLlib regressor is given, X4)."""
     donors = ff.df.where(F.col(label) == 1).withColumn("_y", F.col(amount) / F.lit(scale))
     _, lam = sm.fit_power_lambda(donors, "_y", "box-cox")
     t = sm.power_transform(F.col("_y"), lam, "box-cox")
     mean, std = sm.fit_moments(donors, t)
     donors = donors.withColumn("_yt", (t - F.lit(mean)) / F.lit(std))
-    rf = RandomForestRegressor(featuresCol="features", labelCol="_yt", numTrees=trees, maxDepth=depth, seed=seed)
-    return AmountModel(lam, mean, std, rf.fit(donors))
+    if regressor is None:
+        regressor = RandomForestRegressor(featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+    reg = regressor.copy().setLabelCol("_yt").setFeaturesCol("features")
+    return AmountModel(lam, mean, std, reg.fit(donors))
 
 
 def fit_enet(ff: FeatureFrame, amount: str = "target_d", label: str = "target_b", scale: float = 1.0):
@@ -215,12 +219,20 @@ class ProfitEstimator:
 
 
 def fit_profit_estimator(ff: FeatureFrame, unit_cost: float, scale: float, n_grid: int = pr.DEFAULT_GRID,
-                         label: str = "target_b", amount: str = "target_d") -> ProfitEstimator:
-    """G1: classifier (M3), Box-Cox + forest regressor on donors (R9, M7),
-    then alpha* from the one-pass profit curve of the learning data (G4, G5).
-    Q13: the indicator compares exp of *standardised* Box-Cox values."""
-    clf = logit(label).fit(ff.df)
-    am = fit_amount_forest(ff, amount, label, scale)
+                         label: str = "target_b", amount: str = "target_d",
+                         classifier=None, regressor=None) -> ProfitEstimator:
+    """G1: classifier (M3 unless given), Box-Cox + regressor on donors (R9,
+    M7 unless given; X4: both are pluggable MLlib estimators, the classifier
+    may also be already fitted), then alpha* from the one-pass profit curve
+    of the learning data (G4, G5).  Q13: the indicator compares exp of
+    *standardised* Box-Cox values."""
+    if classifier is None:
+        clf = logit(label).fit(ff.df)
+    elif isinstance(classifier, Model):
+        clf = classifier  # already fitted: used as is
+    else:
+        clf = classifier.fit(ff.df)
+    am = fit_amount_forest(ff, amount, label, scale, regressor=regressor)
     u_t = am.unit_cost_t(unit_cost / scale)
     est = ProfitEstimator(clf, am, u_t, 0, n_grid)
     scored = est.score(ff)

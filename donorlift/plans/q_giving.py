@@ -144,7 +144,7 @@ SELECT h.member_id, h.i,
          THEN {month_idx('h.rdate')} - {month_idx('f.first_send')} + 12
        ELSE {month_idx('h.rdate')} - {month_idx('f.first_send')} END AS INTEGER) AS months_to_donation
 FROM history h JOIN (SELECT i, MIN(send_date) AS first_send FROM history GROUP BY i) f ON h.i = f.i"""),
-    ids="E2",
+    ids="E2 A5",
 )
 def q_months_to_donation(spark, sf_dir):
     h = si.history(_t(spark, sf_dir))

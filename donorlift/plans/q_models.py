@@ -64,7 +64,7 @@ def q_fit_forest_amount(spark, sf_dir):
                     F.round(am.amount(F.col("d_t")) * si.SCALE, 2).alias("amount_pred"))
 
 
-@register("feature_importance", None, ids="A17 K3")
+@register("feature_importance", None, ids="A17 K3 M1")
 def q_feature_importance(spark, sf_dir):
     ff = feature_frame(spark, sf_dir)
     m = md.forest_classifier().fit(ff.df)
@@ -78,10 +78,10 @@ def q_fit_enet(spark, sf_dir):
     return m.transform(ff.df).select("member_id", F.round(F.col("prediction") * si.SCALE, 2).alias("amount_pred"))
 
 
-@register("two_stage_profit", None, ids="G1 G2 G5 G6 G9 M3 M7 R9")
+@register("two_stage_profit", None, ids="G1 G2 G5 G6 G9 M3 M7 R9 X4")
 def q_two_stage_profit(spark, sf_dir):
     ff = feature_frame(spark, sf_dir)
-    est = md.fit_profit_estimator(ff, si.UNIT_COST, si.SCALE)
+    est = md.fit_profit_estimator(ff, si.UNIT_COST, si.SCALE, classifier=md.logit(), regressor=None)
     scored = est.score(ff)
     scored = scored.withColumn("amount_pred", est.amount.amount(F.col("d_t")) * si.SCALE)
     return pr.mailing_summary(scored, "crit", "target_d", "amount_pred", si.UNIT_COST, est.kstar)
@@ -131,7 +131,7 @@ def q_pca_95(spark, sf_dir):
     return md.pca_variance(si.Tables(spark, sf_dir).embeddings, "embedding", 0.95)
 
 
-@register("select_from_model", None, ids="F4 F2 F5")
+@register("select_from_model", None, ids="F4 F2 F5 M1")
 def q_select_from_model(spark, sf_dir):
     return md.select_from_model(feature_frame(spark, sf_dir))
 

@@ -62,7 +62,7 @@ SELECT member_id, {sql_parse_yymm(sql_fix_date('odate'), si.REF.year)} AS odate,
 FROM raw_members""")
 
 
-@register("clean_pipeline", CLEANED_SQL, ids="X1 X2 X3 S7 C1 C2 C5 C7 C8 C9 C12 T1")
+@register("clean_pipeline", CLEANED_SQL, ids="X1 X2 X3 X5 S7 C1 C2 C5 C7 C8 C9 C12 C13 C14 J2 T1")
 def q_clean_pipeline(spark, sf_dir):
     """Learn the cleaning pipeline (with the C12 dropper) on the learning
     split, store it, load it back and apply it unchanged to all members."""
