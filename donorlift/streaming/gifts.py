@@ -95,15 +95,20 @@ def gift_windows(spark: SparkSession, sf_dir: str, window: str = "1 day", latene
     """Gifts and amount per donor per tumbling window; gifts later than
     the watermark are dropped, a window is emitted once the watermark has
     passed its end."""
-    ev = table_stream(spark, sf_dir, "events").where(F.col("event_type") == GIFT)
-    agg = (
-        ev.withWatermark("ts", lateness)
+    ev = table_stream(spark, sf_dir, "events")
+    return _run_append(gift_window_agg(ev, window, lateness), "gift-windows")
+
+
+def gift_window_agg(events: DataFrame, window: str = "1 day", lateness: str = "2 days") -> DataFrame:
+    """The T2 transformation on an event stream (event time ``ts``)."""
+    return (
+        events.where(F.col("event_type") == GIFT)
+        .withWatermark("ts", lateness)
         .groupBy(F.window("ts", window).alias("w"), "user_id")
         .agg(F.count(F.lit(1)).alias("n_gifts"), F.sum("value").alias("amount"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                 "user_id", "n_gifts", F.round("amount", 2).alias("amount"))
     )
-    return _run_append(agg, "gift-windows")
 
 
 def running_rfa(spark: SparkSession, sf_dir: str) -> DataFrame:
