@@ -106,15 +106,15 @@ def q_coords_lookup(spark, sf_dir):
 
 
 def _mtd_wide(spark, sf_dir):
-    h = si.history(_t(spark, sf_dir))
-    first = fe.first_send_lookup(h)
-    long = h.select(
-        "member_id", "i",
-        fe.months_to_donation(F.col("send_date"), first, F.col("rdate")).alias("m"),
-    )
-    return long.groupBy("member_id").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"MTD_{i}") for i in CAMPAIGNS]
-    )
+    """Months to donation per campaign, wide: a projection of the wide
+    history with the learned first-send month of each campaign (E2)."""
+    t = _t(spark, sf_dir)
+    first = {r["i"]: r["first_send"] for r in fe.fit_first_send(si.history(t)).collect()}
+    w = si.history_wide(t)
+    return w.select("member_id", *[
+        fe.months_to_donation(F.lit(first[i]), F.lit(first[i]), F.col(f"RDATE_{i}")).alias(f"MTD_{i}")
+        for i in CAMPAIGNS
+    ])
 
 
 _MTD_WIDE_SQL = "SELECT member_id, " + ", ".join(

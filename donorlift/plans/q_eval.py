@@ -367,8 +367,7 @@ def q_recall_ranking(spark, sf_dir):
     ids="U4 E10",
 )
 def q_melt_history(spark, sf_dir):
-    h = si.history(_t(spark, sf_dir))
-    w = fe.wide_history(h, CAMPAIGNS).select("member_id", *[f"RAMNT_{i}" for i in CAMPAIGNS])
+    w = si.history_wide(_t(spark, sf_dir)).select("member_id", *[f"RAMNT_{i}" for i in CAMPAIGNS])
     return w.unpivot(["member_id"], [f"RAMNT_{i}" for i in CAMPAIGNS], "variable", "value")
 
 

@@ -117,7 +117,7 @@ def q_csv_roundtrip(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    return fe.wide_history(si.history(_t(spark, sf_dir)), CAMPAIGNS)
+    return si.history_wide(_t(spark, sf_dir))
 
 
 SELECTED = [f"RAMNT_{i}" for i in range(3, 12)]

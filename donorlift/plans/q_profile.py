@@ -107,8 +107,7 @@ FROM (
     ids="A2 E10",
 )
 def q_missing_report(spark, sf_dir):
-    h = si.history(si.Tables(spark, sf_dir))
-    w = fe.wide_history(h, CAMPAIGNS)
+    w = si.history_wide(si.Tables(spark, sf_dir))
     return pf.missing_report(w, HIST_COLS)
 
 
