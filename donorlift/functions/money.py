@@ -1,8 +1,9 @@
 """Exact money arithmetic.
 
-Amounts carry two decimals.  Sums are exact in DECIMAL; a mean rounded to
-cents is computed in integer cents with half-up integer division, so the
-result is the exact decimal answer (never a rounding of a nearby double).
+Amounts carry two decimals.  Sums run in integer cents (exact, and a
+fixed-width LONG aggregation buffer keeps Spark on the fast hash-aggregate
+path, unlike a wide DECIMAL buffer); a mean rounded to cents uses half-up
+integer division, so results are exact decimal answers.
 """
 
 from __future__ import annotations
@@ -18,6 +19,16 @@ def cents(c: Column) -> Column:
     return (c.cast(MONEY) * 100).cast("long")
 
 
+def from_cents(c: Column) -> Column:
+    """Integer cents back to an amount; the same (correctly rounded) double
+    as casting the exact decimal."""
+    return c.cast("double") / F.lit(100.0)
+
+
+def cents_lit(amount: float) -> Column:
+    return F.lit(int(round(amount * 100))).cast("long")
+
+
 def mean_from_cents(sum_cents: str, n: str, decimals: int = 2) -> Column:
     """Mean of amounts, rounded half away from zero to ``decimals`` (>= 2),
     from the names of a cents-sum column and a count column."""

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from donorlift.functions.money import cents, cents_lit, from_cents
 from donorlift.operators.ordering import exact_quantiles
 
 DEFAULT_GRID = 10_000
-MONEY = "decimal(18,2)"
 
 
 def critical_alpha(p: Column, d_t: Column, u_t: Column | float) -> Column:
@@ -59,8 +59,8 @@ def first_mailed_index(crit: Column, n_grid: int) -> Column:
 
 
 def _net(amount: Column, unit_cost: float) -> Column:
-    """Profit of one mailed member in exact money arithmetic."""
-    return amount.cast(MONEY) - F.lit(unit_cost).cast(MONEY)
+    """Profit of one mailed member, in integer cents (exact)."""
+    return cents(amount) - cents_lit(unit_cost)
 
 
 def bucket_stats(
@@ -77,7 +77,7 @@ def bucket_stats(
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("net").alias("s"),
-            F.sum(F.col("net").cast("double") * F.col("net").cast("double")).alias("ss"),
+            F.sum(from_cents(F.col("net")) * from_cents(F.col("net"))).alias("ss"),
             F.min("net").alias("mn"),
             F.max("net").alias("mx"),
         )
@@ -105,7 +105,7 @@ def profit_curve(
         F.col("k"),
         grid_alpha(F.col("k"), n_grid).alias("alpha"),
         F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("n_mailed"),
-        F.coalesce(F.sum("s").over(w), F.lit(0).cast(MONEY)).cast("double").alias("profit"),
+        from_cents(F.coalesce(F.sum("s").over(w), F.lit(0).cast("long"))).alias("profit"),
     )
 
 
@@ -166,7 +166,7 @@ def max_profit(df: DataFrame, amount_col: str, unit_cost: float) -> DataFrame:
     """Profit when exactly the responders are mailed."""
     net = _net(F.col(amount_col), unit_cost)
     return df.agg(
-        F.sum(F.when(F.col(amount_col) > 0, net)).cast("double").alias("max_profit"),
+        from_cents(F.sum(F.when(F.col(amount_col) > 0, net))).alias("max_profit"),
         F.count(F.when(F.col(amount_col) > 0, 1)).alias("n_responders"),
     )
 
@@ -185,8 +185,8 @@ def net_profit(
     return df.select(
         key,
         m.cast("int").alias("mailed"),
-        F.when(m, _net(F.col(amount_col), unit_cost)).otherwise(F.lit(0).cast(MONEY))
-        .cast("double").alias("profit"),
+        from_cents(F.when(m, _net(F.col(amount_col), unit_cost)).otherwise(F.lit(0).cast("long")))
+        .alias("profit"),
     )
 
 
@@ -215,7 +215,7 @@ def mailing_summary(
                       (F.col(amount_col) > 0).alias("resp")).groupBy("k").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("net").alias("s"),
-        F.sum(F.col("net").cast("double") * F.col("net").cast("double")).alias("ss"),
+        F.sum(from_cents(F.col("net")) * from_cents(F.col("net"))).alias("ss"),
         F.min("net").alias("mn"),
         F.max("net").alias("mx"),
         F.sum("pnet").alias("ps"),
@@ -236,13 +236,13 @@ def mailing_summary(
         F.sum(F.when(sel, F.col("n"))).alias("n_mailed"),
         F.sum(F.when(sel, F.col("s"))).alias("_s"),
         F.sum(F.when(sel, F.col("ss"))).alias("_ss"),
-        F.min(F.when(sel, F.col("mn"))).cast("double").alias("min_profit"),
-        F.max(F.when(sel, F.col("mx"))).cast("double").alias("max_member_profit"),
+        from_cents(F.min(F.when(sel, F.col("mn")))).alias("min_profit"),
+        from_cents(F.max(F.when(sel, F.col("mx")))).alias("max_member_profit"),
         F.sum("rs").alias("_mx"),
         F.sum(F.when(sel, F.col("ps"))).alias("_pred"),
     )
     n = F.col("n_mailed")
-    s = F.col("_s").cast("double")
+    s = from_cents(F.col("_s"))
     var = (F.col("_ss") - s * s / n) / (n - 1)
     return agg.select(
         F.col("k").cast("long").alias("k"),
@@ -253,8 +253,8 @@ def mailing_summary(
         F.round(s / n, 4).alias("mean_profit"),
         F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 2).alias("std_profit"),
         "max_member_profit",
-        F.col("_mx").cast("double").alias("max_profit"),
-        F.round(s / F.col("_mx").cast("double") * 100, 4).alias("pct_of_max"),
+        from_cents(F.col("_mx")).alias("max_profit"),
+        F.round(s / from_cents(F.col("_mx")) * 100, 4).alias("pct_of_max"),
         F.round(F.col("_pred"), 2).alias("predicted_profit"),
     )
 
@@ -282,5 +282,5 @@ def cup_measure(df: DataFrame, pred_amount_col: str, amount_col: str, unit_cost:
     net = _net(F.col(amount_col), unit_cost)
     return df.agg(
         F.count(F.when(sel, 1)).alias("n_mailed"),
-        F.sum(F.when(sel, net)).cast("double").alias("net"),
+        from_cents(F.sum(F.when(sel, net))).alias("net"),
     ).select("n_mailed", "net", F.round(F.col("net"), -1).alias("cup_measure"))

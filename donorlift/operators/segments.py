@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from donorlift.functions import codes as fx
-from donorlift.functions.money import cents, mean_from_cents
+from donorlift.functions.money import cents, from_cents, mean_from_cents
 from donorlift.operators.ordering import exact_quantiles, ntile_of, with_positions
 
 # ---- fixed values of the RFA code (reference data dictionary), amounts
@@ -27,7 +27,6 @@ RFA_AMOUNT_CODES = ["A", "B", "C", "D", "E", "F", "G"]
 CARD_EVERY = 3  # stand-in rule: campaigns i with i % 3 = 0 are card mailings
 # -----------------------------------------------------------------------------
 
-MONEY = "decimal(18,2)"
 
 
 def amount_band(amount: Column, scale: float) -> Column:
@@ -48,7 +47,6 @@ def giving_summary(gifts: DataFrame, ref, key: str = "member_id") -> DataFrame:
     ).withColumn("_i", F.ceil(F.col("_back") / 3).cast("int") + 2)
     card = (F.col("_i") <= 24) & (F.col("_i") % CARD_EVERY == 0)
     s = g.groupBy(key).agg(
-        F.sum(F.col("amount").cast(MONEY)).alias("_tot"),
         F.sum(cents(F.col("amount"))).alias("_cents"),
         F.count(F.lit(1)).alias("ngiftall"),
         F.count_if(card).alias("cardgift"),
@@ -68,7 +66,7 @@ def giving_summary(gifts: DataFrame, ref, key: str = "member_id") -> DataFrame:
     out = s.join(second, key, "left")
     return out.select(
         key,
-        F.col("_tot").cast("double").alias("ramntall"),
+        from_cents(F.col("_cents")).alias("ramntall"),
         "ngiftall",
         "cardgift",
         F.col("_min.amount").alias("minramnt"),
@@ -170,7 +168,7 @@ def rfm_base(gifts: DataFrame, ref, key: str = "member_id") -> DataFrame:
     return gifts.groupBy(key).agg(
         (ref_idx - fx.month_index(F.max("gift_date"))).alias("recency"),
         F.count(F.lit(1)).alias("frequency"),
-        F.sum(F.col("amount").cast(MONEY)).cast("double").alias("monetary"),
+        from_cents(F.sum(cents(F.col("amount")))).alias("monetary"),
     )
 
 
@@ -240,7 +238,7 @@ def major_donor_code(gifts: DataFrame, ref, scale: float, key: str = "member_id"
     period = (
         F.when(back <= 12, 0).when(back <= 24, 1).when(back <= 36, 2).otherwise(3)
     )
-    g = gifts.select(key, period.alias("per"), F.col("amount").cast(MONEY).alias("amt"))
+    g = gifts.select(key, period.alias("per"), cents(F.col("amount")).alias("amt"))
     a = g.groupBy(key).agg(
         F.sum("amt").alias("_tot"),
         F.min("per").alias("_p"),
@@ -248,13 +246,13 @@ def major_donor_code(gifts: DataFrame, ref, scale: float, key: str = "member_id"
         *[F.sum(F.when(F.col("per") == i, F.col("amt"))).alias(f"_a{i}") for i in range(4)],
     )
     n_in = F.coalesce(*[F.when(F.col("_p") == i, F.col(f"_n{i}")) for i in range(4)])
-    a_in = F.coalesce(*[F.when(F.col("_p") == i, F.col(f"_a{i}")) for i in range(4)]).cast("double")
+    a_in = from_cents(F.coalesce(*[F.when(F.col("_p") == i, F.col(f"_a{i}")) for i in range(4)]))
     rec = F.element_at(F.array(*[F.lit(x) for x in "CLID"]), (F.col("_p") + 1).cast("int"))
     freq = F.when(n_in == 1, "1").when(n_in <= 4, "2").otherwise("5")
     amt = F.lit(MDMAUD_AMOUNT_CODES[-1])
     for edge, code in reversed(list(zip(MDMAUD_AMOUNT_EDGES, MDMAUD_AMOUNT_CODES[:-1]))):
         amt = F.when(a_in < F.lit(edge * scale), F.lit(code)).otherwise(amt)
-    major = F.col("_tot").cast("double") >= F.lit(MAJOR_DONOR_MIN * scale)
+    major = from_cents(F.col("_tot")) >= F.lit(MAJOR_DONOR_MIN * scale)
     return a.select(
         key,
         F.when(major, rec).alias("mdmaud_r"),

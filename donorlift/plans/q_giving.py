@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from donorlift.functions import codes as fx
-from donorlift.functions.money import cents, mean_from_cents, sql_cents, sql_mean_from_cents
+from donorlift.functions.money import cents, from_cents, mean_from_cents, sql_cents, sql_mean_from_cents
 from donorlift.operators import features as fe
 from donorlift.operators import segments as sg
 from donorlift.plans.oracle_views import REF_MONTH, month_idx, with_views
@@ -274,7 +274,7 @@ def q_amount_by_region(spark, sf_dir):
     j = si.gifts(t).join(si.members(t), "member_id")
     return j.groupBy("nation").agg(
         F.count(F.lit(1)).alias("n_gifts"),
-        F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("total_amount"),
+        from_cents(F.sum(cents(F.col("amount")))).alias("total_amount"),
         F.sum(cents(F.col("amount"))).alias("_c"),
     ).withColumn("avg_amount", mean_from_cents("_c", "n_gifts")).drop("_c")
 

@@ -19,6 +19,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from donorlift.functions.money import cents, from_cents
+
 # Fixed values of the stand-in (see module docstring).
 REF = _dt.date(2001, 7, 1)
 REF_SQL = "2001-07-01"
@@ -92,7 +94,7 @@ def member_orders(t: Tables) -> DataFrame:
     o = t.orders
     before = o.o_orderdate < F.lit(_dt.datetime(2001, 7, 1))
     back = month_index(_ref()) - month_index(o.o_orderdate.cast("date"))
-    amt = o.o_totalprice.cast("decimal(18,2)")
+    amt = cents(o.o_totalprice)
     agg = o.groupBy(o.o_custkey.alias("member_id")).agg(
         F.count_if(before & (back <= 24)).alias("_recent"),
         F.count_if(before).alias("_all"),
@@ -113,7 +115,7 @@ def _targets_of(mo: DataFrame) -> DataFrame:
     return mo.select(
         "member_id",
         F.when(F.coalesce(F.col("_nresp"), F.lit(0)) > 0, 1).otherwise(0).cast("int").alias("target_b"),
-        F.coalesce(F.col("_amt"), F.lit(0)).cast("double").alias("target_d"),
+        from_cents(F.coalesce(F.col("_amt"), F.lit(0).cast("long"))).alias("target_d"),
     )
 
 
@@ -153,7 +155,7 @@ def history_wide(t: Tables) -> DataFrame:
     for i in range(FIRST_CAMPAIGN, LAST_CAMPAIGN + 1):
         hit = F.col("i") == i
         aggs.append(F.min(F.when(hit, F.col("gift_date"))).alias(f"RDATE_{i}"))
-        aggs.append(F.sum(F.when(hit, F.col("amount").cast("decimal(18,2)"))).cast("double").alias(f"RAMNT_{i}"))
+        aggs.append(from_cents(F.sum(F.when(hit, cents(F.col("amount"))))).alias(f"RAMNT_{i}"))
     wide = g.where(F.col("i").isNotNull()).groupBy("member_id").agg(*aggs)
     keys = t.customer.select(F.col("c_custkey").alias("member_id"))
     return keys.join(wide, "member_id", "left")
@@ -230,7 +232,7 @@ def scored(t: Tables) -> DataFrame:
     return mo.select(
         "member_id",
         (F.coalesce(F.col("_recent"), F.lit(0)) / (F.coalesce(F.col("_all"), F.lit(0)) + 1)).alias("p"),
-        (F.col("_sum").cast("double") / F.when(F.col("_all") > 0, F.col("_all"))).alias("d_hat"),
+        (from_cents(F.col("_sum")) / F.when(F.col("_all") > 0, F.col("_all"))).alias("d_hat"),
         F.when(F.coalesce(F.col("_nresp"), F.lit(0)) > 0, 1).otherwise(0).cast("int").alias("target_b"),
-        F.coalesce(F.col("_amt"), F.lit(0)).cast("double").alias("target_d"),
+        from_cents(F.coalesce(F.col("_amt"), F.lit(0).cast("long"))).alias("target_d"),
     )
