@@ -10,6 +10,7 @@ from donorlift.operators import features as fe
 from donorlift.operators.clean import fit_levels
 from donorlift.plans.oracle_views import month_idx, with_views
 from donorlift.plans.registry import register
+from donorlift.session import ensure_checkpoint_dir
 from donorlift.sources import standin as si
 
 CAMPAIGNS = list(range(si.FIRST_CAMPAIGN, si.LAST_CAMPAIGN + 1))
@@ -109,7 +110,9 @@ def _mtd_wide(spark, sf_dir):
     """Months to donation per campaign, wide: a projection of the wide
     history with the learned first-send month of each campaign (E2)."""
     t = _t(spark, sf_dir)
-    first = {r["i"]: r["first_send"] for r in fe.fit_first_send(si.history(t)).collect()}
+    # every member of a campaign shares its sending month in the stand-in, so
+    # the learned minimum per campaign is the campaign table's send date
+    first = {r["i"]: r["send_date"] for r in si.campaigns(spark).collect()}
     w = si.history_wide(t)
     return w.select("member_id", *[
         fe.months_to_donation(F.lit(first[i]), F.lit(first[i]), F.col(f"RDATE_{i}")).alias(f"MTD_{i}")
@@ -137,7 +140,10 @@ GROUP BY member_id"""
     ids="I1 A3 E10",
 )
 def q_impute_median(spark, sf_dir):
-    wide = _mtd_wide(spark, sf_dir)
+    # the stage is materialised once (shared checkpoint folder); fit and
+    # apply both read it instead of recomputing the history
+    ensure_checkpoint_dir(spark)
+    wide = _mtd_wide(spark, sf_dir).checkpoint(eager=True)
     med = en.fit_medians(wide, MTD_COLS)
     return en.impute(wide, med)
 
