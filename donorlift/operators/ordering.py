@@ -43,12 +43,6 @@ def _sort_cols(group_cols: Sequence[str], order: OrderSpec) -> list[Column]:
     return cols
 
 
-def _slices(df: DataFrame, slices: int | None) -> int:
-    if slices:
-        return slices
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def sliced(
     df: DataFrame,
     order: OrderSpec,
@@ -59,10 +53,11 @@ def sliced(
     checkpoint, so later passes see the same slices even after a retry."""
     ensure_checkpoint_dir(df.sparkSession)
     sort = _sort_cols(group_cols, order)
-    out = (
-        df.repartitionByRange(_slices(df, slices), *sort)
-        .withColumn("_slice", F.spark_partition_id())
-    )
+    # Without an explicit count the range exchange may be coalesced by AQE:
+    # adjacent ranges merge up to the advisory partition size, so small
+    # inputs get few slices and large ones many; order is preserved.
+    ranged = df.repartitionByRange(slices, *sort) if slices else df.repartitionByRange(*sort)
+    out = ranged.withColumn("_slice", F.spark_partition_id())
     return out.checkpoint(eager=True)
 
 
