@@ -196,14 +196,22 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation),
     max per column; quartiles exact and distributed."""
+    # moments and extremes: one wide aggregation over the original rows
+    # (no C-fold expansion), turned into one row per column
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    wide = df.agg(*aggs)
+    basic = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("count"),
+                 F.round(F.col(f"m{i}"), 4).alias("mean"), F.round(F.col(f"s{i}"), 4).alias("std"),
+                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
+        for i, c in enumerate(cols)
+    ])).alias("r")).select("r.*")
+    # exact quartiles need the values in order: unpivot only for them
     lv = long_values(df, cols, "double").where(F.col("value").isNotNull())
-    basic = lv.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.round(F.avg("value"), 4).alias("mean"),
-        F.round(F.stddev_samp("value"), 4).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
     q = exact_quantiles(lv, "value", [0.25, 0.5, 0.75], group_cols=["feature"])
     q = q.select(
         "feature",
