@@ -54,6 +54,20 @@ def _wall_clock(df: DataFrame) -> DataFrame:
     ])
 
 
+def _start(writer, spark: SparkSession):
+    """Start a stream query with one state partition per core of the
+    cluster (``defaultParallelism``).  The state partition count is fixed at
+    a query's first start from the shuffle-partition setting; the session's
+    own setting is restored right after the start."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def _run_append(df: DataFrame, name: str) -> DataFrame:
     """Append-mode query to a Parquet sink; returns the sink as a table."""
     spark = df.sparkSession
@@ -64,8 +78,8 @@ def _run_append(df: DataFrame, name: str) -> DataFrame:
         .option("checkpointLocation", f"{root}/ckpt")
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    q = _start(q, spark)
     q.awaitTermination()
     return _wall_clock(spark.read.schema(df.schema).parquet(f"{root}/out"))
 
@@ -85,8 +99,8 @@ def _run_complete(df: DataFrame, name: str) -> DataFrame:
         .option("checkpointLocation", f"{root}/ckpt")
         .outputMode("complete")
         .trigger(availableNow=True)
-        .start()
     )
+    q = _start(q, spark)
     q.awaitTermination()
     return _wall_clock(spark.read.schema(df.schema).parquet(out))
 
