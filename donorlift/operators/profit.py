@@ -13,8 +13,6 @@ grid rows give the whole curve in one pass over the members.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from donorlift.operators import evaluate as ev
-from donorlift.operators import features as fe
 from donorlift.operators import sampling as sm
 from donorlift.plans.oracle_views import with_views
 from donorlift.plans.registry import register

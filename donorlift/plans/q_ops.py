@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from donorlift.functions import codes as fx
-from donorlift.operators import features as fe
 from donorlift.operators import sampling as sm
 from donorlift.operators import segments as sg
 from donorlift.operators import transformers as tr

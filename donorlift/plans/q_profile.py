@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from donorlift.operators import features as fe
 from donorlift.operators import profile as pf
 from donorlift.plans.oracle_views import with_views
 from donorlift.plans.registry import register
