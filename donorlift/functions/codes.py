@@ -22,7 +22,8 @@ MDMAUD_A_ORDER = {"L": 1, "C": 2, "M": 3, "T": 4}
 RFA_AMOUNT_ORDER = {"A": 1, "B": 2, "C": 3, "D": 4, "E": 5, "F": 6, "G": 7}
 SES_ORDER = {"1": 1, "2": 2, "3": 2, "4": 3}
 URBAN_SES = {"1": 1, "2": 2, "3": 2, "4": 3}
-# Military ZIPs without a table entry get this fixed point.
+# Military ZIPs without a table entry get this fixed point (the longitude is
+# west, so negative; a positive sign would place it in Asia).
 MILITARY_STATES = ["AA", "AE", "AP"]
 MILITARY_POINT = (38.8719, -77.0563)
 # -----------------------------------------------------------------------------

@@ -110,13 +110,18 @@ def near_zero_report(
     sparse_cut: float = SPARSE_CUT,
     override: Sequence[str] = (),
     near_zero: bool = True,
+    keep_single_level: bool = False,
 ) -> DataFrame:
     """Decisions per column from a ``column_profile`` table.
 
     zero variance: at most one distinct value; near zero: distinct share
     below ``unique_cut`` and top1/top2 above ``freq_cut``; sparse: non-null
-    share at most ``sparse_cut``.  ``override`` columns are always kept."""
+    share at most ``sparse_cut``.  ``override`` columns are always kept.
+    With ``keep_single_level`` one valid level next to missing values is not
+    zero variance (the missing values make it a flag)."""
     zero = F.col("n_distinct") <= 1
+    if keep_single_level:
+        zero = (F.col("n_distinct") == 0) | ((F.col("n_distinct") == 1) & (F.col("n_nonnull") == F.col("n_rows")))
     nz = zero | (
         (F.col("n_distinct") / F.col("n_rows") < unique_cut)
         & (F.col("top1") / F.col("top2") > freq_cut)

@@ -29,3 +29,10 @@ def test_top2_with_tie(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), ("b",), ("c",)], "x string")
     r = pf.column_profile(df, ["x"]).first()
     assert (r["top1"], r["top2"], r["n_distinct"]) == (2, 2, 3)
+
+
+def test_keep_single_level_option(spark):
+    df = spark.createDataFrame([("k" if i % 2 else None,) for i in range(100)], "flag string")
+    prof = pf.column_profile(df, ["flag"])
+    assert pf.near_zero_report(prof).first()["dropped"]
+    assert not pf.near_zero_report(prof, keep_single_level=True).first()["dropped"]
