@@ -1,4 +1,4 @@
 """Imports every operator module, so that its queries are registered."""
 
-from donorlift.llm import bpe, langid  # noqa: F401
+from donorlift.llm import bpe, langid, toxicity  # noqa: F401
 from donorlift.llm.queries import QUERIES, SQL  # noqa: F401
