@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlift.llm.common import BLOCK_BYTES, batch, row_blocks, table, text_buffer
+from donorlift.llm.common import BLOCK_BYTES, batch, row_blocks, share, table, text_buffer
 from donorlift.llm.queries import query
 
 #: Words up to this many bytes are merged in matrices, longer ones one by one.
@@ -240,10 +240,10 @@ def _blocks(it, model):
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids (binary, unsigned 32-bit little-endian) and decoded text of
     every document."""
-    model = docs.sparkSession.sparkContext.broadcast(WordBPE(vocabulary or default_vocabulary()))
+    model = share(docs.sparkSession, WordBPE(vocabulary or default_vocabulary()))
 
     def run(it):
-        m = model.value
+        m = model()
         for doc_ids, encoded in _blocks(it, m):
             yield batch(_ENCODED, doc_ids, encoded, [m.decode(np.frombuffer(e, "<u4")) for e in encoded])
 
@@ -253,10 +253,10 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text, taken
     in the task that encodes, so that neither leaves it."""
-    model = docs.sparkSession.sparkContext.broadcast(WordBPE(vocabulary or default_vocabulary()))
+    model = share(docs.sparkSession, WordBPE(vocabulary or default_vocabulary()))
 
     def run(it):
-        m = model.value
+        m = model()
         for doc_ids, encoded in _blocks(it, m):
             texts = (m.decode(np.frombuffer(e, "<u4")).encode("utf-8") for e in encoded)
             yield batch(_DIGESTS, doc_ids, [len(e) // 4 for e in encoded], [hashlib.sha256(e).hexdigest() for e in encoded], [hashlib.sha256(t).hexdigest() for t in texts])

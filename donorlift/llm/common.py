@@ -3,11 +3,13 @@ vectorised word hashing."""
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,9 +122,11 @@ def word_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(vals, before) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def by_batch(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the function that makes record batches of ``schema``."""
-    return df.mapInArrow(fn, schema)
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcast a value of bounded size; the returned function gives it in a
+    task.  It travels with its classes, so executors need no copy of them."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
 
 
 def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
@@ -130,13 +134,14 @@ def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def keep_rows(docs: DataFrame, column: str, decide: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """Rows for which ``decide`` gives True for the value of ``column``; all
-    columns pass unchanged, whatever their names.  Repeated rows are judged
-    alike and stay repeated."""
+def keep_rows(docs: DataFrame, column: str, model: Callable, decide: Callable[[object, pa.Array], np.ndarray]) -> DataFrame:
+    """Rows for which ``decide`` gives True for the shared model and the value
+    of ``column``; all columns pass unchanged, whatever their names.  Repeated
+    rows are judged alike and stay repeated."""
 
     def run(it):
+        m = model()
         for b in it:
-            yield b.filter(pa.array(decide(b.column(b.schema.get_field_index(column)))))
+            yield b.filter(pa.array(decide(m, b.column(b.schema.get_field_index(column)))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import batch, ensure_checkpoint_dir, held_out, keep_rows, row_blocks, table, text_buffer, train_fold
+from donorlift.llm.common import batch, ensure_checkpoint_dir, held_out, keep_rows, row_blocks, share, table, text_buffer, train_fold
 from donorlift.llm.queries import query
 
 ORDER = 4
@@ -188,7 +188,7 @@ def ngram_counts(train: DataFrame, alphabet) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
 
     def count(it):
-        alpha = alphabet.value
+        alpha = alphabet()
         held: dict[str, list] = {}
 
         def fold(lang):
@@ -324,7 +324,7 @@ def fit_language_models(docs: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Models
     ensure_checkpoint_dir(spark)
     alphabet = Alphabet(symbol_table(), astral_letters())
     train = docs.where(train_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    models = fit(bounded_counts(ngram_counts(train, spark.sparkContext.broadcast(alphabet)), max_ngrams), alphabet)
+    models = fit(bounded_counts(ngram_counts(train, share(spark, alphabet)), max_ngrams), alphabet)
     short = train.where(F.length("text") <= CALIBRATION_CHARS)
     sample = short.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(CALIBRATION_DOCS).select("text", "lang").collect()
     return calibrate(models, [(r.text, r.lang) for r in sample])
@@ -336,10 +336,10 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pr
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:
     """Predicted language of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = share(docs.sparkSession, models)
 
     def run(it):
-        m = shared.value
+        m = shared()
         for b in it:
             _, offs = text_buffer(b.column(1))
             for lo, hi in row_blocks(offs):
@@ -351,14 +351,13 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
 def keeps_language(docs: DataFrame, models: Models) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def decide(arr: pa.Array) -> np.ndarray:
+    def decide(m: Models, arr: pa.Array) -> np.ndarray:
         _, offs = text_buffer(arr)
-        parts = [shared.value.predict(arr.slice(lo, hi - lo).to_pylist())[2] for lo, hi in row_blocks(offs)]
+        parts = [m.predict(arr.slice(lo, hi - lo).to_pylist())[2] for lo, hi in row_blocks(offs)]
         return ~np.concatenate([np.zeros(0, bool), *parts])
 
-    return keep_rows(docs, "text", decide)
+    return keep_rows(docs, "text", share(docs.sparkSession, models), decide)
 
 
 @query("op10_langid")

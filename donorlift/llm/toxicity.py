@@ -42,6 +42,7 @@ from donorlift.llm.common import (
     keep_rows,
     mix,
     row_blocks,
+    share,
     table,
     text_buffer,
     train_fold,
@@ -266,11 +267,12 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 
 def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
     """Score and prediction of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(it):
+        m = shared()
         for b in it:
-            score = shared.value.scores(b.column(1))
+            score = m.scores(b.column(1))
             yield batch(_RESULT, b.column(0), b.column(2), score, (score >= THRESHOLD).astype(np.int32))
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, RESULT)
@@ -278,8 +280,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
 
 def keeps_clean(docs: DataFrame, model: Toxicity) -> DataFrame:
     """The documents predicted as not toxic, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, "text", lambda arr: shared.value.scores(arr) < THRESHOLD)
+    return keep_rows(docs, "text", share(docs.sparkSession, model), lambda m, arr: m.scores(arr) < THRESHOLD)
 
 
 @query("op7_toxicity")
