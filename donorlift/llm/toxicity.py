@@ -52,8 +52,8 @@ from donorlift.llm.common import (
 from donorlift.llm.queries import query
 
 #: Bounds of the training samples, in texts and in characters of one text.
-POSITIVE_DOCS = 3_000
-UNLABELLED_DOCS = 6_000
+POSITIVE_DOCS = 2_500
+UNLABELLED_DOCS = 5_000
 SAMPLE_CHARS = 12_000
 #: Class prior if no row is labelled as not toxic.
 DEFAULT_PRIOR = 0.1
@@ -152,8 +152,14 @@ def fit_pu(positive: Sequence[str], unlabelled: Sequence[str], prior: float, epo
     buf, offs = text_buffer(pa.array([*positive, *unlabelled], pa.string()))
     buf = ASCII_LOWER[buf]
     first, last, before = word_bounds(buf, offs, KEEP)
-    _, seen, words = np.unique(word_hashes(buf, first, last), return_index=True, return_inverse=True)
-    feats, bounds = word_features(buf, first[seen], last[seen])  # of distinct words
+    hashed = [word_hashes(buf, first[before[lo] : before[hi]], last[before[lo] : before[hi]]) for lo, hi in row_blocks(offs)]
+    _, seen, words = np.unique(np.concatenate(hashed), return_index=True, return_inverse=True)
+    words = words.astype(np.int32)
+    first, last = first[seen], last[seen]
+    made = [word_features(buf, first[at : at + 20_000], last[at : at + 20_000]) for at in range(0, len(seen), 20_000)]
+    feats = np.concatenate([f.astype(np.int32) for f, _ in made])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in made]))])
+    del buf, first, last, hashed, made
     n_p = len(positive)
     used = evident(words, before, feats, bounds, n_p, evidence)
     on = np.isin(feats, used)
@@ -164,7 +170,7 @@ def fit_pu(positive: Sequence[str], unlabelled: Sequence[str], prior: float, epo
     theta, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     for epoch in range(1, epochs + 1):
-        win = sums(sums(theta[feats], bounds)[words], begin)
+        win = sums(sums(theta[feats], bounds).astype(np.float32)[words], begin)
         top = np.maximum.reduceat(win, ahead[:-1])
         # each text's highest window, the first of equals
         at = np.flatnonzero(win == np.repeat(top, np.diff(ahead)))
@@ -201,7 +207,7 @@ def evident(words: np.ndarray, before: np.ndarray, feats: np.ndarray, bounds: np
     edges = [*range(0, n_p, 250), *range(n_p, n, 250), n]
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         text = np.repeat(np.arange(lo, hi), np.diff(before[lo : hi + 1]))
-        pair = np.unique(text * len(bounds) + words[before[lo] : before[hi]])
+        pair = np.unique(text * len(bounds) + words[before[lo] : before[hi]].astype(np.int64))
         text, word = pair // len(bounds), pair % len(bounds)
         size = bounds[word + 1] - bounds[word]
         where = np.repeat(bounds[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
