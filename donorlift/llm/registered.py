@@ -1,4 +1,4 @@
 """Imports every operator module, so that its queries are registered."""
 
-from donorlift.llm import bpe, decontam, langid, licences, ngram_join, topk, toxicity, warc  # noqa: F401
+from donorlift.llm import bpe, decontam, langid, licences, ngram_join, topk, toxicity, urls, warc  # noqa: F401
 from donorlift.llm.queries import QUERIES, SQL  # noqa: F401
