@@ -22,6 +22,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +188,7 @@ class WordBPE:
         """Encode the words that the cache lacks."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = [w for w in set(words) if w not in self.cache]
+        new = list(set(words).difference(self.cache))
         raw = [w.encode("utf-8") for w in new]
         short = sorted((i for i, w in enumerate(raw) if len(w) <= SHORT_WORD and new[i] not in self.specials), key=lambda i: len(raw[i]))
         for lo in range(0, len(short), 4096):
@@ -203,7 +204,7 @@ class WordBPE:
     def encode_bytes(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.words(t) if t else [] for t in texts]
-        self.learn(w for ws in split for w in ws)
+        self.learn(chain.from_iterable(split))
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
