@@ -13,7 +13,7 @@ lie within a factor of 4/3.
    a shingle among their first n - ceil(3n/4) + 1.  Classes that share such a
    shingle are brought together by a shuffle; shingles with the same members
    count as one group.  Inside a group an odd sketch (each shingle flips one of
-   about 2n bits) gives a lower bound of the symmetric difference; classes
+   about n bits) gives a lower bound of the symmetric difference; classes
    within reach of each other are chained.  Components of these chains are
    the candidate groups: all links lie inside one.
 3. *Prefix trees.*  The sets of a group, in ascending order of hashes, form a
@@ -55,8 +55,13 @@ COUNT_CHUNK = 2_000_000
 REPORT, HEAVY = 3, 32
 #: Bound of the broadcast table of recurring shingles.
 HEAVY_ROWS = 200_000
-#: Bits of a sketch, at least and at most.
-SKETCH_BITS = (256, 4096)
+#: Bits of a sketch, at least and at most; in between, at least one per shingle,
+#: with which unrelated sets differ in about half of n bits and linked ones in
+#: 2n/7 at most.
+SKETCH_BITS = (256, 1 << 16)
+#: Member classes whose ids are broadcast to their texts; more are joined by a
+#: shuffle.
+BROADCAST_MEMBERS = 100_000
 #: Members up to which a group is split by sketches; a larger one is one chain.
 SPLIT_MEMBERS = 4_096
 #: Members of a block of a large group, at least and at most.
@@ -105,7 +110,7 @@ def class_key(d: bytes) -> int:
 def sketch(s: np.ndarray) -> bytes:
     """Odd sketch: the bits that an odd number of shingles hash to."""
     width = SKETCH_BITS[0]
-    while width < 2 * len(s) and width < SKETCH_BITS[1]:
+    while width < len(s) and width < SKETCH_BITS[1]:
         width *= 2
     flips = np.bincount((s >> np.uint64(7)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
@@ -465,7 +470,9 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             some = b.take(pa.array(keep, pa.int64()))
             yield batch(_MEMBER, some.column(1), some.column(2), some.column(3), some.column(4), tokens)
 
-    joined = docs.where(F.col("doc_id").isNotNull()).join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
+    few = members.count() <= BROADCAST_MEMBERS
+    members = members.withColumnRenamed("rep", "doc_id")
+    joined = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(members) if few else members, "doc_id")
     return joined.select("text", "digest", "sg", "n", "copies").mapInArrow(run, "digest binary, sg long, n long, copies long, tokens binary")
 
 
