@@ -40,25 +40,22 @@ def value_counts(df: DataFrame, cols: Sequence[str], keep_null: bool = False) ->
     return lv.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
+INTEGERS = ("byte", "short", "integer", "long")
 
 
 def typed_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, value, cnt) with nulls, without casting numbers to text:
-    numeric columns are counted as doubles, the rest as strings; the count
-    tables are then united with the value rendered as text only for the
-    (far fewer) distinct values."""
+    """(feature, value, cnt) with nulls.  Each family of types is counted in
+    its own type, so that equal values are equal and others are not: integers
+    as longs, floats as doubles, decimals and the rest as text.  The value is
+    rendered as text only for the (far fewer) distinct ones."""
     types = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    num = [c for c in cols if types[c].startswith(NUMERIC)]
-    other = [c for c in cols if c not in num]
+    whole = [c for c in cols if types[c] in INTEGERS]
+    real = [c for c in cols if types[c] in ("float", "double")]
     parts = []
-    if num:
-        lv = long_values(df, num, "double")
-        parts.append(lv.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-                     .select("feature", F.col("value").cast("string").alias("value"), "cnt"))
-    if other:
-        lv = long_values(df, other, "string")
-        parts.append(lv.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    for names, as_type in ((whole, "long"), (real, "double"), ([c for c in cols if c not in whole + real], "string")):
+        if names:
+            counted = long_values(df, names, as_type).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+            parts.append(counted.select("feature", F.col("value").cast("string").alias("value"), "cnt"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -199,6 +199,9 @@ def mailing_summary(
 ) -> DataFrame:
     """G9/G7/A21 at alpha*: mailed count; min/mean/std/max of profit per
     mailed member; realised and predicted total; share of the maximum.
+    If every mailing loses money, nobody is mailed (index 0, profit 0), as
+    ``alpha_star`` has it; a deviation of one member and a share of a maximum
+    of 0 are null.
 
     One pass over the members: they are reduced to one row per first-mailed
     grid index (plus one row for the never mailed) with count, sum, sum of
@@ -225,7 +228,8 @@ def mailing_summary(
     t = stats.withColumn("_cum", F.when(mailed_rows, F.sum(F.when(mailed_rows, F.col("s"))).over(w)))
     if kstar is None:
         best = F.max(F.when(mailed_rows, F.struct(F.col("_cum"), (-F.col("k")).alias("nk")))).over(allw)
-        t = t.withColumn("_kstar", -best["nk"])
+        nobody = F.struct(F.lit(0).cast("long").alias("_cum"), F.lit(0).cast("long").alias("nk"))  # alpha 0: profit 0
+        t = t.withColumn("_kstar", -F.greatest(best, nobody)["nk"])
     else:
         t = t.withColumn("_kstar", F.lit(kstar).cast("long"))
     sel = mailed_rows & (F.col("k") <= F.col("_kstar"))
@@ -241,19 +245,19 @@ def mailing_summary(
     )
     n = F.col("n_mailed")
     s = from_cents(F.col("_s"))
-    var = (F.col("_ss") - s * s / n) / (n - 1)
+    var = F.try_divide(F.col("_ss") - s * s / n, n - 1)  # one member mailed: no deviation
     return agg.select(
         F.col("k").cast("long").alias("k"),
         (F.col("k") / F.lit(n_grid - 1)).alias("alpha"),
         F.coalesce(n, F.lit(0)).cast("long").alias("n_mailed"),
-        s.alias("profit"),
+        F.coalesce(s, F.lit(0.0)).alias("profit"),
         "min_profit",
         F.round(s / n, 4).alias("mean_profit"),
-        F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 2).alias("std_profit"),
+        F.when(var.isNotNull(), F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 2)).alias("std_profit"),
         "max_member_profit",
         from_cents(F.col("_mx")).alias("max_profit"),
-        F.round(s / from_cents(F.col("_mx")) * 100, 4).alias("pct_of_max"),
-        F.round(F.col("_pred"), 2).alias("predicted_profit"),
+        F.round(F.try_divide(F.coalesce(s, F.lit(0.0)), from_cents(F.col("_mx"))) * 100, 4).alias("pct_of_max"),
+        F.round(F.coalesce("_pred", F.lit(0.0)), 2).alias("predicted_profit"),
     )
 
 

@@ -221,10 +221,12 @@ def group_quartiles(df: DataFrame, group_cols: Sequence[str], value_col: str) ->
 
 # ---- major donor matrix code (E12) ------------------------------------------------
 # Fixed values of the reference's data dictionary (amounts in $, scaled by the
-# stand-in money unit): major donor = $100+ given; recency C current, L lapsed,
-# I inactive, D dormant; frequency 1, 2 (two to four), 5 (five or more);
-# amount L < $100, C $100-499, M $500-999, T $1,000+; 'X' = not a major donor.
+# stand-in money unit): major donor = a gift of $100+ at any time; recency C
+# current, L lapsed, I inactive, D dormant; frequency 1, 2 (two to four), 5 (five
+# or more); amount L < $100, C $100-499, M $500-999, T $1,000+; 'X' = not a major
+# donor.
 MAJOR_DONOR_MIN = 100.0
+MDMAUD_RECENCY_CODES = ["C", "L", "I", "D"]
 MDMAUD_AMOUNT_EDGES = [100.0, 500.0, 1000.0]
 MDMAUD_AMOUNT_CODES = ["L", "C", "M", "T"]
 
@@ -232,7 +234,8 @@ MDMAUD_AMOUNT_CODES = ["L", "C", "M", "T"]
 def major_donor_code(gifts: DataFrame, ref, scale: float, key: str = "member_id") -> DataFrame:
     """Major donor matrix code from gift events as of ``ref``: the
     recency class of the last gift (<= 12, 13-24, 25-36, 37+ months), the
-    number of gifts and the amount given in that class's period."""
+    number of gifts and the amount given in that class's period; only donors
+    with one gift of $100 or more have a code."""
     ref_idx = fx.month_index(F.lit(ref))
     back = ref_idx - fx.month_index(F.col("gift_date"))
     period = (
@@ -240,19 +243,19 @@ def major_donor_code(gifts: DataFrame, ref, scale: float, key: str = "member_id"
     )
     g = gifts.select(key, period.alias("per"), cents(F.col("amount")).alias("amt"))
     a = g.groupBy(key).agg(
-        F.sum("amt").alias("_tot"),
+        F.max("amt").alias("_top"),
         F.min("per").alias("_p"),
         *[F.count_if(F.col("per") == i).alias(f"_n{i}") for i in range(4)],
         *[F.sum(F.when(F.col("per") == i, F.col("amt"))).alias(f"_a{i}") for i in range(4)],
     )
     n_in = F.coalesce(*[F.when(F.col("_p") == i, F.col(f"_n{i}")) for i in range(4)])
     a_in = from_cents(F.coalesce(*[F.when(F.col("_p") == i, F.col(f"_a{i}")) for i in range(4)]))
-    rec = F.element_at(F.array(*[F.lit(x) for x in "CLID"]), (F.col("_p") + 1).cast("int"))
+    rec = F.element_at(F.array(*[F.lit(x) for x in MDMAUD_RECENCY_CODES]), (F.col("_p") + 1).cast("int"))
     freq = F.when(n_in == 1, "1").when(n_in <= 4, "2").otherwise("5")
     amt = F.lit(MDMAUD_AMOUNT_CODES[-1])
     for edge, code in reversed(list(zip(MDMAUD_AMOUNT_EDGES, MDMAUD_AMOUNT_CODES[:-1]))):
         amt = F.when(a_in < F.lit(edge * scale), F.lit(code)).otherwise(amt)
-    major = from_cents(F.col("_tot")) >= F.lit(MAJOR_DONOR_MIN * scale)
+    major = from_cents(F.col("_top")) >= F.lit(MAJOR_DONOR_MIN * scale)
     return a.select(
         key,
         F.when(major, rec).alias("mdmaud_r"),

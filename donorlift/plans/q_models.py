@@ -194,6 +194,31 @@ def q_stream_gift_windows(spark, sf_dir):
     return st.gift_windows(spark, sf_dir)
 
 
+@register(
+    "stream_gift_sliding",
+    """
+SELECT w AS window_start, w + INTERVAL 7 DAY AS window_end, user_id, COUNT(*) AS n_gifts, round(SUM(value), 2) AS amount
+FROM (SELECT user_id, value, date_trunc('day', ts) - to_days(CAST(unnest(generate_series(0, 6)) AS INTEGER)) AS w
+      FROM events WHERE event_type = 'purchase')
+GROUP BY w, user_id
+HAVING w + INTERVAL 7 DAY <= (SELECT MAX(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 2 DAY""",
+    ids="T2",
+)
+def q_stream_gift_sliding(spark, sf_dir):
+    return st.gift_windows(spark, sf_dir, "7 days", "2 days", "1 day")
+
+
+@register(
+    "stream_gift_months",
+    """
+SELECT CAST(date_trunc('month', ts) AS DATE) AS month, user_id, COUNT(*) AS n_gifts, round(SUM(value), 2) AS amount
+FROM events WHERE event_type = 'purchase' GROUP BY ALL""",
+    ids="T2",
+)
+def q_stream_gift_months(spark, sf_dir):
+    return st.gift_months(spark, sf_dir)
+
+
 @register(
     "stream_rfa",
     """
@@ -220,7 +245,7 @@ def q_stream_responses(spark, sf_dir):
 
 @register(
     "stream_dedup",
-    "SELECT DISTINCT user_id, event_type, value FROM events",
+    "SELECT event_id, min(user_id) AS user_id, min(event_type) AS event_type, min(value) AS value FROM events GROUP BY event_id",
     ids="T5",
 )
 def q_stream_dedup(spark, sf_dir):

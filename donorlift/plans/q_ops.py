@@ -148,14 +148,14 @@ def q_select_columns(spark, sf_dir):
 SELECT a.member_id,
   CASE WHEN major THEN substr('CLID', a.p + 1, 1) END AS mdmaud_r,
   CASE WHEN major THEN (CASE WHEN i.n = 1 THEN '1' WHEN i.n <= 4 THEN '2' ELSE '5' END) END AS mdmaud_f,
-  CASE WHEN major THEN (CASE WHEN i.s < 1600000 THEN 'L' WHEN i.s < 8000000 THEN 'C'
-                             WHEN i.s < 16000000 THEN 'M' ELSE 'T' END) END AS mdmaud_a,
+  CASE WHEN major THEN (CASE WHEN i.s < 250000 THEN 'L' WHEN i.s < 1250000 THEN 'C'
+                             WHEN i.s < 2500000 THEN 'M' ELSE 'T' END) END AS mdmaud_a,
   CASE WHEN major THEN substr('CLID', a.p + 1, 1)
                        || (CASE WHEN i.n = 1 THEN '1' WHEN i.n <= 4 THEN '2' ELSE '5' END)
-                       || (CASE WHEN i.s < 1600000 THEN 'L' WHEN i.s < 8000000 THEN 'C'
-                                WHEN i.s < 16000000 THEN 'M' ELSE 'T' END)
+                       || (CASE WHEN i.s < 250000 THEN 'L' WHEN i.s < 1250000 THEN 'C'
+                                WHEN i.s < 2500000 THEN 'M' ELSE 'T' END)
        ELSE 'X' END AS mdmaud
-FROM (SELECT member_id, MIN(per) AS p, CAST(SUM(amt) AS DOUBLE) >= 1600000 AS major FROM g GROUP BY member_id) a
+FROM (SELECT member_id, MIN(per) AS p, CAST(MAX(amt) AS DOUBLE) >= 250000 AS major FROM g GROUP BY member_id) a
 JOIN (SELECT g.member_id, g.per, COUNT(*) AS n, CAST(SUM(g.amt) AS DOUBLE) AS s FROM g GROUP BY g.member_id, g.per) i
   ON a.member_id = i.member_id AND a.p = i.per""", [("g", f"""
 SELECT member_id, CAST(amount AS DECIMAL(18,2)) AS amt,
@@ -166,7 +166,8 @@ FROM gifts""")]),
     ids="E12",
 )
 def q_major_donor_code(spark, sf_dir):
-    return sg.major_donor_code(si.gifts(_t(spark, sf_dir)), si.REF, si.SCALE)
+    # a money unit under which both major donors and others occur
+    return sg.major_donor_code(si.gifts(_t(spark, sf_dir)), si.REF, 2500.0)
 
 
 @register(

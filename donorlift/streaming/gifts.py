@@ -2,10 +2,11 @@
 
 The reference has no streaming operator; its one streaming-shaped property
 is "learn once, then apply the frozen transformations to later data".  The
-stream jobs here read Parquet as a file stream (``pathGlobFilter`` picks
-one table from the folder), run with ``trigger(availableNow=True)`` and
-write to a sink under the shared checkpoint folder, so a restarted job
-resumes from its checkpoint instead of recomputing.
+stream jobs here read a Parquet table, one file or a folder of files, as a
+file stream, run with ``trigger(availableNow=True)`` and write to a sink
+under the shared checkpoint folder, so a restarted job resumes from its
+checkpoint instead of recomputing.  All files that are there at the start
+form one micro-batch unless ``files_per_trigger`` limits it.
 
 Stand-in semantics on the driver's ``events`` table: an event of type
 ``purchase`` is a gift (``value`` = amount), a ``view`` is a mailing.
@@ -19,6 +20,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from donorlift.session import ensure_checkpoint_dir
 
@@ -31,16 +33,25 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/stream-{name}-{uuid.uuid4().hex}"
 
 
-def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """File stream over one Parquet table of the folder (schema from the
-    batch reader: a stream source needs it up front)."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    s = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(target).isDirectory()
+
+
+def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
+    """File stream over one Parquet table (schema from the batch reader: a
+    stream source needs it up front).  A table that is a folder is read with
+    all its files; a single file is picked out of its folder by name."""
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if _is_folder(spark, path):
+        s = reader.parquet(path)
+    else:
+        s = reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
     # event time must be TIMESTAMP for watermarks; wall clock read as UTC
     ntz = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return s.select(*[F.col(c).cast("timestamp").alias(c) if c in ntz else F.col(c) for c in s.columns])
@@ -84,41 +95,55 @@ def _run_append(df: DataFrame, name: str) -> DataFrame:
     return _wall_clock(spark.read.schema(df.schema).parquet(f"{root}/out"))
 
 
-def _run_complete(df: DataFrame, name: str) -> DataFrame:
-    """Complete-mode aggregation; every micro-batch rewrites the result
-    table (the last one holds the final state)."""
+def _run_update(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Update-mode aggregation: every micro-batch writes the rows that it
+    changed, under its number (a repeated batch replaces its own folder), and
+    the latest row of each key is the result."""
     spark = df.sparkSession
     root = _scratch(spark, name)
     out = f"{root}/out"
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (
         df.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{root}/ckpt")
-        .outputMode("complete")
+        .outputMode("update")
         .trigger(availableNow=True)
     )
     q = _start(q, spark)
     q.awaitTermination()
-    return _wall_clock(spark.read.schema(df.schema).parquet(out))
+    rest = [c for c in df.columns if c not in keys]
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])).parquet(out)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_last"))
+    return _wall_clock(last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns]))
 
 
-def gift_windows(spark: SparkSession, sf_dir: str, window: str = "1 day", lateness: str = "2 days") -> DataFrame:
-    """Gifts and amount per donor per tumbling window; gifts later than
-    the watermark are dropped, a window is emitted once the watermark has
-    passed its end."""
+def gift_windows(spark: SparkSession, sf_dir: str, window: str = "1 day", lateness: str = "2 days", slide: str | None = None) -> DataFrame:
+    """Gifts and amount per donor per tumbling or sliding window; gifts
+    later than the watermark are dropped, a window is emitted once the
+    watermark has passed its end."""
     ev = table_stream(spark, sf_dir, "events")
-    return _run_append(gift_window_agg(ev, window, lateness), "gift-windows")
+    return _run_append(gift_window_agg(ev, window, lateness, slide), "gift-windows")
+
+
+def gift_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 by calendar month: running gifts and amount per donor and month
+    (months are no fixed window, so the state is keyed by their first day)."""
+    ev = table_stream(spark, sf_dir, "events").where(F.col("event_type") == GIFT)
+    agg = ev.groupBy(F.trunc("ts", "month").alias("month"), "user_id").agg(
+        F.count(F.lit(1)).alias("n_gifts"), F.round(F.sum("value"), 2).alias("amount")
+    )
+    return _run_update(agg, "gift-months", ["month", "user_id"])
 
 
-def gift_window_agg(events: DataFrame, window: str = "1 day", lateness: str = "2 days") -> DataFrame:
+def gift_window_agg(events: DataFrame, window: str = "1 day", lateness: str = "2 days", slide: str | None = None) -> DataFrame:
     """The T2 transformation on an event stream (event time ``ts``)."""
     return (
         events.where(F.col("event_type") == GIFT)
         .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", window).alias("w"), "user_id")
+        .groupBy(F.window("ts", window, slide).alias("w"), "user_id")
         .agg(F.count(F.lit(1)).alias("n_gifts"), F.sum("value").alias("amount"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                 "user_id", "n_gifts", F.round("amount", 2).alias("amount"))
@@ -126,14 +151,15 @@ def gift_window_agg(events: DataFrame, window: str = "1 day", lateness: str = "2
 
 
 def running_rfa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running recency / frequency / amount per donor (complete mode)."""
+    """Running recency / frequency / amount per donor; each batch writes
+    the donors that it changed."""
     ev = table_stream(spark, sf_dir, "events").where(F.col("event_type") == GIFT)
     agg = ev.groupBy("user_id").agg(
         F.max("ts").alias("last_gift_ts"),
         F.count(F.lit(1)).alias("frequency"),
         F.round(F.sum("value"), 2).alias("amount"),
     )
-    return _run_complete(agg, "running-rfa")
+    return _run_update(agg, "running-rfa", ["user_id"])
 
 
 def responses_to_mailings(spark: SparkSession, sf_dir: str, within: str = "1 day") -> DataFrame:
@@ -155,11 +181,13 @@ def responses_to_mailings(spark: SparkSession, sf_dir: str, within: str = "1 day
     return _run_append(j, "responses")
 
 
-def dedup_gifts(spark: SparkSession, sf_dir: str, keys=("user_id", "event_type", "value")) -> DataFrame:
-    """T5: duplicate events (same donor, type and amount) dropped within the
-    watermark; the kept keys are returned."""
-    ev = table_stream(spark, sf_dir, "events").withWatermark("ts", "1 day")
-    d = ev.dropDuplicatesWithinWatermark(list(keys)).select(*keys)
+def dedup_gifts(spark: SparkSession, sf_dir: str, keep: str = "30 days", files_per_trigger: int | None = None) -> DataFrame:
+    """T5: events delivered again (same ``event_id``) are dropped.  Ids are
+    remembered for ``keep`` behind the latest event time; a redelivery counts
+    as such in whatever batch it arrives, and events later than that are
+    dropped as late."""
+    ev = table_stream(spark, sf_dir, "events", files_per_trigger).withWatermark("ts", keep)
+    d = ev.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type", "value")
     return _run_append(d, "dedup")
 
 

@@ -36,3 +36,11 @@ def test_keep_single_level_option(spark):
     prof = pf.column_profile(df, ["flag"])
     assert pf.near_zero_report(prof).first()["dropped"]
     assert not pf.near_zero_report(prof, keep_single_level=True).first()["dropped"]
+
+
+def test_big_integers_are_counted_exactly(spark):
+    from donorlift.operators import profile as pf
+
+    df = spark.range(100).selectExpr("id + 9007199254740993 AS big", "CAST(id AS DECIMAL(38,0)) + 90071992547409930000 AS dec", "id / 4.0D AS real")
+    got = {r["feature"]: (r["n_distinct"], r["top1"]) for r in pf.column_profile(df, ["big", "dec", "real"]).collect()}
+    assert got == {"big": (100, 1), "dec": (100, 1), "real": (100, 1)}

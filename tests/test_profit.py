@@ -41,3 +41,15 @@ def test_alpha_star_first_of_ties(spark):
     best = pr.alpha_star(curve).first()
     # mailed once alpha > 0.068, profit flat afterwards: the first such grid point
     assert best["k"] == 7 and abs(best["profit"] - 9.32) < 1e-9
+
+
+def test_mailing_summary_edge_cases(spark):
+    from donorlift.operators import profit as pr
+
+    schema = "crit double, amount double, pred double"
+    one = pr.mailing_summary(spark.createDataFrame([(0.1, 30.0, 20.0), (2.0, 0.0, 1.0)], schema), "crit", "amount", "pred", 10.0, None, 11).first()
+    assert (one["n_mailed"], one["profit"], one["std_profit"]) == (1, 20.0, None)
+    loss = pr.mailing_summary(spark.createDataFrame([(0.1, 0.0, 20.0), (0.5, 1.0, 20.0)], schema), "crit", "amount", "pred", 10.0, None, 11).first()
+    assert (loss["k"], loss["n_mailed"], loss["profit"], loss["predicted_profit"]) == (0, 0, 0.0, 0.0)
+    none = pr.mailing_summary(spark.createDataFrame([(0.1, 0.0, 20.0)], schema), "crit", "amount", "pred", 10.0, None, 11).first()
+    assert none["pct_of_max"] is None

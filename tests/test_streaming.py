@@ -35,3 +35,43 @@ def test_late_gift_dropped(spark, tmp_path):
     assert got[(2, 7)] == (1, 5.0)
     assert got[(8, 8)] == (1, 2.0)
     assert (12, 9) not in got            # its window is still open at the end
+
+
+def _as_folder(spark, sf_dir, to, tables, files=3):
+    for t in tables:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(files).write.parquet(f"{to}/{t}.parquet")
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    _as_folder(spark, sf, str(tmp_path), ["events"])
+    for run in (st.gift_windows, st.gift_months, st.running_rfa, st.responses_to_mailings, st.dedup_gifts):
+        one, folder = run(spark, sf), run(spark, str(tmp_path))
+        assert one.count() > 0, run.__name__
+        assert one.exceptAll(folder).isEmpty() and folder.exceptAll(one).isEmpty(), run.__name__
+
+
+def test_redelivered_gift_dropped_across_batches(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    batches = [[(1, day(1), 7, "purchase", 10.0), (2, day(2), 7, "purchase", 10.0)],
+               [(1, day(1), 7, "purchase", 10.0), (3, day(9), 7, "purchase", 10.0)],
+               [(2, day(2), 7, "purchase", 10.0), (3, day(9), 7, "purchase", 10.0), (4, day(3), 8, "view", 0.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(1.1)
+    got = st.dedup_gifts(spark, str(tmp_path), files_per_trigger=1)
+    # equal amounts of one donor are gifts of their own; only equal ids go
+    assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3, 4]
+
+
+def test_running_rfa_keeps_the_latest_state(spark, tmp_path, monkeypatch):
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    for i, rows in enumerate(([(1, day(1), 7, "purchase", 10.0), (2, day(1), 8, "purchase", 1.0)], [(3, day(2), 7, "purchase", 5.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(1.1)
+    every = st.table_stream
+    monkeypatch.setattr(st, "table_stream", lambda s, d, t: every(s, d, t, 1))
+    got = {r["user_id"]: (r["frequency"], r["amount"]) for r in st.running_rfa(spark, str(tmp_path)).collect()}
+    assert got == {7: (2, 15.0), 8: (1, 1.0)}
