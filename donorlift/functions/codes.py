@@ -78,8 +78,14 @@ def recode_binary(c: Column, true_code: str, false_code: str) -> Column:
     )
 
 
-def recode_binary_noisy(c: Column, true_code: str, false_code: str) -> Column:
-    """C7b (documented meaning): as C7, but blank and missing count as false."""
+def recode_binary_noisy(c: Column, true_code: str, false_code: str, fixes: dict[str, int | None] | None = None) -> Column:
+    """C7b (documented meaning): as C7, but blank and missing count as false;
+    ``fixes`` maps further codes to 1, 0 or null and goes before both."""
+    if fixes:
+        expr = recode_binary_noisy(c, true_code, false_code)
+        for code, value in fixes.items():
+            expr = F.when(c == code, F.lit(value).cast("int")).otherwise(expr)
+        return expr
     return F.coalesce(
         F.when(c.isin(true_code, "1"), 1).when(c.isin(false_code, "0", "", " "), 0),
         F.lit(0),

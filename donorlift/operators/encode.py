@@ -22,6 +22,8 @@ from donorlift.operators.profile import long_values
 # binary encoder is the right tool (the reference's rule is > 10 levels).
 ONE_HOT_MAX_LEVELS = 10
 ONE_HOT_HARD_LIMIT = 1000
+# Rows of a coordinate table that is broadcast (about 40 bytes each).
+COORDS_BROADCAST_ROWS = 200_000
 
 
 def n_bits(n_codes: int) -> int:
@@ -64,13 +66,26 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str], missing_indicator: b
     return df.select(*[x for x in df.columns], *cols)
 
 
+def encode_nominals(df: DataFrame, cols: Sequence[str], max_levels: int = ONE_HOT_MAX_LEVELS) -> DataFrame:
+    """One-hot for columns with at most ``max_levels`` levels, binary code
+    for the others.  Levels are counted exactly, in one aggregation."""
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    for c in cols:
+        if counts[c] <= max_levels:
+            df = one_hot(df, c, fit_one_hot(df, c, max_levels))
+        else:
+            df = binary_encode(df, c, fit_levels(df, c), counts[c])
+    return df
+
+
 def hash_bucket(value: Column, n: int) -> Column:
-    """md5 of the text; int(hexdigest, 16) mod n.  For n dividing 16
-    only the last hex digit matters."""
-    if 16 % n != 0:
-        raise ValueError("n must divide 16 for the md5 bucket rule")
-    last = F.substring(F.md5(value.cast("string")), 32, 1)
-    return (F.conv(last, 16, 10).cast("int") % n).cast("int")
+    """md5 of the text; int(hexdigest, 16) mod n, for any n below 2^31:
+    eight hex digits at a time, from the front (Horner's rule mod n)."""
+    digest = F.md5(value.cast("string"))
+    rest = F.lit(0).cast("long")
+    for at in (1, 9, 17, 25):
+        rest = (rest * F.lit(1 << 32) + F.conv(F.substring(digest, at, 8), 16, 10).cast("long")) % n
+    return rest.cast("int")
 
 
 def hash_encode(df: DataFrame, cols: Sequence[str], n: int = 8, key: str | None = None) -> DataFrame:
@@ -129,11 +144,13 @@ def coords_lookup(
 ) -> DataFrame:
     """Key -> (latitude, longitude) from a lookup table; a miss for a
     military state gets the fixed point, any other miss (0, 0); a missing
-    key stays missing.  The table is joined by broadcast when small."""
+    key stays missing.  The table is joined by broadcast if it has at most
+    COORDS_BROADCAST_ROWS rows, by a shuffle otherwise."""
     t = table.select(
         F.col("key").alias("_k"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")
     )
-    j = df.join(F.broadcast(t), df[key_col] == t["_k"], "left")
+    small = t.limit(COORDS_BROADCAST_ROWS + 1).count() <= COORDS_BROADCAST_ROWS
+    j = df.join(F.broadcast(t) if small else t, df[key_col] == t["_k"], "left")
     hit = F.col("_k").isNotNull()
     mil = F.col(state_col).isin(list(military_states))
     lat = (

@@ -69,8 +69,12 @@ def logit(label: str = "target_b", reg: float = 0.01, enet: float = 0.5) -> Logi
                               regParam=reg, elasticNetParam=enet, maxIter=50, standardization=True)
 
 
-def forest_classifier(label: str = "target_b", trees: int = 50, depth: int = 6, seed: int = 42):
-    """Random forest classifier with class weights."""
+# Sizes of the reference's learners; a caller may pass others.
+SELECTION_TREES, REGRESSION_TREES, CLASSIFIER_TREES = 500, 500, 1500
+
+
+def forest_classifier(label: str = "target_b", trees: int = CLASSIFIER_TREES, depth: int = 3, seed: int = 42):
+    """M1: random forest classifier with class weights."""
     return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="w",
                                   numTrees=trees, maxDepth=depth, seed=seed)
 
@@ -94,11 +98,12 @@ def linear_svc(label: str = "target_b"):
     return LinearSVC(featuresCol="features", labelCol=label, weightCol="w", regParam=0.01, maxIter=50)
 
 
-def vote(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """M6: majority vote of two classifiers; a tie (1 vs 0) counts as 0."""
-    return a.select(key, F.col("prediction").alias("pa")).join(
-        b.select(key, F.col("prediction").alias("pb")), key
-    ).select(key, ((F.col("pa") + F.col("pb")) >= 2).cast("int").alias("vote"))
+def vote(df: DataFrame, a, b, key: str) -> DataFrame:
+    """M6: majority vote of two fitted classifiers, both applied to one table
+    without a join; a tie (1 vs 0) counts as 0."""
+    outputs = ["rawPrediction", "probability", "prediction"]
+    first = a.transform(df).withColumn("_pa", F.col("prediction")).drop(*outputs)
+    return b.transform(first).select(key, ((F.col("_pa") + F.col("prediction")) >= 2).cast("int").alias("vote"))
 
 
 def coef_table(model, names: Sequence[str], spark) -> DataFrame:
@@ -137,7 +142,7 @@ class AmountModel:
 
 
 def fit_amount_forest(ff: FeatureFrame, amount: str = "target_d", label: str = "target_b",
-                      scale: float = 1.0, trees: int = 50, depth: int = 6, seed: int = 42,
+                      scale: float = 1.0, trees: int = REGRESSION_TREES, depth: int = 6, seed: int = 42,
                       regressor=None) -> AmountModel:
     """M7 + R9: Box-Cox (lambda by likelihood), standardise, then a regressor
     on donors (a random forest unless another MLlib regressor is given, X4)."""
@@ -259,9 +264,9 @@ def pca_variance(df: DataFrame, array_col: str, share: float = 0.95) -> DataFram
     return t.withColumn("selected", F.col("k") <= F.lit(kmin))
 
 
-def select_from_model(ff: FeatureFrame, label: str = "target_b", trees: int = 100) -> DataFrame:
+def select_from_model(ff: FeatureFrame, label: str = "target_b", trees: int = SELECTION_TREES) -> DataFrame:
     """keep features whose forest importance is at least the mean."""
-    m = forest_classifier(label, trees=trees).fit(ff.df)
+    m = forest_classifier(label, trees=trees, depth=6).fit(ff.df)
     imp = importance_table(m, ff.names, ff.df.sparkSession)
     mean = 1.0 / len(ff.names)  # importances sum to one
     return imp.withColumn("selected", F.col("importance") >= F.lit(mean))
@@ -272,47 +277,57 @@ def _binom_sf(k: int, n: int, p: float = 0.5) -> float:
     return sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k, n + 1))
 
 
-def boruta(ff: FeatureFrame, label: str = "target_b", rounds: int = 8, trees: int = 30,
+def boruta(ff: FeatureFrame, label: str = "target_b", max_rounds: int = 120, trees: int = 30,
            alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """all-relevant selection.  Each round appends a shadow copy of every
-    feature whose values are permuted across rows (rows paired by exact
-    positions in key order and in a seeded hash order), fits a forest and
-    counts a hit when a feature beats the best shadow.  A two-sided binomial
-    test on the hits decides confirmed / rejected / tentative.  Each round's
-    table is checkpointed (lineage cut)."""
+    open feature whose values are permuted across rows (exact positions in
+    hash order, moved by a seeded affine permutation), fits a forest and counts a
+    hit when a feature beats the best shadow.  A two-sided binomial test on
+    the hits decides confirmed / rejected; rejected features leave, and the
+    rounds end when every feature is decided or at ``max_rounds``, which
+    leaves the rest tentative.  ``rank``: 1 confirmed, 2 tentative, then
+    rejected ones, the last rejected first (F5)."""
     spark = ff.df.sparkSession
     ensure_checkpoint_dir(spark)
-    key, names = ff.key, ff.names
-    base = ff.df.select(key, label, "w", *names)
-    hits = {n: 0 for n in names}
-    orig = with_positions(base, [(key, True)], pos_col="_pa", size_col="_na")
-    for r in range(rounds):
-        h = base.select(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}|{r}"))).alias("_h"), key, *names)
-        shuf = with_positions(h, [("_h", True), (key, True)], pos_col="_pb", size_col="_nb")
-        shadow = shuf.select(F.col("_pb").alias("_pa"), *[F.col(n).alias(f"shadow_{n}") for n in names])
-        tab = orig.join(shadow, "_pa").checkpoint(eager=True)
-        cols = names + [f"shadow_{n}" for n in names]
-        va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    key, names = ff.key, list(ff.names)
+    mixed = ff.df.select(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))).alias("_h"), key, label, "w", *names)
+    base = with_positions(mixed, [("_h", True), (key, True)], pos_col="_p", size_col="_n").checkpoint(eager=True)
+    n = base.count()
+    rnd = random.Random(seed)
+    hits, rounds = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+    decision = dict.fromkeys(names, "tentative")
+    left_at: dict[str, int] = {}
+    for r in range(max_rounds):
+        alive = [c for c in names if decision[c] != "rejected"]
+        if all(decision[c] != "tentative" for c in names) or n < 2:
+            break
+        step = next(a for a in iter(lambda: rnd.randrange(1, n), None) if math.gcd(a, n) == 1)
+        moved = (F.col("_p") * step + rnd.randrange(n)) % n + 1  # positions are 1 .. n
+        shadow = base.select(moved.alias("_p"), *[F.col(c).alias(f"shadow_{c}") for c in alive])
+        cols = alive + [f"shadow_{c}" for c in alive]
+        tab = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(base.join(shadow, "_p"))
         m = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="w", numTrees=trees,
-                                   maxDepth=6, seed=seed + r).fit(va.transform(tab))
+                                   maxDepth=6, seed=seed + r).fit(tab.select("features", label, "w"))
         imp = m.featureImportances.toArray()
-        best_shadow = max(imp[len(names):])
-        for i, n in enumerate(names):
-            if imp[i] > best_shadow:
-                hits[n] += 1
-    rows = []
-    for n in names:
-        k = hits[n]
-        p_hi = _binom_sf(k, rounds)          # P(X >= k)
-        p_lo = 1 - _binom_sf(k + 1, rounds)  # P(X <= k)
-        decision = "confirmed" if p_hi < alpha / 2 else ("rejected" if p_lo < alpha / 2 else "tentative")
-        rows.append((n, k, decision))
-    return spark.createDataFrame(rows, "feature string, hits int, decision string")
+        best_shadow = max(imp[len(alive):])
+        for i, c in enumerate(alive):
+            if decision[c] != "tentative":
+                continue
+            rounds[c] += 1
+            hits[c] += int(imp[i] > best_shadow)
+            if _binom_sf(hits[c], rounds[c]) < alpha / 2:
+                decision[c] = "confirmed"
+            elif 1 - _binom_sf(hits[c] + 1, rounds[c]) < alpha / 2:
+                decision[c], left_at[c] = "rejected", r
+    last = sorted({left_at[c] for c in left_at}, reverse=True)
+    rank = {c: {"confirmed": 1, "tentative": 2}.get(decision[c]) or 3 + last.index(left_at[c]) for c in names}
+    return spark.createDataFrame([(c, hits[c], rounds[c], decision[c], rank[c]) for c in names],
+                                 "feature string, hits int, rounds int, decision string, rank int")
 
 
 # ---- model search (V1-V3) -----------------------------------------------------------
-def random_search(ff: FeatureFrame, folds: DataFrame, label: str = "target_b", n_sets: int = 4,
-                  seed: int = 42, parallelism: int = 4) -> DataFrame:
+def random_search(ff: FeatureFrame, folds: DataFrame, label: str = "target_b", n_sets: int = 10,
+                  n_folds: int = 10, seed: int = 42, parallelism: int = 8) -> DataFrame:
     """V1-V3: random parameter sets (seeded draws, V2) for the elastic-net
     logit, scored by k-fold cross-validation on given folds (R3); result
     table best first."""
@@ -325,7 +340,7 @@ def random_search(ff: FeatureFrame, folds: DataFrame, label: str = "target_b", n
     data = ff.df.join(folds.select(ff.key, "fold"), ff.key).checkpoint(eager=True)
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid,
                         evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-                        foldCol="fold", numFolds=5, parallelism=parallelism, seed=seed)
+                        foldCol="fold", numFolds=n_folds, parallelism=parallelism, seed=seed)
     m = cv.fit(data)
     spark = ff.df.sparkSession
     rows = [(float(reg), float(enet), float(s)) for (reg, enet), s in zip(sets, m.avgMetrics)]
@@ -334,30 +349,69 @@ def random_search(ff: FeatureFrame, folds: DataFrame, label: str = "target_b", n
 
 
 # ---- iterative imputation (I4) ------------------------------------------------------
-def impute_iterative(df: DataFrame, key: str, cols: Sequence[str], rounds: int = 3,
+def impute_iterative(df: DataFrame, key: str, cols: Sequence[str], rounds: int = 5,
                      medians: dict | None = None) -> DataFrame:
     """I4: chained regression imputation.  Start from median fills; in each
-    round every incomplete column (fewest missing first) is regressed on
-    the others over the rows where it is known, and its missing cells are
-    replaced by the prediction.  The table is checkpointed after each round."""
+    round every incomplete column (fewest missing first) is regressed on the
+    others over the rows where it is known, and its missing cells are replaced
+    by the prediction.
+
+    One step is one pass: each batch repeats the round's earlier steps on its
+    rows and adds its part of the column's normal equations (columns squared
+    numbers), which Spark sums; the solved coefficients are the next step.  The
+    table is checkpointed after each round."""
+    import numpy as np
+    import pandas as pd
+
     ensure_checkpoint_dir(df.sparkSession)
+    cols, p = list(cols), len(cols)
     miss = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    order = [c for c in sorted(cols, key=lambda c: (miss[c], c)) if miss[c] > 0]
-    cur = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols],
-                    *[F.col(c).isNull().alias(f"_m_{c}") for c in cols])
+    order = [cols.index(c) for c in sorted(cols, key=lambda c: (miss[c], c)) if miss[c] > 0]
     fills = medians or {}
-    cur = cur.select(key, *[F.coalesce(F.col(c), F.lit(fills.get(c, 0.0))).alias(c) for c in cols],
-                     *[f"_m_{c}" for c in cols])
+    cur = df.select(key, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float(fills.get(c, 0.0)))) for c in cols]).alias("x"),
+                    F.array(*[F.col(c).isNull() for c in cols]).alias("m")).checkpoint(eager=True)
+
+    def replayed(pdf: pd.DataFrame, steps: list) -> tuple:
+        if not len(pdf):
+            return np.zeros((0, p)), np.zeros((0, p), bool)
+        x, m = np.stack(pdf["x"].to_numpy()).astype(float), np.stack(pdf["m"].to_numpy()).astype(bool)
+        for c, w in steps:  # w[c] is the intercept's place
+            z = x.copy()
+            z[:, c] = 1.0
+            x[m[:, c], c] = z[m[:, c]] @ w
+        return x, m
+
+    def equations(steps: list, c: int):
+        def run(frames):
+            total = np.zeros((p, p + 1))
+            for pdf in frames:
+                x, m = replayed(pdf, steps)
+                known = ~m[:, c]
+                y = x[known, c].copy()
+                z = x[known]
+                z[:, c] = 1.0
+                total += np.column_stack([z.T @ z, z.T @ y])
+            yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+        rows = cur.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        flat = np.zeros(p * (p + 1))
+        for r in rows:
+            flat[r.i] = r.v
+        a = flat.reshape(p, p + 1)
+        return np.linalg.lstsq(a[:, :p], a[:, p], rcond=1e-12)[0]
+
     for _ in range(rounds):
+        steps: list = []
         for c in order:
-            others = [o for o in cols if o != c]
-            va = VectorAssembler(inputCols=others, outputCol="_x")
-            known = va.transform(cur.where(~F.col(f"_m_{c}")))
-            m = LinearRegression(featuresCol="_x", labelCol=c, maxIter=20, regParam=0.0).fit(known)
-            pred = m.transform(va.transform(cur)).select(key, F.col("prediction").alias("_p"))
-            cur = cur.join(pred, key).withColumn(c, F.when(F.col(f"_m_{c}"), F.col("_p")).otherwise(F.col(c))).drop("_p")
-        cur = cur.checkpoint(eager=True)
-    return cur.select(key, *[F.round(c, 6).alias(c) for c in cols])
+            steps.append((c, equations(list(steps), c)))
+
+        def settle(frames, steps=steps):
+            for pdf in frames:
+                x, _ = replayed(pdf, steps)
+                yield pdf.assign(x=list(x))
+
+        cur = cur.mapInPandas(settle, cur.schema).checkpoint(eager=True)
+    return cur.select(key, *[F.round(F.get("x", F.lit(i)), 6).alias(c) for i, c in enumerate(cols)])
 
 
 # ---- persistence (S7, S8) -----------------------------------------------------------
@@ -379,30 +433,33 @@ def feature_names(df: DataFrame, col: str = "features") -> list[str]:
 
 
 def record_result(store_root: str, spark, model_name: str, params: str, metric: str, score: float,
-                  model=None) -> DataFrame:
-    """Append (model, params, metric, score, path) to the results table;
-    the fitted model is written only when it beats the best stored score for
-    that metric.  Returns the results table."""
+                  model=None, greater_is_better: bool = True) -> DataFrame:
+    """Append (model, params, metric, score, path, greater_is_better) to
+    the results table; the fitted model is written only when it beats the best
+    stored score of that model and metric.  Returns the results table."""
     import uuid
 
-    table = f"{store_root.rstrip('/')}/results"
-    try:
-        prev = spark.read.parquet(table)
-        best = prev.where(F.col("metric") == metric).agg(F.max("score")).first()[0]
-    except Exception:  # noqa: BLE001 - no table yet
-        best = None
+    from donorlift.sources.files import StageStore
+
+    root = store_root.rstrip("/")
+    table = f"{root}/results"
+    best = None
+    if StageStore(spark, root).exists("results"):
+        mine = spark.read.parquet(table).where((F.col("metric") == metric) & (F.col("model") == model_name))
+        best = mine.agg((F.max if greater_is_better else F.min)("score")).first()[0]
     path = None
-    if model is not None and (best is None or score > best):
-        path = f"{store_root.rstrip('/')}/models/{model_name}-{uuid.uuid4().hex}"
+    if model is not None and (best is None or (score > best if greater_is_better else score < best)):
+        path = f"{root}/models/{model_name}-{uuid.uuid4().hex}"
         model.write().overwrite().save(path)
-    row = spark.createDataFrame([(model_name, params, metric, float(score), path)],
-                                "model string, params string, metric string, score double, path string")
+    row = spark.createDataFrame([(model_name, params, metric, float(score), path, greater_is_better)],
+                                "model string, params string, metric string, score double, path string, greater_is_better boolean")
     row.write.mode("append").parquet(table)
     return spark.read.parquet(table)
 
 
 def best_model(results: DataFrame, metric: str) -> DataFrame:
-    """The stored model with the greatest score (max_by)."""
+    """The best stored model over all models for a metric."""
     r = results.where((F.col("metric") == metric) & F.col("path").isNotNull())
-    return r.agg(F.max_by("model", "score").alias("model"), F.max_by("path", "score").alias("path"),
-                 F.max("score").alias("score"))
+    order = F.when(F.col("greater_is_better"), F.col("score")).otherwise(-F.col("score"))
+    return r.agg(F.max_by("model", order).alias("model"), F.max_by("path", order).alias("path"),
+                 F.max_by("score", order).alias("score"))

@@ -167,8 +167,8 @@ def skewness_report(df: DataFrame, cols: Sequence[str], top: int = 6) -> DataFra
         F.count(F.lit(1)).alias("n"), F.skewness("value").alias("g1")
     )
     n = F.col("n")
-    big_g = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)
-    ses = F.sqrt(6 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3)))
+    big_g = F.try_divide(F.col("g1") * F.sqrt(n * (n - 1)), n - 2)
+    ses = F.sqrt(F.try_divide(6 * n * (n - 1), (n - 2) * (n + 1) * (n + 3)))
     g = g.select("feature", "n", F.round(big_g, 4).alias("skewness"), ses.alias("_ses"))
     w_hi = Window.orderBy(F.col("skewness").desc(), F.col("feature").asc())
     w_lo = Window.orderBy(F.col("skewness").asc(), F.col("feature").asc())

@@ -37,6 +37,11 @@ def stratified_split(df: DataFrame, key: str, label: str, k: int = 5, seed: int
     return p.withColumn("split", F.when(F.col("_pos") <= n_test, "test").otherwise("train")).drop("_pos", "_n")
 
 
+def plain_split(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """R2: the first ceil(n/k) of all rows in hash order are 'test'."""
+    return stratified_split(df.withColumn("_all", F.lit(0)), key, "_all", k, seed).drop("_all")
+
+
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """fold = (position - 1) mod k inside each class."""
     p = stratified_positions(df, key, label, seed)
@@ -82,7 +87,7 @@ def fit_min_max(df: DataFrame, col: str) -> tuple[float, float]:
 
 def min_max_weights(df: DataFrame, col: str, lo: float, hi: float) -> Column:
     """Sample weight from an amount rescaled to [0, 1] (learned range)."""
-    return (F.col(col) - F.lit(lo)) / F.lit(hi - lo)
+    return (F.col(col) - F.lit(lo)) / F.lit((hi - lo) or 1.0)  # a constant column gives zeros
 
 
 def oversample(df: DataFrame, key: str, label: str, minority: int = 1, seed: int = 42) -> DataFrame:
@@ -102,6 +107,14 @@ def oversample(df: DataFrame, key: str, label: str, minority: int = 1, seed: int
     return majo.unionByName(mino)
 
 
+def undersample(df: DataFrame, key: str, label: str, minority: int = 1, seed: int = 42) -> DataFrame:
+    """Every minority row, and of each other class as many rows, the
+    first ones in hash order."""
+    n_min = df.where(F.col(label) == minority).count()
+    p = stratified_positions(df, key, label, seed)
+    return p.where((F.col(label) == minority) | (F.col("_pos") <= n_min)).drop("_pos", "_n")
+
+
 # ---- power transforms ----------------------------------------------------------
 
 def box_cox(x: Column, lam: float) -> Column:

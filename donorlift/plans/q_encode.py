@@ -41,6 +41,7 @@ def q_binary_encode(spark, sf_dir):
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 @register(
@@ -58,6 +59,36 @@ def q_one_hot(spark, sf_dir):
     return en.one_hot(c, "c_mktsegment", levels)
 
 
+def _levels_sql(c: str) -> str:
+    return f"(SELECT {c} AS v, ROW_NUMBER() OVER (ORDER BY {c}) AS code FROM (SELECT DISTINCT {c} FROM part WHERE {c} IS NOT NULL))"
+
+
+@register(
+    "encode_nominals",
+    "SELECT p_partkey, "
+    + ", ".join(f"CAST(COALESCE(p_type = '{t}', false) AS INTEGER) AS \"p_type_{t}\"" for t in PART_TYPES)
+    + ", CAST(p_type IS NULL AS INTEGER) AS p_type_nan, "
+    + ", ".join(f"CAST((COALESCE(l.code, 0) >> {4 - k}) & 1 AS INTEGER) AS p_brand_{k}" for k in range(5))
+    + f" FROM part LEFT JOIN {_levels_sql('p_brand')} l ON l.v = p_brand",
+    ids="E8 E6 E7",
+)
+def q_encode_nominals(spark, sf_dir):
+    """Six types are one-hot, 25 brands get five binary digits."""
+    p = _t(spark, sf_dir).part.select("p_partkey", "p_type", "p_brand")
+    return en.encode_nominals(p, ["p_type", "p_brand"]).drop("p_type", "p_brand")
+
+
+@register(
+    "hash_encode_any",
+    "SELECT p_partkey, "
+    + ", ".join(f"CAST((CASE WHEN CAST(('0x' || md5(p_type))::UHUGEINT % 6 AS INTEGER) = {k} THEN 1 ELSE 0 END) AS INTEGER) AS col_{k}" for k in range(6))
+    + " FROM part",
+    ids="E9",
+)
+def q_hash_encode_any(spark, sf_dir):
+    return en.hash_encode(_t(spark, sf_dir).part, ["p_type"], 6, key="p_partkey")
+
+
 def _hash_sql(c: str) -> str:
     return f"((strpos('0123456789abcdef', right(md5(CAST({c} AS VARCHAR)), 1)) - 1) % 8)"
 

@@ -110,6 +110,26 @@ def q_oversample(spark, sf_dir):
     return sm.oversample(tg, "member_id", "target_b", 1, SEED)
 
 
+@register(
+    "plain_split",
+    with_views(["targets"], """
+SELECT member_id, CASE WHEN pos <= (n + 4) // 5 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT member_id, ROW_NUMBER() OVER (ORDER BY md5(CAST(member_id AS VARCHAR) || '42'), member_id) AS pos, COUNT(*) OVER () AS n FROM targets)"""),
+    ids="R2",
+)
+def q_plain_split(spark, sf_dir):
+    return sm.plain_split(si.targets(_t(spark, sf_dir)).select("member_id"), "member_id", 5, 42)
+
+
+@register(
+    "undersample",
+    with_views(["targets"], "SELECT member_id, target_b FROM pos WHERE target_b = 1 OR pos <= (SELECT COUNT(*) FROM targets WHERE target_b = 1)", [("pos", _POS_SQL)]),
+    ids="R6",
+)
+def q_undersample(spark, sf_dir):
+    return sm.undersample(si.targets(_t(spark, sf_dir)).select("member_id", "target_b"), "member_id", "target_b", 1, SEED)
+
+
 # ---- power transforms -------------------------------------------------------------
 def _power_sql(src: str, psi: str, jac: str) -> str:
     def stage(grid: str) -> str:
@@ -167,7 +187,7 @@ def q_log_scale(spark, sf_dir):
     c = _t(spark, sf_dir).customer
     e = sm.signed_log(F.col("c_acctbal"))
     m = sm.fit_max_abs(c, e)
-    return c.select("c_custkey", F.round(e / F.lit(m), 6).alias("acctbal_scaled"))
+    return c.select("c_custkey", F.round(e / F.lit(m or 1.0), 6).alias("acctbal_scaled"))
 
 
 @register(
@@ -181,7 +201,7 @@ FROM customer""",
 def q_standardise(spark, sf_dir):
     c = _t(spark, sf_dir).customer
     m, s = sm.fit_moments(c, F.col("c_acctbal"))
-    return c.select("c_custkey", F.round((F.col("c_acctbal") - F.lit(m)) / F.lit(s), 6).alias("acctbal_z"))
+    return c.select("c_custkey", F.round((F.col("c_acctbal") - F.lit(m)) / F.lit(s or 1.0), 6).alias("acctbal_z"))
 
 
 # ---- evaluation on the rule score ----------------------------------------------------

@@ -19,7 +19,6 @@ from donorlift.session import ensure_checkpoint_dir
 from donorlift.sources import standin as si
 from donorlift.streaming import gifts as st
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 REF = si.REF
 
 
@@ -27,9 +26,10 @@ def feature_frame(spark, sf_dir) -> md.FeatureFrame:
     t = si.Tables(spark, sf_dir)
     g = si.gifts(t)
     first = g.groupBy("member_id").agg(F.min("gift_date").alias("first_date"))
+    members = si.members(t)
     df, names = fe.member_features(
-        si.members(t), sg.giving_summary(g, REF), sg.promotion_summary(si.history(t), first, REF),
-        si.targets(t), REF, si.SCALE, SEGMENTS,
+        members, sg.giving_summary(g, REF), sg.promotion_summary(si.history(t), first, REF),
+        si.targets(t), REF, si.SCALE, en.fit_one_hot(members, "segment"),
     )
     df = md.with_class_weight(df, "target_b")
     ff = md.assemble(df, names, "member_id")
@@ -90,9 +90,7 @@ def q_two_stage_profit(spark, sf_dir):
 @register("vote", None, ids="M6 M2")
 def q_vote(spark, sf_dir):
     ff = feature_frame(spark, sf_dir)
-    a = md.logit().fit(ff.df).transform(ff.df)
-    b = md.gbt().fit(ff.df).transform(ff.df)
-    return md.vote(a, b, "member_id")
+    return md.vote(ff.df, md.logit().fit(ff.df), md.gbt().fit(ff.df), "member_id")
 
 
 @register("gbt_scores", None, ids="M2")
@@ -144,16 +142,15 @@ def q_boruta(spark, sf_dir):
 @register("random_search", None, ids="V1 V2 V3")
 def q_random_search(spark, sf_dir):
     ff = feature_frame(spark, sf_dir)
-    folds = sm.stratified_folds(ff.df.select("member_id", "target_b"), "member_id", "target_b", 5, 42)
+    folds = sm.stratified_folds(ff.df.select("member_id", "target_b"), "member_id", "target_b", 10, 42)
     return md.random_search(ff, folds)
 
 
 @register("impute_iterative", None, ids="I4")
 def q_impute_iterative(spark, sf_dir):
     wide = _mtd_wide(spark, sf_dir)
-    cols = MTD_COLS[:4]
-    med = en.fit_medians(wide, cols)
-    return md.impute_iterative(wide, "member_id", cols, rounds=3, medians=med)
+    med = en.fit_medians(wide, MTD_COLS)
+    return md.impute_iterative(wide, "member_id", MTD_COLS, medians=med)
 
 
 @register("pipeline_roundtrip", None, ids="S4 S5 S6 S7 S8 X1 X2")

@@ -15,8 +15,8 @@ LINEITEM_NUM = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax",
 ]
-DESCRIBE_NUM = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+DESCRIBE_NUM = LINEITEM_NUM
+CORR_COLS = LINEITEM_NUM
 PART_STR = ["p_name", "p_brand", "p_type"]
 CAMPAIGNS = list(range(si.FIRST_CAMPAIGN, si.LAST_CAMPAIGN + 1))
 HIST_COLS = [f"{p}_{i}" for i in CAMPAIGNS for p in ("RDATE", "RAMNT")]
@@ -115,8 +115,8 @@ def q_missing_report(spark, sf_dir):
     with_views([], """
 SELECT feature, n, skewness,
        abs(skewness) > 2 * sqrt(6.0 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3))) AS significant,
-       ROW_NUMBER() OVER (ORDER BY skewness DESC, feature ASC) <= 3 AS most_skewed,
-       ROW_NUMBER() OVER (ORDER BY skewness ASC, feature ASC) <= 3 AS least_skewed
+       ROW_NUMBER() OVER (ORDER BY skewness DESC, feature ASC) <= 6 AS most_skewed,
+       ROW_NUMBER() OVER (ORDER BY skewness ASC, feature ASC) <= 6 AS least_skewed
 FROM (SELECT feature, COUNT(value) AS n, round(skewness(value), 4) AS skewness
       FROM (UNPIVOT src ON COLUMNS(*) INTO NAME feature VALUE value) GROUP BY feature)""",
         [("src", _double_src("lineitem", LINEITEM_NUM))]),
@@ -124,7 +124,7 @@ FROM (SELECT feature, COUNT(value) AS n, round(skewness(value), 4) AS skewness
 )
 def q_skewness_report(spark, sf_dir):
     li = si.Tables(spark, sf_dir).lineitem
-    return pf.skewness_report(li, LINEITEM_NUM, top=3)
+    return pf.skewness_report(li, LINEITEM_NUM, top=6)
 
 
 def _corr_sql() -> str:
