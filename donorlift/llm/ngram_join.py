@@ -258,7 +258,7 @@ def reachable(n: np.ndarray, sketches: list[bytes]) -> list[np.ndarray]:
                 part += hit.tolist()
                 todo += hit.tolist()
         if len(part) > 1:
-            out.append(np.array(part))
+            out.append(np.sort(np.array(part)))  # groups of much the same members then give the same chains
     return out
 
 
