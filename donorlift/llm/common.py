@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from donorlift.session import ensure_checkpoint_dir
 
 #: Text handled at once inside a task, in bytes.  One longer text is one block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

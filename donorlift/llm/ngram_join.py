@@ -49,7 +49,7 @@ from donorlift.llm.queries import query
 WORDS = 5
 KEEP = byte_class(b" \t\n\x0b\x0c\r")
 #: Shingles looked at together when recurring ones are counted in a task.
-COUNT_CHUNK = 2_000_000
+COUNT_CHUNK = 1_000_000
 #: A shingle is reported with at least this count in a chunk, and is moved to
 #: the end of the order with at least HEAVY in all.
 REPORT, HEAVY = 3, 32
