@@ -520,7 +520,8 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     members = materialise(members.select("digest", "rep", "sg", "n", "copies"), "members")
 
     sets = member_sets(docs, members)
-    full = tiles(members).join(sets.select("digest", "tokens"), "digest").select("tile", "part", "side", "digest", "copies", "tokens")
+    # a repeated id brings its text more than once: one set per class
+    full = tiles(members).join(sets.select("digest", "tokens").dropDuplicates(["digest"]), "digest").select("tile", "part", "side", "digest", "copies", "tokens")
     found = materialise(full.groupBy("tile").applyInArrow(lambda t: _tile(t), "digest binary, links long, root binary"), "links")
 
     counted = found.groupBy("digest").agg(F.sum("links").alias("links"))
