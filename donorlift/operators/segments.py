@@ -24,6 +24,7 @@ from donorlift.operators.ordering import exact_quantiles, ntile_of, with_positio
 RFA_AMOUNT_EDGES = [2.0, 3.0, 5.0, 10.0, 15.0, 25.0]
 RFA_AMOUNT_CODES = ["A", "B", "C", "D", "E", "F", "G"]
 # Recency classes: F first-time, N new, A active, L lapsing, I inactive, S star
+SALTS = 16  # parts of one member's gifts in a join
 CARD_EVERY = 3  # stand-in rule: campaigns i with i % 3 = 0 are card mailings
 # -----------------------------------------------------------------------------
 
@@ -55,14 +56,18 @@ def giving_summary(gifts: DataFrame, ref, key: str = "member_id") -> DataFrame:
         F.max(F.struct("gift_date", "gift_id", "amount")).alias("_last"),
         F.min(F.struct("gift_date", "gift_id")).alias("_first"),
     )
-    # second gift: the smallest (date, id) after the first; one join keyed by
-    # member (AQE splits a skewed member partition of the gift side)
-    first = s.select(key, F.col("_first.gift_date").alias("_fd"), F.col("_first.gift_id").alias("_fi"))
-    later = gifts.join(first, key).where(
+    # second gift: the smallest (date, id) after the first.  The join key is
+    # salted, with the first gifts sent to every salt, so that a member with a
+    # third of all gifts is spread over SALTS tasks; their minima meet after it
+    salt = F.pmod(F.xxhash64("gift_id"), F.lit(SALTS)).cast("int")
+    first = s.select(key, F.col("_first.gift_date").alias("_fd"), F.col("_first.gift_id").alias("_fi"),
+                     F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    later = gifts.select(key, "gift_date", "gift_id", salt.alias("_salt")).join(first, [key, "_salt"]).where(
         (F.col("gift_date") > F.col("_fd"))
         | ((F.col("gift_date") == F.col("_fd")) & (F.col("gift_id") > F.col("_fi")))
     )
-    second = later.groupBy(key).agg(F.min(F.struct("gift_date", "gift_id")).alias("_second"))
+    least = later.groupBy(key, "_salt").agg(F.min(F.struct("gift_date", "gift_id")).alias("_least"))
+    second = least.groupBy(key).agg(F.min("_least").alias("_second"))
     out = s.join(second, key, "left")
     return out.select(
         key,

@@ -77,6 +77,50 @@ def q_clean_pipeline(spark, sf_dir):
     return PipelineModel.load(path).transform(raw)
 
 
+_CHAIN_NUMBERS = ["flag", "rfaF", "rfaA", "domainSocioEconomic"]
+_CHAIN_SQL = with_views(["targets"], """
+SELECT c.member_id,
+  """ + ", ".join(f"COALESCE(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM numeric WHERE split = 'train')) AS {c}" for c in _CHAIN_NUMBERS) + """,
+  """ + ", ".join(f"CAST(COALESCE(domainUrbanicity = '{v}', false) AS INTEGER) AS domainUrbanicity_{v}" for v in "CRSTU") + """,
+  """ + ", ".join(f"CAST(((CASE WHEN rfaR IS NULL THEN 7 ELSE COALESCE(strpos('AFILNS', rfaR), 0) END) >> {2 - k}) & 1 AS INTEGER) AS rfaR_{k}" for k in range(3)) + """
+FROM numeric c WHERE split = 'test'""",
+    [("pos", "SELECT member_id, target_b, ROW_NUMBER() OVER (PARTITION BY target_b ORDER BY md5(CAST(member_id AS VARCHAR) || '42'), member_id) AS pos, COUNT(*) OVER (PARTITION BY target_b) AS n FROM targets"),
+     ("cleaned", CLEANED_SQL),
+     ("numeric", "SELECT c.* REPLACE (TRY_CAST(rfaF AS INTEGER) AS rfaF, TRY_CAST(domainSocioEconomic AS INTEGER) AS domainSocioEconomic), CASE WHEN pos <= (n + 4) // 5 THEN 'test' ELSE 'train' END AS split FROM cleaned c JOIN pos USING (member_id)")])
+
+
+@register("stage_chain", _CHAIN_SQL, ids="X1 X2 X3 S4 S5 S6 S7 E6 E7 E8 I1 F2 C13 R1")
+def q_stage_chain(spark, sf_dir):
+    """raw -> cleaned -> numeric -> imputed -> selected: every stage is fitted
+    on the learning split, stored, and the loaded model is applied to the
+    validation split; each stage's table is provided from the one before."""
+    t = _t(spark, sf_dir)
+    split = sm.stratified_split(si.targets(t).select("member_id", "target_b"), "member_id", "target_b")
+    steps = {
+        "cleaned": [*clean_stages(si.REF.year), tr.DropColumnsModel(["zip", "odate"])],
+        "numeric": [tr.ToNumber(["rfaF", "domainSocioEconomic"]), tr.NominalEncoder(["domainUrbanicity"]), tr.NominalEncoder(["rfaR"], maxLevels=3)],
+        "imputed": [tr.MedianImputer(_CHAIN_NUMBERS)],
+        "selected": [tr.KeepColumns(["member_id", *_CHAIN_NUMBERS, *[f"domainUrbanicity_{v}" for v in "CRSTU"], *[f"rfaR_{k}" for k in range(3)]])],
+    }
+    names = ["raw", *steps]
+
+    def rows(part):
+        return si.raw_members(t).join(split.where(F.col("split") == part).select("member_id"), "member_id", "left_semi")
+
+    def fitted(name, prev):
+        model = Pipeline(stages=steps[name]).fit(prev)
+        path = _scratch(spark, f"chain-{name}")
+        model.write().overwrite().save(path)
+        models[name] = PipelineModel.load(path)
+        return models[name].transform(prev)
+
+    models: dict = {}
+    learn = {"raw": lambda _: rows("train"), **{n: (lambda prev, n=n: fitted(n, prev)) for n in steps}}
+    fl.StageStore(spark, _scratch(spark, "learning")).provide("selected", names, learn)
+    apply = {"raw": lambda _: rows("test"), **{n: (lambda prev, n=n: models[n].transform(prev)) for n in steps}}
+    return fl.StageStore(spark, _scratch(spark, "validation")).provide("selected", names, apply)
+
+
 @register("stage_store", CLEANED_SQL, ids="S4 S5 S6")
 def q_stage_store(spark, sf_dir):
     """Provide the 'cleaned' stage: absent from the store, so it is built
