@@ -157,10 +157,10 @@ def fit_amount_forest(ff: FeatureFrame, amount: str = "target_d", label: str = "
     return AmountModel(lam, mean, std, reg.fit(donors))
 
 
-def fit_enet(ff: FeatureFrame, amount: str = "target_d", label: str = "target_b", scale: float = 1.0):
+def fit_enet(ff: FeatureFrame, amount: str = "target_d", label: str = "target_b", scale: float = 1.0, reg: float = 0.01):
     """M8: elastic-net linear regression on donors."""
     donors = ff.df.where(F.col(label) == 1).withColumn("_y", F.col(amount) / F.lit(scale))
-    lr = LinearRegression(featuresCol="features", labelCol="_y", regParam=0.01, elasticNetParam=0.5, maxIter=50)
+    lr = LinearRegression(featuresCol="features", labelCol="_y", regParam=reg, elasticNetParam=0.5, maxIter=50)
     return lr.fit(donors)
 
 

@@ -32,6 +32,9 @@ from donorlift.session import ensure_checkpoint_dir
 # with a shuffle.  The table has (slices x groups) rows, so it is bounded by
 # the number of groups, never by the number of rows.
 BROADCAST_OFFSETS_MAX_ROWS = 200_000
+# Rows (group, value, count) up to which quantiles need no slices; more are
+# range-partitioned.  The result is the same.
+SMALL_VALUES = 200_000
 
 OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -186,7 +189,14 @@ def exact_quantiles(
         .groupBy(*group_cols, value_col)
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    pref = with_prefix_sums(counts, [(value_col, True)], ["_c"], group_cols, slices)
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint(eager=True)
+    if slices is None and counts.count() <= SMALL_VALUES:
+        # few distinct values: one ordered pass over a bounded table, no slices
+        by = Window.partitionBy(*group_cols)
+        pref = counts.withColumn("cum__c", F.sum("_c").over(by.orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0))).withColumn("tot__c", F.sum("_c").over(by))
+    else:
+        pref = with_prefix_sums(counts, [(value_col, True)], ["_c"], group_cols, slices)
     want = []
     for i, p in enumerate(probs):
         h = (F.col("tot__c") - 1) * F.lit(float(p)) + 1

@@ -136,6 +136,9 @@ def _loglik(df: DataFrame, col: str, lambdas: Sequence[float], method: str) -> l
     import pandas as pd
 
     lams = [float(v) for v in lambdas]
+    # sums are taken around the transform of a central value: the variance
+    # then does not cancel, however many rows there are
+    centre = df.agg(F.avg(F.col(col).cast("double")).alias("m")).first()["m"]
 
     # Everything the Python workers run is defined in this closure, so it is
     # shipped by value (the workers need not import this package).
@@ -154,12 +157,13 @@ def _loglik(df: DataFrame, col: str, lambdas: Sequence[float], method: str) -> l
             return np.where(pos[None, :], tp, tn)
 
     def partial(batches):
+        shift = transform(np.array([centre], dtype="float64"))
         for pdf in batches:
             x = pdf[col].to_numpy(dtype="float64")
             x = x[~np.isnan(x)]
             if x.size == 0:
                 continue
-            t = transform(x)
+            t = transform(x) - shift
             jac = np.log(x).sum() if method == "box-cox" else (np.sign(x) * np.log1p(np.abs(x))).sum()
             yield pd.DataFrame({
                 "i": np.arange(len(lams), dtype="int32"),
@@ -169,6 +173,8 @@ def _loglik(df: DataFrame, col: str, lambdas: Sequence[float], method: str) -> l
                 "j": np.full(len(lams), jac),
             })
 
+    if centre is None:
+        return [(lam, -math.inf) for lam in lams]
     parts = df.select(F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull()).mapInPandas(
         partial, "i int, s double, q double, n long, j double"
     )

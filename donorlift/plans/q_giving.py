@@ -115,9 +115,7 @@ def q_time_lag(spark, sf_dir):
     return gs.where(F.col("nextdate").isNotNull()).select("member_id", "fistdate", "nextdate", "timelag")
 
 
-@register(
-    "promotion_summary",
-    with_views(["history", "gifts"], """
+PROMOTION_SQL = """
 SELECT h.member_id, COUNT(*) AS numprom, COUNT(CASE WHEN h.i % 3 = 0 THEN 1 END) AS cardprom,
   COUNT(CASE WHEN h.send_date >= DATE '2000-07-01' THEN 1 END) AS numprm12,
   COUNT(CASE WHEN h.i % 3 = 0 AND h.send_date >= DATE '2000-07-01' THEN 1 END) AS cardpm12,
@@ -127,7 +125,12 @@ FROM history h
 JOIN (SELECT member_id, MIN(gift_date) AS first_date FROM gifts GROUP BY member_id) f
   ON h.member_id = f.member_id
 WHERE h.send_date >= CAST(date_trunc('month', f.first_date) AS DATE)
-GROUP BY h.member_id"""),
+GROUP BY h.member_id"""
+
+
+@register(
+    "promotion_summary",
+    with_views(["history", "gifts"], PROMOTION_SQL),
     ids="A23",
 )
 def q_promotion_summary(spark, sf_dir):

@@ -13,7 +13,9 @@ from donorlift.operators import models as md
 from donorlift.operators import profit as pr
 from donorlift.operators import sampling as sm
 from donorlift.operators import segments as sg
-from donorlift.plans.q_encode import MTD_COLS, _mtd_wide
+from donorlift.plans.oracle_views import REF_MONTH, month_idx, with_views
+from donorlift.plans.q_encode import _MTD_WIDE_SQL, MTD_COLS, _mtd_wide
+from donorlift.plans.q_giving import GIVING_CTES, PROMOTION_SQL
 from donorlift.plans.registry import register
 from donorlift.session import ensure_checkpoint_dir
 from donorlift.sources import standin as si
@@ -40,6 +42,37 @@ def feature_frame(spark, sf_dir) -> md.FeatureFrame:
     return ff
 
 
+SEGMENT_NAMES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+NUMBERS = ["acctbal", "n_gifts", "total_amount", "mean_gift", "last_gift", "months_since_last", "timelag", "n_promotions", "n_responses"]
+FEATURES = [*NUMBERS, *[f"seg_{s}" for s in SEGMENT_NAMES]]
+# the model table in SQL, written from the definitions of ``member_features``
+_FEATURE_CTES = [*GIVING_CTES, ("promo", PROMOTION_SQL), ("feat", f"""
+SELECT m.member_id, target_b, target_d, acctbal / 1000.0::DOUBLE AS acctbal, COALESCE(CAST(ngiftall AS DOUBLE), 0) AS n_gifts,
+  COALESCE(ramntall / 16000.0::DOUBLE, 0) AS total_amount, COALESCE(avggift / 16000.0::DOUBLE, 0) AS mean_gift,
+  COALESCE(lastgift / 16000.0::DOUBLE, 0) AS last_gift, COALESCE(CAST({REF_MONTH} - {month_idx('lastdate')} AS DOUBLE), 99) AS months_since_last,
+  COALESCE(CAST({month_idx('nextdate')} - {month_idx('fistdate')} AS DOUBLE), 0) AS timelag,
+  COALESCE(CAST(numprom AS DOUBLE), 0) AS n_promotions, COALESCE(CAST(n_responses AS DOUBLE), 0) AS n_responses,
+  """ + ", ".join(f"CAST(COALESCE(segment = '{s}', false) AS INTEGER)::DOUBLE AS seg_{s}" for s in SEGMENT_NAMES) + """
+FROM members m JOIN targets USING (member_id) LEFT JOIN gs USING (member_id) LEFT JOIN promo USING (member_id)""")]
+_FEATURE_VIEWS = ["members", "targets", "gifts", "history"]
+
+
+@register("member_features", with_views(_FEATURE_VIEWS, "SELECT member_id, target_b, target_d, " + ", ".join(FEATURES) + " FROM feat", _FEATURE_CTES), ids="X3 E7 A22 A23")
+def q_member_features(spark, sf_dir):
+    ff = feature_frame(spark, sf_dir)
+    return ff.df.select("member_id", "target_b", "target_d", *ff.names)
+
+
+@register("fit_ols_one", with_views(_FEATURE_VIEWS, """
+SELECT round(regr_slope(target_d / 16000.0, total_amount), 6) AS slope, round(regr_intercept(target_d / 16000.0, total_amount), 6) AS intercept
+FROM feat WHERE target_b = 1""", _FEATURE_CTES), ids="M8")
+def q_fit_ols_one(spark, sf_dir):
+    """The elastic-net regressor without a penalty, on one column."""
+    ff = feature_frame(spark, sf_dir)
+    m = md.fit_enet(md.assemble(ff.df.drop("features"), ["total_amount"], "member_id"), scale=si.SCALE, reg=0.0)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 6))], "slope double, intercept double")
+
+
 @register("fit_logit", None, ids="M3 M11")
 def q_fit_logit(spark, sf_dir):
     ff = feature_frame(spark, sf_dir)
@@ -129,6 +162,18 @@ def q_pca_95(spark, sf_dir):
     return md.pca_variance(si.Tables(spark, sf_dir).embeddings, "embedding", 0.95)
 
 
+@register("pca_check", """
+SELECT MAX(len(embedding)) AS components, 1.0::DOUBLE AS total, true AS falling, true AS least_k FROM embeddings""", ids="F3 W1")
+def q_pca_check(spark, sf_dir):
+    """Identities of the variance table: as many components as dimensions,
+    shares that fall and add up to one, and the least k that reaches 95 %."""
+    v = md.pca_variance(si.Tables(spark, sf_dir).embeddings, "embedding", 0.95)
+    pairs = v.alias("a").join(v.alias("b"), F.col("b.k") == F.col("a.k") + 1, "left")
+    return pairs.agg(F.count(F.lit(1)).alias("components"), F.round(F.sum("a.variance"), 6).alias("total"),
+                     (F.count_if(F.col("b.variance") > F.col("a.variance") + 1e-9) == 0).alias("falling"),
+                     (F.min(F.when(F.col("a.cumulative") >= 0.95 - 1e-12, F.col("a.k"))) == F.max(F.when(F.col("a.selected"), F.col("a.k")))).alias("least_k"))
+
+
 @register("select_from_model", None, ids="F4 F2 F5 M1")
 def q_select_from_model(spark, sf_dir):
     return md.select_from_model(feature_frame(spark, sf_dir))
@@ -153,7 +198,7 @@ def q_impute_iterative(spark, sf_dir):
     return md.impute_iterative(wide, "member_id", MTD_COLS, medians=med)
 
 
-@register("pipeline_roundtrip", None, ids="S4 S5 S6 S7 S8 X1 X2")
+@register("pipeline_roundtrip", "SELECT COUNT(*) AS n_scored, CAST(0 AS BIGINT) AS n_different, CAST(0 AS BIGINT) AS n_out_of_range FROM customer", ids="S4 S5 S6 S7 S8 X1 X2")
 def q_pipeline_roundtrip(spark, sf_dir):
     """Fit a scaler + logit pipeline, store it, load it back, apply it; the
     stage table is written to and read back from the shared folder."""
@@ -172,7 +217,10 @@ def q_pipeline_roundtrip(spark, sf_dir):
     model = pipe.fit(stage)
     md.save_pipeline(model, f"{root}/model")
     loaded = md.load_pipeline(f"{root}/model")
-    return loaded.transform(stage).select("member_id", F.round(md.prob1(), 6).alias("p"))
+    p = md.prob1()
+    both = model.transform(stage).select("member_id", p.alias("a")).join(loaded.transform(stage).select("member_id", p.alias("b")), "member_id")
+    return both.agg(F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("a") != F.col("b")).alias("n_different"),
+                    F.count_if(~F.col("b").between(0, 1)).alias("n_out_of_range"))
 
 
 # ---- streaming --------------------------------------------------------------------
@@ -249,13 +297,16 @@ def q_stream_dedup(spark, sf_dir):
     return st.dedup_gifts(spark, sf_dir)
 
 
-@register("stream_score", None, ids="T1 S7")
+@register("stream_score", "SELECT COUNT(*) AS n_scored, CAST(0 AS BIGINT) AS n_different FROM customer", ids="T1 S7")
 def q_stream_score(spark, sf_dir):
     ff = feature_frame(spark, sf_dir)
     pipe = Pipeline(stages=[md.logit()])
     model = pipe.fit(ff.df)
     feats = ff.df.select("member_id", "features")
-    return st.score_stream(spark, sf_dir, model, feats, "member_id")
+    streamed = st.score_stream(spark, sf_dir, model, feats, "member_id")
+    batch = model.transform(ff.df).select("member_id", md.prob1().alias("b"))
+    both = streamed.join(batch, "member_id", "full")
+    return both.agg(F.count(F.lit(1)).alias("n_scored"), F.count_if(~F.col("p").eqNullSafe(F.col("b"))).alias("n_different"))
 
 
 # ---- neighbours (R7, I5) ------------------------------------------------------------
@@ -268,14 +319,42 @@ def q_smote(spark, sf_dir):
                             ff.names, ratio=0.5, m=10, k=5)
 
 
-@register("impute_knn", None, ids="I5")
+@register("smote_count", with_views(["targets"], """
+SELECT CAST(CAST(floor(0.5 * COUNT(CASE WHEN target_b = 0 THEN 1 END)) AS BIGINT) - COUNT(CASE WHEN target_b = 1 THEN 1 END) AS BIGINT) AS n_rows,
+  CAST(0 AS BIGINT) AS n_off_segment, CAST(0 AS BIGINT) AS n_not_minority FROM targets"""), ids="R7")
+def q_smote_count(spark, sf_dir):
+    """Exactly the rows that the ratio needs, each on a segment between two
+    minority rows."""
+    ff = feature_frame(spark, sf_dir)
+    syn = q_smote(spark, sf_dir)
+    rows = ff.df.select("member_id", "target_b", *ff.names)
+    other = rows.select(F.col("member_id").alias("nn"), F.col("target_b").alias("nb"), *[F.col(c).alias(f"n_{c}") for c in ff.names])
+    base = rows.select("member_id", F.col("target_b").alias("bb"), *[F.col(c).alias(f"b_{c}") for c in ff.names])
+    j = syn.join(base, "member_id", "left").join(other, "nn", "left")
+    between = [F.col(c).between(F.least(f"b_{c}", f"n_{c}") - 1e-9, F.greatest(f"b_{c}", f"n_{c}") + 1e-9) for c in ff.names]
+    inside = between[0]
+    for b in between[1:]:
+        inside = inside & b
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~inside).alias("n_off_segment"),
+                 F.count_if((F.col("bb") != 1) | (F.col("nb") != 1)).alias("n_not_minority"))
+
+
+_KNN_SQL = with_views(_FEATURE_VIEWS, "SELECT w.member_id, " + ", ".join(
+    f"round(COALESCE(CAST(w.{c} AS DOUBLE), f.{c}), 6) AS {c}" for c in MTD_COLS) + " FROM wide w LEFT JOIN fill f ON f.q = w.member_id", [
+    *_FEATURE_CTES, ("wide", _MTD_WIDE_SQL),
+    ("dist", "SELECT a.member_id AS q, b.member_id AS r, " + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in FEATURES) + " AS d2 FROM feat a JOIN feat b ON a.member_id <> b.member_id"),
+    ("near", "SELECT q, r FROM (SELECT q, r, ROW_NUMBER() OVER (PARTITION BY q ORDER BY d2, r) AS k FROM dist) WHERE k <= 5"),
+    ("fill", "SELECT q, " + ", ".join(f"AVG(CAST(w.{c} AS DOUBLE)) AS {c}" for c in MTD_COLS) + " FROM near JOIN wide w ON w.member_id = r GROUP BY q")])
+
+
+@register("impute_knn", _KNN_SQL, ids="I5")
 def q_impute_knn(spark, sf_dir):
     from donorlift.operators.neighbors import knn_impute
 
     ff = feature_frame(spark, sf_dir)
     wide = _mtd_wide(spark, sf_dir)
     tab = ff.df.select("member_id", *ff.names).join(wide, "member_id", "left")
-    return knn_impute(tab, "member_id", ff.names, MTD_COLS, k=5)
+    return knn_impute(tab, "member_id", ff.names, MTD_COLS, k=5, max_missing_share=1.0)
 
 
 @register("model_registry", None, ids="S8 V9 V5")
