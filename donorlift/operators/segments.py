@@ -116,8 +116,26 @@ def rfa_status(gifts: DataFrame, ref, scale: float, key: str = "member_id") -> D
     back = ref_idx - fx.month_index(F.col("gift_date"))
     i = F.ceil(back / 3).cast("int") + 2
     card_i = F.when((i <= 24) & (i % CARD_EVERY == 0), i)
-    g = gifts.select(key, "gift_id", "gift_date", "amount", back.alias("back"), card_i.alias("ci"))
-    a = g.groupBy(key).agg(
+    return _rfa_of(gifts.select(key, "gift_id", "gift_date", "amount", back.alias("back"), card_i.alias("ci")), [key], scale)
+
+
+def rfa_history(gifts: DataFrame, campaigns: DataFrame, ref, scale: float, key: str = "member_id") -> DataFrame:
+    """The status at the sending date of every campaign, from the
+    gifts before it.  The campaigns (a fixed, small table) are a literal: each
+    gift goes to the dates after it and is combined on the map side."""
+    dates = F.array(*[F.struct(F.lit(r["i"]).alias("i"), F.lit(r["send_date"]).alias("sent")) for r in campaigns.orderBy("i").collect()])
+    card = F.ceil((fx.month_index(F.lit(ref)) - fx.month_index(F.col("gift_date"))) / 3).cast("int") + 2
+    g = gifts.select(key, "gift_id", "gift_date", "amount", F.explode(dates).alias("c")).where(F.col("gift_date") < F.col("c.sent"))
+    back = fx.month_index(F.col("c.sent")) - fx.month_index(F.col("gift_date"))
+    g = g.select(key, F.col("c.i").alias("i"), "gift_id", "gift_date", "amount", back.alias("back"), F.when((card <= 24) & (card % CARD_EVERY == 0), card).alias("ci"))
+    return _rfa_of(g, [key, "i"], scale)
+
+
+def _rfa_of(g: DataFrame, keys: Sequence[str], scale: float) -> DataFrame:
+    """Status per ``keys`` from gifts with their months back and, if they
+    answer a card mailing, its number.  A class without a gift in its own
+    period counts as frequency 1, the least code."""
+    a = g.groupBy(*keys).agg(
         F.min("back").alias("last_back"),
         F.max("back").alias("first_back"),
         F.count(F.lit(1)).alias("n"),
@@ -148,7 +166,7 @@ def rfa_status(gifts: DataFrame, ref, scale: float, key: str = "member_id") -> D
     out = out.withColumn("frequency", F.least(F.greatest(freq_n, F.lit(1)), F.lit(4)).cast("int"))
     out = out.withColumn("amount", amount_band(F.col("_last.amount"), scale))
     return out.select(
-        key,
+        *keys,
         "recency",
         "frequency",
         "amount",

@@ -204,6 +204,42 @@ def q_rfa_status(spark, sf_dir):
     return sg.rfa_status(si.gifts(_t(spark, sf_dir)), REF, si.SCALE)
 
 
+_RFA_HISTORY_CTES = [
+    ("c", "SELECT i, CAST(DATE '2001-07-01' - to_months(3 * (i - 2)) AS DATE) AS sent FROM (SELECT CAST(UNNEST(range(3, 25)) AS INTEGER) AS i)"),
+    ("g", f"""
+SELECT member_id, c.i, gift_id, gift_date, amount, {month_idx('c.sent')} - {month_idx('gift_date')} AS back,
+       CAST(ceil(({REF_MONTH} - {month_idx('gift_date')}) / 3) AS INTEGER) + 2 AS ci
+FROM gifts JOIN c ON gift_date < c.sent"""),
+    ("stars", """
+SELECT DISTINCT a.member_id, a.i FROM (SELECT DISTINCT member_id, i, ci FROM g WHERE ci <= 24 AND ci % 3 = 0) a
+JOIN g b ON b.member_id = a.member_id AND b.i = a.i AND b.ci = a.ci + 3 AND b.ci <= 24
+JOIN g d ON d.member_id = a.member_id AND d.i = a.i AND d.ci = a.ci + 6 AND d.ci <= 24"""),
+    ("n", """
+SELECT member_id, i, MIN(back) AS last_back, MAX(back) AS first_back, COUNT(*) AS n, COUNT(CASE WHEN back <= 12 THEN 1 END) AS n12,
+  COUNT(CASE WHEN back BETWEEN 13 AND 24 THEN 1 END) AS n24, COUNT(CASE WHEN back BETWEEN 25 AND 36 THEN 1 END) AS n36,
+  arg_max(amount, (gift_date, gift_id)) AS last_amount
+FROM g GROUP BY member_id, i"""),
+    ("r", """
+SELECT n.*, s.member_id IS NOT NULL AS star,
+  CASE WHEN s.member_id IS NOT NULL THEN 'S' WHEN first_back <= 6 AND n = 1 THEN 'F' WHEN first_back <= 12 THEN 'N'
+       WHEN last_back <= 12 THEN 'A' WHEN last_back <= 24 THEN 'L' ELSE 'I' END AS recency
+FROM n LEFT JOIN stars s USING (member_id, i)"""),
+]
+
+
+@register(
+    "rfa_history",
+    with_views(["gifts"], f"""
+SELECT member_id, i, recency, frequency, amount, recency || CAST(frequency AS VARCHAR) || amount AS rfa, star, months_since_last
+FROM (SELECT member_id, i, recency, star, CAST(last_back AS INTEGER) AS months_since_last, {_band_sql('last_amount')} AS amount,
+        CAST(LEAST(GREATEST(CASE recency WHEN 'L' THEN n24 WHEN 'I' THEN n36 ELSE n12 END, 1), 4) AS INTEGER) AS frequency FROM r)""",
+        _RFA_HISTORY_CTES),
+    ids="E10 E11",
+)
+def q_rfa_history(spark, sf_dir):
+    return sg.rfa_history(si.gifts(_t(spark, sf_dir)), si.campaigns(spark), REF, si.SCALE)
+
+
 @register(
     "star_donors",
     with_views(["gifts", "history"], """
