@@ -12,8 +12,8 @@ helpers below instead
 3. compute per-(slice, group) counts / sums (a small table: slices x groups),
    turn them into offsets with a window over at most ``slices`` rows per
    group, and
-4. number rows (or run sums) inside each (slice, group) chunk and add the
-   offset.
+4. add the offset to the number that a row got inside its (slice, group)
+   chunk when the slice was sorted (running sums: from a window per chunk).
 
 Every result equals the single-task window exactly.
 """
@@ -60,7 +60,10 @@ def sliced(
     # adjacent ranges merge up to the advisory partition size, so small
     # inputs get few slices and large ones many; order is preserved.
     ranged = df.repartitionByRange(slices, *sort) if slices else df.repartitionByRange(*sort)
-    out = ranged.withColumn("_slice", F.spark_partition_id())
+    # rows are numbered in their slice on the spot: the low 33 bits of Spark's
+    # increasing id count the rows of a partition
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    out = ranged.sortWithinPartitions(*sort).withColumn("_slice", F.spark_partition_id()).withColumn("_idx", inside)
     return out.checkpoint(eager=True)
 
 
@@ -69,7 +72,7 @@ def _offsets(
 ) -> DataFrame:
     """Per (slice, group): rows and sums in all earlier slices of the group,
     and the group's totals."""
-    aggs = [F.count(F.lit(1)).alias("_cnt")] + [
+    aggs = [F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_at")] + [
         F.sum(c).alias(f"_sum_{c}") for c in sum_cols
     ]
     stats = sl.groupBy("_slice", *group_cols).agg(*aggs)
@@ -82,6 +85,7 @@ def _offsets(
         *group_cols,
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off_cnt"),
         F.sum("_cnt").over(whole).alias("_n"),
+        "_at",
     ]
     for c in sum_cols:
         cols.append(F.sum(f"_sum_{c}").over(before).alias(f"_off_{c}"))
@@ -115,12 +119,12 @@ def with_positions(
     with a unique key) for the result to be deterministic."""
     sl = sliced(df, order, group_cols, slices)
     off = _offsets(sl, group_cols, [])
-    local = Window.partitionBy("_slice", *group_cols).orderBy(*_sort_cols((), order))
-    sl = sl.withColumn("_lpos", F.row_number().over(local))
     out = _attach(sl, off, ["_slice", *group_cols])
-    return out.withColumn(pos_col, F.col("_off_cnt") + F.col("_lpos")).withColumnRenamed(
+    # a group's rows lie together in a slice, from its row number _at on: no
+    # second shuffle of the table
+    return out.withColumn(pos_col, F.col("_off_cnt") + F.col("_idx") - F.col("_at") + 1).withColumnRenamed(
         "_n", size_col
-    ).drop("_slice", "_lpos", "_off_cnt")
+    ).drop("_slice", "_idx", "_at", "_off_cnt")
 
 
 def with_prefix_sums(
@@ -150,7 +154,7 @@ def with_prefix_sums(
         out = out.withColumn(
             f"cum_{c}", F.coalesce(F.col(f"_off_{c}"), F.lit(0)) + F.col(f"_lcum_{c}")
         ).withColumnRenamed(f"_tot_{c}", f"tot_{c}")
-    drop = ["_slice", "_lpos", "_off_cnt"] + [f"_off_{c}" for c in sum_cols] + [
+    drop = ["_slice", "_lpos", "_idx", "_at", "_off_cnt"] + [f"_off_{c}" for c in sum_cols] + [
         f"_lcum_{c}" for c in sum_cols
     ]
     return out.drop(*drop)

@@ -48,3 +48,19 @@ def test_ntile(spark):
     got = od.with_positions(df, [("k", True)]).select("k", od.ntile_of(F.col("_pos"), F.col("_n"), 5).alias("t"))
     ref = df.select("k", F.ntile(5).over(Window.orderBy("k")).alias("t2"))
     assert got.join(ref, "k").where("t <> t2").count() == 0
+
+
+def test_positions_shuffle_the_table_once(spark):
+    """Numbering adds no exchange of rows behind the range exchange: the plan
+    reads the checkpoint and joins the small offsets."""
+    from donorlift.operators.ordering import with_positions
+
+    df = spark.range(5000).selectExpr("id % 3 AS g", "id * 7919 % 5003 AS v", "id")
+    out = with_positions(df, [("v", True), ("id", True)], ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Scan ExistingRDD")[0]
+    assert "Window" not in above and "BroadcastHashJoin" in plan
+    rows = out.collect()
+    for g in range(3):
+        own = sorted((r for r in rows if r["g"] == g), key=lambda r: (r["v"], r["id"]))
+        assert [r["_pos"] for r in own] == list(range(1, len(own) + 1)) and {r["_n"] for r in own} == {len(own)}
