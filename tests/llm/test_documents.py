@@ -10,7 +10,7 @@ import pytest
 from donorlift.llm import bpe, decontam, langid, licences, ngram_join, packing, toxicity
 from donorlift.llm.common import table
 
-from conftest import ROWS, same_as_sql, upper_free
+from edge_tables import ROWS, same_as_sql, upper_free
 
 
 def doc_frame(spark, d):
@@ -134,7 +134,7 @@ def test_toxicity_holds_out_and_finds_insults(spark, edge_dir):
     text = {i: t for i, t in docs if i is not None}
     from zlib import crc32
 
-    from conftest import INSULTS
+    from edge_tables import INSULTS
 
     for r in rows:
         assert r.held_out == (r.doc_id is not None and crc32(str(r.doc_id).encode()) % 3 == 1)

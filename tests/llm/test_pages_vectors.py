@@ -8,7 +8,7 @@ import pytest
 from donorlift.llm import topk, urls, warc
 from donorlift.llm.common import shared_path
 
-from conftest import ROWS, same_as_sql
+from edge_tables import ROWS, same_as_sql
 
 
 # -- 3 ------------------------------------------------------------------------
