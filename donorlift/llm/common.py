@@ -3,6 +3,8 @@ vectorised word hashing."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +50,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def drawn(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` rows, those of least hash of ``key``.  Rows beyond the
+    share that is needed are left out before the ordering, so that no task
+    brings more than its part of them, however many tasks there are."""
+    total = df.count()
+    share = min(1.0, (1.2 * n + 100) / max(1, total))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return df.where(place < int(share * (1 << 30))).orderBy(place, key).limit(n)
+
+
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column in one array, and n + 1 offsets into
     it; null is empty."""
@@ -134,6 +146,19 @@ def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
+def tidy(run: Callable) -> Callable:
+    """A task function that gives freed memory back when it ends: Python
+    workers live on and are reused by later tasks."""
+
+    def tidied(*args):
+        yield from run(*args)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def keep_rows(docs: DataFrame, column: str, model: Callable, decide: Callable[[object, pa.Array], np.ndarray]) -> DataFrame:
     """Rows for which ``decide`` gives True for the shared model and the value
     of ``column``; all columns pass unchanged, whatever their names.  Repeated
@@ -144,4 +169,4 @@ def keep_rows(docs: DataFrame, column: str, model: Callable, decide: Callable[[o
         for b in it:
             yield b.filter(pa.array(decide(m, b.column(b.schema.get_field_index(column)))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

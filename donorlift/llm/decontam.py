@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import ASCII_LOWER, batch, byte_class, row_blocks, share, table, text_buffer, word_bounds, word_hashes
+from donorlift.llm.common import ASCII_LOWER, batch, byte_class, row_blocks, share, table, text_buffer, tidy, word_bounds, word_hashes
 from donorlift.llm.queries import query
 
 WINDOW = 10
@@ -347,7 +347,7 @@ def contamination(docs: DataFrame, bench: DataFrame, phrase_words: int = PHRASE_
             items = [np.unique(np.concatenate(i)).tolist() if i else [] for _, _, i in found]
             yield batch(_RESULT, b.column(0), [n for n, _, _ in found], hit, [len(i) for i in items], [_listed([names[k] for k in i]) for i in items], [h > 0 for h in hit])
 
-    return docs.mapInArrow(run, RESULT)
+    return docs.mapInArrow(tidy(run), RESULT)
 
 
 def _merged(docs: DataFrame, groups: list[Phrases]) -> DataFrame:
@@ -369,7 +369,7 @@ def _merged(docs: DataFrame, groups: list[Phrases]) -> DataFrame:
                 items = [[names[k] for k in np.unique(np.concatenate(i)).tolist()] if i else [] for _, _, i in found]
                 yield batch(schema, b.column(0), digests, [n for n, _, _ in found], [[x for s in spans for x in s] for _, spans, _ in found], items)
 
-        parts.append(docs.mapInArrow(run, ddl))
+        parts.append(docs.mapInArrow(tidy(run), ddl))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionAll(p)
@@ -388,7 +388,7 @@ def _merged(docs: DataFrame, groups: list[Phrases]) -> DataFrame:
             yield batch(_RESULT, b.column("doc_id"), b.column("n_words"), hit, [len(i) for i in items], [_listed(i) for i in items], [h > 0 for h in hit])
 
     copies = each.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(groups)).cast("int")))).drop("copy", "n")
-    return copies.mapInArrow(merge, RESULT)
+    return copies.mapInArrow(tidy(merge), RESULT)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, phrase_words: int = PHRASE_WORDS) -> DataFrame:
@@ -420,7 +420,7 @@ def _cut(docs: DataFrame, phrases: Phrases) -> DataFrame:
                     b = b.set_column(n, b.schema.field(n), pa.array(chars, b.schema.field(n).type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

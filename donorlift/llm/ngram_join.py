@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import ASCII_LOWER, batch, byte_class, materialise, mix, row_blocks, share, table, text_buffer, word_bounds, word_hashes
+from donorlift.llm.common import ASCII_LOWER, batch, byte_class, materialise, mix, row_blocks, share, table, text_buffer, tidy, word_bounds, word_hashes
 from donorlift.llm.components import components
 from donorlift.llm.queries import query
 
@@ -156,7 +156,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         if size:
             yield report()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PROFILE)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PROFILE)
 
 
 def recurring(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def prefix_rows(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFr
             if out_t:
                 yield batch(_PREFIX, np.concatenate(out_t).view(np.int64), np.concatenate(out_c))
 
-    return docs.select("text").mapInArrow(run, "token long, c long")
+    return docs.select("text").mapInArrow(tidy(run), "token long, c long")
 
 
 def candidate_groups(prefixes: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def chains(members: DataFrame) -> DataFrame:
                 yield batch(_EDGE, [a for a, _ in loose], [z for _, z in loose])
         yield from close()
 
-    return members.select("g", "c", "n", "sketch").repartition(F.col("g")).sortWithinPartitions("g", "c").mapInArrow(run, "a long, b long")
+    return members.select("g", "c", "n", "sketch").repartition(F.col("g")).sortWithinPartitions("g", "c").mapInArrow(tidy(run), "a long, b long")
 
 
 # -- 3. prefix trees -----------------------------------------------------------
@@ -473,7 +473,7 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     few = members.count() <= BROADCAST_MEMBERS
     members = members.withColumnRenamed("rep", "doc_id")
     joined = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(members) if few else members, "doc_id")
-    return joined.select("text", "digest", "sg", "n", "copies").mapInArrow(run, "digest binary, sg long, n long, copies long, tokens binary")
+    return joined.select("text", "digest", "sg", "n", "copies").mapInArrow(tidy(run), "digest binary, sg long, n long, copies long, tokens binary")
 
 
 def tiles(members: DataFrame) -> DataFrame:

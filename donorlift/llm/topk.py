@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import batch, materialise, table
+from donorlift.llm.common import batch, materialise, table, tidy
 from donorlift.llm.queries import query
 
 SCALE = 1024
@@ -175,7 +175,7 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
             if len(ids):
                 yield batch(_HELD, [d], [ids.tobytes()], [m.astype(np.int32).tobytes()])
 
-    return vectors.mapInArrow(run, HELD)
+    return vectors.mapInArrow(tidy(run), HELD)
 
 
 RESULT = "query_id long, vec_id long, score long"
@@ -210,7 +210,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     ids, scores = held.best(w, q, k)
                     yield batch(_RESULT, np.full(len(ids), q), ids, scores)
 
-    found = pairs.select("block", "ids", "q", "dims", "q_ids", "q_q").mapInArrow(run, RESULT)
+    found = pairs.select("block", "ids", "q", "dims", "q_ids", "q_q").mapInArrow(tidy(run), RESULT)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

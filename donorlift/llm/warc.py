@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import batch, materialise, shared_path, table
+from donorlift.llm.common import batch, materialise, shared_path, table, tidy
 from donorlift.llm.queries import query
 
 LEAST_BYTES = 0
@@ -205,7 +205,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
         if held:
             yield pa.record_batch([pa.array([archive(held)], pa.binary())], ["archive"])
 
-    made = with_first(pages, least_bytes).mapInArrow(run, "archive binary")
+    made = with_first(pages, least_bytes).mapInArrow(tidy(run), "archive binary")
     # raw bytes through the text writer, one archive per file
     made.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", EMPTY_FRAME).text(path)
     return path
@@ -242,7 +242,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield batch(_RECORD, *cols)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, RECORD)
+    return files.select("content").mapInArrow(tidy(run), RECORD)
 
 
 SQL = r"""
