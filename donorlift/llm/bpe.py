@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Sequence
 from itertools import chain
@@ -29,14 +30,20 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlift.llm.common import BLOCK_BYTES, batch, row_blocks, share, table, text_buffer
+from donorlift.llm.common import batch, row_blocks, share, table, text_buffer, tidy
 from donorlift.llm.queries import query
 
 #: Words up to this many bytes are merged in matrices, longer ones one by one.
 SHORT_WORD = 40
 #: Words kept with their ids per task; beyond it the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 NO_RANK = np.int32(2**31 - 1)
+#: Text encoded at once, in bytes: more words of a block are new together.
+ENCODE_BYTES = 1 << 20
+#: The pattern that has a plain twin for lower-cased texts of printable ASCII and
+#: the Latin letters of one byte, where the classes \\p{L} and \\p{N} are short.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = "a-zß-öø-ÿ"
 
 
 def byte_characters() -> list[str]:
@@ -77,13 +84,15 @@ class WordBPE:
 
     def _ready(self) -> None:
         self.split_words = regex.compile(self.pattern).findall
-        self.space = regex.compile(r"\s+")
+        plain = self.pattern == KNOWN_PATTERN
+        self.beyond_latin = re.compile(rf"[^ \t\n\r!-~{LATIN}]").search if plain else None
+        self.split_latin = re.compile(rf"[{LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{LATIN}0-9]+").findall
         self.split_specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.token_array = np.array(self.tokens, object)
         self.cache: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split_words", "space", "split_specials", "token_array", "cache")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split_words", "beyond_latin", "split_latin", "split_specials", "token_array", "cache")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -104,7 +113,10 @@ class WordBPE:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case character by character: no final sigma
                 text = text.replace("Σ", "σ")
-        return self.split_words(text.lower())
+        text = text.lower()
+        if self.beyond_latin and not self.beyond_latin(text):
+            return self.split_latin(text)
+        return self.split_words(text)
 
     # -- encoding ------------------------------------------------------------
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -234,7 +246,7 @@ def _blocks(it, model):
     for b in it:
         ids, texts = b.column(0), b.column(1)
         _, offs = text_buffer(texts)
-        for lo, hi in row_blocks(offs, BLOCK_BYTES):
+        for lo, hi in row_blocks(offs, ENCODE_BYTES):
             yield ids.slice(lo, hi - lo), model.encode_bytes(texts.slice(lo, hi - lo).to_pylist())
 
 
@@ -248,7 +260,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
         for doc_ids, encoded in _blocks(it, m):
             yield batch(_ENCODED, doc_ids, encoded, [m.decode(np.frombuffer(e, "<u4")) for e in encoded])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), ENCODED)
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -262,7 +274,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = (m.decode(np.frombuffer(e, "<u4")).encode("utf-8") for e in encoded)
             yield batch(_DIGESTS, doc_ids, [len(e) // 4 for e in encoded], [hashlib.sha256(e).hexdigest() for e in encoded], [hashlib.sha256(t).hexdigest() for t in texts])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), DIGESTS)
 
 
 @query("op8_bpe")

@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlift.llm.bpe import WordBPE, default_vocabulary
-from donorlift.llm.common import batch, materialise, row_blocks, share, table, text_buffer
+from donorlift.llm.bpe import ENCODE_BYTES, WordBPE, default_vocabulary
+from donorlift.llm.common import batch, materialise, row_blocks, share, table, text_buffer, tidy
 from donorlift.llm.queries import query
 
 ROW_LENGTH = 2048
@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, row_length: int = ROW_LENGTH, vocabulary: st
         m, held_ids, held, size = model(), [], [], 0
         for b in it:
             _, offs = text_buffer(b.column(1))
-            for lo, hi in row_blocks(offs):
+            for lo, hi in row_blocks(offs, ENCODE_BYTES):
                 for i, t in zip(b.column(0).slice(lo, hi - lo).to_pylist(), m.encode(b.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
                     held_ids.append(i)
                     held.append(t.astype(dtype))
@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, row_length: int = ROW_LENGTH, vocabulary: st
         if held:
             yield pack(held_ids, held, row_length, pad, dtype)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SHARD)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SHARD)
 
 
 def unpack(shard: dict) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -183,7 +183,7 @@ def read_back(shards: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(_RESULT, *zip(*rows, strict=True))
 
-    return shards.mapInArrow(run, RESULT)
+    return shards.mapInArrow(tidy(run), RESULT)
 
 
 @query("op9_packing")
