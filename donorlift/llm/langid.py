@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import batch, ensure_checkpoint_dir, held_out, keep_rows, row_blocks, share, table, text_buffer, train_fold
+from donorlift.llm.common import batch, drawn, ensure_checkpoint_dir, held_out, keep_rows, row_blocks, share, table, text_buffer, tidy, train_fold
 from donorlift.llm.queries import query
 
 ORDER = 4
@@ -214,7 +214,7 @@ def ngram_counts(train: DataFrame, alphabet) -> DataFrame:
                 part = u[at : at + 50_000].view(np.int64)
                 yield batch(schema, [lang] * len(part), part, c[at : at + 50_000])
 
-    partial = train.select("text", "lang").mapInArrow(count, "lang string, key long, n long")
+    partial = train.select("text", "lang").mapInArrow(tidy(count), "lang string, key long, n long")
     return partial.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -325,8 +325,7 @@ def fit_language_models(docs: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Models
     alphabet = Alphabet(symbol_table(), astral_letters())
     train = docs.where(train_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     models = fit(bounded_counts(ngram_counts(train, share(spark, alphabet)), max_ngrams), alphabet)
-    short = train.where(F.length("text") <= CALIBRATION_CHARS)
-    sample = short.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(CALIBRATION_DOCS).select("text", "lang").collect()
+    sample = drawn(train.where(F.length("text") <= CALIBRATION_CHARS), CALIBRATION_DOCS).select("text", "lang").collect()
     return calibrate(models, [(r.text, r.lang) for r in sample])
 
 
@@ -346,7 +345,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
                 lang, score, rejected = m.predict(b.column(1).slice(lo, hi - lo).to_pylist())
                 yield batch(_RESULT, b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), lang, score, rejected)
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(tidy(run), RESULT)
 
 
 def keeps_language(docs: DataFrame, models: Models) -> DataFrame:
