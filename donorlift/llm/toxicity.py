@@ -38,6 +38,7 @@ from donorlift.llm.common import (
     HASH_BASE,
     batch,
     byte_class,
+    drawn,
     held_out,
     keep_rows,
     mix,
@@ -45,6 +46,7 @@ from donorlift.llm.common import (
     share,
     table,
     text_buffer,
+    tidy,
     train_fold,
     word_bounds,
     word_hashes,
@@ -244,13 +246,12 @@ def calibrated(top: np.ndarray, n_p: int, prior: float, bias: float, epochs: int
 def sample_texts(docs: DataFrame, ids: DataFrame, n: int) -> list[str]:
     """At most ``n`` texts of the given documents, drawn by hash of the id.
     Only the drawn ids, at most ``n``, are broadcast."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    drawn = [r.doc_id for r in ids.distinct().orderBy(*order).limit(n).collect()]
-    if not drawn:
+    picked = [r.doc_id for r in drawn(ids.distinct(), n).collect()]
+    if not picked:
         return []
-    some = docs.sparkSession.createDataFrame([(i,) for i in drawn], "doc_id long")
+    some = docs.sparkSession.createDataFrame([(i,) for i in set(picked)], "doc_id long")
     short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    got = short.join(F.broadcast(some), "doc_id", "left_semi").orderBy(*order, "text").limit(n)
+    got = short.join(F.broadcast(some), "doc_id", "left_semi").orderBy("doc_id", "text").limit(n)
     return [r.text for r in got.select("text").collect()]
 
 
@@ -281,7 +282,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
             score = m.scores(b.column(1))
             yield batch(_RESULT, b.column(0), b.column(2), score, (score >= THRESHOLD).astype(np.int32))
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(tidy(run), RESULT)
 
 
 def keeps_clean(docs: DataFrame, model: Toxicity) -> DataFrame:
