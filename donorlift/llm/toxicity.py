@@ -55,8 +55,8 @@ from donorlift.llm.queries import query
 
 #: Bounds of the training samples, in texts and in characters of one text.
 POSITIVE_DOCS = 2_500
-UNLABELLED_DOCS = 5_000
-SAMPLE_CHARS = 12_000
+UNLABELLED_DOCS = 4_500
+SAMPLE_CHARS = 8_000
 #: Class prior if no row is labelled as not toxic.
 DEFAULT_PRIOR = 0.1
 THRESHOLD = 0.7
