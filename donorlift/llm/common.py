@@ -21,8 +21,21 @@ from donorlift.session import ensure_checkpoint_dir
 BLOCK_BYTES = 1 << 18
 
 
+#: Arrow batches of texts, in bytes.  Spark's default is sixteen times as much,
+#: of which a task holds several copies on and off the heap.
+ARROW_BATCH, ARROW_DEFAULT = "4m", str(64 << 20) + "b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches, unless it has been set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == ARROW_DEFAULT:
+        spark.conf.set(key, ARROW_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """The named columns of a table; other columns are not read."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
@@ -32,9 +45,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/donorlift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts
-    the lineage and survives lost executors."""
+    the lineage and survives lost executors.  ``compact`` is for what comes
+    out of a shuffle: at most two files per core of the cluster, not one per
+    shuffle partition."""
+    small_batches(df.sparkSession)
+    if compact:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -137,6 +155,7 @@ def word_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
 def share(spark: SparkSession, value) -> Callable:
     """Broadcast a value of bounded size; the returned function gives it in a
     task.  It travels with its classes, so executors need no copy of them."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(sent.value)
 

@@ -18,15 +18,15 @@ def components(edges: DataFrame) -> DataFrame:
     folder.  Only node rows move by label, through joins that Spark can split
     where one label is hot.
     """
-    edges = materialise(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = materialise(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", compact=True)
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels", compact=True)
     while True:
         of = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         near = both.join(of, "a").select(F.col("b").alias("node"), F.col("la").alias("label")).unionAll(labels.select("node", "label"))
-        least = materialise(near.groupBy("node").agg(F.min("label").alias("label")), "labels")
+        least = materialise(near.groupBy("node").agg(F.min("label").alias("label")), "labels", compact=True)
         up = least.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        short = materialise(least.join(up, "label").select("node", F.col("higher").alias("label")), "labels")
+        short = materialise(least.join(up, "label").select("node", F.col("higher").alias("label")), "labels", compact=True)
         changed = short.join(labels.select("node", F.col("label").alias("old")), "node").where(F.col("label") != F.col("old"))
         if changed.isEmpty():
             return short

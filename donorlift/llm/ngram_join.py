@@ -163,7 +163,7 @@ def recurring(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Recurring shingles (sorted) and their places in the order.  At most
     HEAVY_ROWS: those with counts of at least the smallest sufficient power of
     two."""
-    total = materialise(counts.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY).withColumn("b", F.floor(F.log2("count")).cast("int")), "recurring")
+    total = materialise(counts.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY).withColumn("b", F.floor(F.log2("count")).cast("int")), "recurring", compact=True)
     sizes = {r.b: r.c for r in total.groupBy("b").agg(F.count(F.lit(1)).alias("c")).collect()}
     least, rows = max(sizes, default=0) + 1, 0
     while least > 0 and rows + sizes.get(least - 1, 0) <= HEAVY_ROWS:
@@ -511,18 +511,18 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     rows = first.where(F.col("digest").isNotNull())
     linkable = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = [F.first(k).alias(k) for k in ("n", "c", "sketch")]
-    classes = materialise(linkable.groupBy("digest").agg(*same, F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = materialise(linkable.groupBy("digest").agg(*same, F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes", compact=True)
 
     heavy = recurring(first.where(F.col("token").isNotNull()).select("token", "count"))
-    groups = materialise(candidate_groups(prefix_rows(docs, heavy)), "groups")
+    groups = materialise(candidate_groups(prefix_rows(docs, heavy)), "groups", compact=True)
     near = components(chains(groups.join(classes.select("c", "n", "sketch"), "c")))
     members = classes.join(near.select(F.col("node").alias("c"), F.col("label").alias("sg")), "c")
-    members = materialise(members.select("digest", "rep", "sg", "n", "copies"), "members")
+    members = materialise(members.select("digest", "rep", "sg", "n", "copies"), "members", compact=True)
 
     sets = member_sets(docs, members)
     # a repeated id brings its text more than once: one set per class
     full = tiles(members).join(sets.select("digest", "tokens").dropDuplicates(["digest"]), "digest").select("tile", "part", "side", "digest", "copies", "tokens")
-    found = materialise(full.groupBy("tile").applyInArrow(lambda t: _tile(t), "digest binary, links long, root binary"), "links")
+    found = materialise(full.groupBy("tile").applyInArrow(lambda t: _tile(t), "digest binary, links long, root binary"), "links", compact=True)
 
     counted = found.groupBy("digest").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
@@ -530,7 +530,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     heads = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = linked.join(heads, "label").join(counted, "digest", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     special = known.where((F.col("copies") > 1) | (F.col("component_id") != F.col("rep")) | (F.col("links") > 0))
-    special = materialise(special.select("digest", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "linked")
+    special = materialise(special.select("digest", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "linked", compact=True)
 
     out = linkable.join(special, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull())

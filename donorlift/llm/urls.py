@@ -122,7 +122,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, train
         return by_rule.unionAll(open_urls.select(*named, F.lit("block" if share else "allow").alias("verdict"), F.lit(share).alias("score")))
 
     rate = total.blocked / total.n
-    stats = {name: materialise(known.groupBy(name).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("urls")), "suffixes") for name in ("last", "pair")}
+    stats = {name: materialise(known.groupBy(name).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("urls")), "suffixes", compact=True) for name in ("last", "pair")}
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     drawn = known.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_urls / total.n)))
     trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, maxMemoryInMB=64)

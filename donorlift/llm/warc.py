@@ -184,7 +184,7 @@ def with_first(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", html.alias("html"))
     key = rows.select("page_id", "url", F.sha1(F.col("html").cast("binary")).alias("d"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes)
     firsts = key.groupBy("d").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 and first is not null")
-    firsts = materialise(firsts.select("d", "first"), "digests")
+    firsts = materialise(firsts.select("d", "first"), "digests", compact=True)
     return rows.withColumn("d", F.sha1(F.col("html").cast("binary"))).join(firsts, "d", "left").withColumn("refers_to", F.when(F.octet_length("html") >= least_bytes, F.col("first"))).select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("refers_to")), F.col("refers_to")).alias("refers_to"))
 
 
