@@ -45,14 +45,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/donorlift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+#: Rows of a narrow table in one file, if their number is known.
+FILE_ROWS = 500_000
+
+
+def materialise(df: DataFrame, name: str, compact: bool = False, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts
     the lineage and survives lost executors.  ``compact`` is for what comes
     out of a shuffle: at most two files per core of the cluster, not one per
-    shuffle partition."""
+    shuffle partition; and with a bound of their number, a file per FILE_ROWS
+    ``rows`` if these are fewer."""
     small_batches(df.sparkSession)
     if compact:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+        files = 2 * df.sparkSession.sparkContext.defaultParallelism
+        df = df.coalesce(files if rows is None else max(1, min(files, -(-rows // FILE_ROWS))))
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -515,7 +515,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
 
     heavy = recurring(first.where(F.col("token").isNotNull()).select("token", "count"))
     groups = materialise(candidate_groups(prefix_rows(docs, heavy)), "groups", compact=True)
-    near = components(chains(groups.join(classes.select("c", "n", "sketch"), "c")))
+    near = components(chains(groups.join(classes.select("c", "n", "sketch"), "c")), groups.count())
     members = classes.join(near.select(F.col("node").alias("c"), F.col("label").alias("sg")), "c")
     members = materialise(members.select("digest", "rep", "sg", "n", "copies"), "members", compact=True)
 
@@ -525,7 +525,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     found = materialise(full.groupBy("tile").applyInArrow(lambda t: _tile(t), "digest binary, links long, root binary"), "links", compact=True)
 
     counted = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
+    comp = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")), found.count())
     linked = classes.join(comp.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     heads = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = linked.join(heads, "label").join(counted, "digest", "left").withColumn("links", F.coalesce("links", F.lit(0)))
