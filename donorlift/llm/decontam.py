@@ -15,8 +15,9 @@ position; the hit spans of a run are merged, and documents take the hits of
 their runs.
 
 The phrases are broadcast; their size is checked.  Beyond ``PHRASE_WORDS``
-words the benchmark is searched in groups of items, whose hit spans per
-document are merged by a shuffle, so no limit drops a phrase.
+words the benchmark is searched in groups of items, all over the original
+texts, and their hit spans are merged per document (by a shuffle, or in a
+column beside the text), so no limit drops a phrase.
 
 Defined results: null and empty texts have no words; items without words have
 no window; without items nothing is hit; repeated documents give repeated rows;
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from donorlift.llm.common import ASCII_LOWER, batch, byte_class, row_blocks, share, table, text_buffer, tidy, word_bounds, word_hashes
 from donorlift.llm.queries import query
@@ -395,22 +397,63 @@ def decontaminate(docs: DataFrame, bench: DataFrame, phrase_words: int = PHRASE_
     """The documents with the bytes of all hit words, and what lies between
     them, cut out of ``text``.  Clean documents pass unchanged, null texts too;
     ``n_chars``, if there, follows the text.  All other columns pass."""
-    for g in benchmark_groups(bench, phrase_words):
-        docs = _cut(docs, g)
-    return docs
+    groups = benchmark_groups(bench, phrase_words)
+    schema, column = docs.schema, "spans"
+    while column in {c.lower() for c in docs.columns}:
+        column += "_"
+    for g in groups[:-1]:
+        docs = _marked(docs, g, column)
+    return _cut(docs, groups[-1], column, schema)
+
+
+def _marked(docs: DataFrame, phrases: Phrases, column: str) -> DataFrame:
+    """The documents, whole, with the spans of these phrases added to those in
+    the last column, which the first group appends: groups search the same text."""
+    shared = share(docs.sparkSession, phrases)
+    first = docs.columns[-1] != column
+    schema = StructType([*docs.schema, StructField(column, ArrayType(LongType()))]) if first else docs.schema
+
+    def run(it):
+        for b, found in searched(it, shared()):
+            spans = [[x for s in spans for x in s] for _, spans, _ in found]
+            if not first:
+                at = b.num_columns - 1
+                spans = [old + new for old, new in zip(b.column(at).to_pylist(), spans, strict=True)]
+                b = b.remove_column(at)
+            yield b.append_column(column, pa.array(spans, pa.list_(pa.int64())))
+
+    return docs.mapInArrow(tidy(run), schema)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order; those that overlap or touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
 
 
-def _cut(docs: DataFrame, phrases: Phrases) -> DataFrame:
+def _cut(docs: DataFrame, phrases: Phrases, column: str, schema: StructType) -> DataFrame:
+    """The last group's spans and those marked before, cut out together."""
     shared = share(docs.sparkSession, phrases)
+    marked = docs.columns[-1] == column
 
     def run(it):
         for b, found in searched(it, shared()):
+            spans = [s for _, s, _ in found]
+            if marked:
+                at = b.num_columns - 1
+                spans = [merged([*new, *zip(old[::2], old[1::2], strict=True)]) for old, new in zip(b.column(at).to_pylist(), spans, strict=True)]
+                b = b.remove_column(at)
             at = b.schema.get_field_index("text")
-            hit = [k for k, (_, spans, _) in enumerate(found) if spans]
+            hit = [k for k, s in enumerate(spans) if s]
             if hit:
                 texts = b.column(at).to_pylist()
                 for k in hit:
-                    texts[k] = without(texts[k], found[k][1])
+                    texts[k] = without(texts[k], spans[k])
                 b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
                 n = b.schema.get_field_index("n_chars")
                 if n >= 0:
@@ -420,7 +463,7 @@ def _cut(docs: DataFrame, phrases: Phrases) -> DataFrame:
                     b = b.set_column(n, b.schema.field(n), pa.array(chars, b.schema.field(n).type))
             yield b
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
