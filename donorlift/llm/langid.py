@@ -16,9 +16,9 @@ has no letter, or if its cross-entropy is above the limit calibrated for its
 language: the highest seen on calibration texts of the training fold plus a
 margin.
 
-``max_ngrams`` bounds the fitted model, not what is counted: of all counted
-4-grams, those with counts of at least the smallest sufficient power of two
-are kept.
+Every counted 4-gram of every language is in the model, which has no bound:
+it is fitted on the driver and broadcast, and a corpus of more distinct 4-grams
+than these hold ends with an error, not with a smaller model.
 
 Defined results: null text or no letter gives ``und`` with score 0 and is
 rejected; without any training text every text gives ``und``; texts of any
@@ -36,12 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import batch, drawn, ensure_checkpoint_dir, held_out, keep_rows, row_blocks, share, table, text_buffer, tidy, train_fold
+from donorlift.llm.common import batch, drawn, held_out, keep_rows, row_blocks, share, table, text_buffer, tidy, train_fold
 from donorlift.llm.queries import query
 
 ORDER = 4
-#: Bound of the fitted model: 4-grams kept over all languages.
-MAX_NGRAMS = 1_000_000
 #: Documents used to calibrate the rejection limits (drawn by hash of the id).
 CALIBRATION_DOCS = 2_000
 #: ... among those of at most this many characters.
@@ -218,23 +216,19 @@ def ngram_counts(train: DataFrame, alphabet) -> DataFrame:
     return partial.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def bounded_counts(counts: DataFrame, max_ngrams: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language its keys and counts, cut to the smallest power of two that
-    leaves at most ``max_ngrams`` rows in all."""
-    counts = counts.withColumn("b", F.floor(F.log2("n")).cast("int")).checkpoint()
-    sizes = {r.b: r.c for r in counts.groupBy("b").agg(F.count(F.lit(1)).alias("c")).collect()}
-    least, total = max(sizes, default=0) + 1, 0
-    while least > 0 and total + sizes.get(least - 1, 0) <= max_ngrams:
-        least -= 1
-        total += sizes.get(least, 0)
-    got = counts.where(F.col("b") >= least).select("lang", "key", "n").toArrow()
-    lang = np.array(got.column("lang").to_pylist(), object)
+def collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language all its keys, in order, and their counts."""
+    got = counts.select("lang", "key", "n").toArrow()
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(names, pa.ChunkedArray):
+        names = names.combine_chunks()
+    lang, names = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
     key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
     out = {}
-    for name in sorted(set(lang)):
-        k, c = key[lang == name], n[lang == name]
+    for at in sorted(range(len(names)), key=names.__getitem__):
+        k, c = key[lang == at], n[lang == at]
         order = np.argsort(k)
-        out[name] = (k[order], c[order].astype(np.float64))
+        out[names[at]] = (k[order], c[order].astype(np.float64))
     return out
 
 
@@ -318,13 +312,12 @@ def calibrate(models: Models, sample: list[tuple[str, str]]) -> Models:
     return models
 
 
-def fit_language_models(docs: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Models:
+def fit_language_models(docs: DataFrame) -> Models:
     """Models from documents (doc_id, text, lang) of the training fold."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     alphabet = Alphabet(symbol_table(), astral_letters())
     train = docs.where(train_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    models = fit(bounded_counts(ngram_counts(train, share(spark, alphabet)), max_ngrams), alphabet)
+    models = fit(collected(ngram_counts(train, share(spark, alphabet))), alphabet)
     sample = drawn(train.where(F.length("text") <= CALIBRATION_CHARS), CALIBRATION_DOCS).select("text", "lang").collect()
     return calibrate(models, [(r.text, r.lang) for r in sample])
 

@@ -1,6 +1,8 @@
 """Sizes and bounds that must not change results."""
 
-from donorlift.llm import decontam
+import numpy as np
+
+from donorlift.llm import decontam, langid
 
 
 # -- 1 ------------------------------------------------------------------------
@@ -20,3 +22,14 @@ def test_cuts_do_not_depend_on_groups_of_items(spark):
     got = sorted(map(repr, many.collect()))
     assert got == sorted(map(repr, one.collect()))
     assert one.where("doc_id = 0").first().text == "a  z"
+
+
+# -- 10 -----------------------------------------------------------------------
+def test_rare_language_keeps_its_model(spark):
+    """A language of few texts beside one of more distinct 4-grams than a million."""
+    rnd = np.random.default_rng(3)
+    hot = [(i, " ".join("".join(w) for w in rnd.choice(list("abcdefghijklmnopqrstuvwxyzäöüßéèàç"), (6_000, 9))), "hot") for i in range(90)]
+    rare = [(1_000 + i, f"ζωγράφος δένδρον ποταμός {'αβγδε'[i % 5]}λλο", "rare") for i in range(12)]
+    m = langid.fit_language_models(spark.createDataFrame(hot + rare, "doc_id long, text string, lang string").repartition(8))
+    assert m.langs == ["hot", "rare"] and len(m.keys[3]) > 1_000_000
+    assert m.predict(["ο ποταμός"])[0] == ["rare"]
