@@ -13,8 +13,8 @@ context.  Scoring looks up all 4-grams of a block by binary search, and those
 not found again one order lower.  The language of least cross-entropy per
 symbol wins; ties go to the first name.  A text is *rejected* if it is null or
 has no letter, or if its cross-entropy is above the limit calibrated for its
-language: the highest seen on calibration texts of the training fold plus a
-margin.
+language: the highest of all its texts in the training fold, each scored whole,
+plus a margin (of all languages' texts, where it has under 30).
 
 Every counted 4-gram of every language is in the model, which has no bound:
 it is fitted on the driver and broadcast, and a corpus of more distinct 4-grams
@@ -36,16 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import batch, drawn, held_out, keep_rows, row_blocks, share, table, text_buffer, tidy, train_fold
+from donorlift.llm.common import batch, held_out, keep_rows, row_blocks, share, table, text_buffer, tidy, train_fold
 from donorlift.llm.queries import query
 
 ORDER = 4
-#: Documents used to calibrate the rejection limits (drawn by hash of the id).
-CALIBRATION_DOCS = 2_000
-#: ... among those of at most this many characters.
-CALIBRATION_CHARS = 20_000
-#: Added to the highest calibration cross-entropy, in nats per symbol.
+#: Added to the highest cross-entropy of a training text, in nats per symbol.
 REJECT_MARGIN = 1.0
+#: Sharpness of scores: the one of greatest likelihood is taken.
+SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 UND = "und"
 BLANK = 32
 OTHER = 0xFFFF
@@ -286,29 +284,46 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: Alphabet) ->
     return Models(langs, union, logp, contexts, backoff, np.log(np.maximum(unseen_p, 1e-300)).astype(np.float32), alphabet)
 
 
-def calibrate(models: Models, sample: list[tuple[str, str]]) -> Models:
-    """Rejection limits and the sharpness of scores from labelled texts."""
-    if not models.langs or not sample:
+def calibrate(models: Models, train: DataFrame) -> Models:
+    """Rejection limits and the sharpness of scores from all labelled texts
+    (text, lang): a row per task and language leaves the tasks."""
+    if not models.langs:
         return models
-    ent, letters = models.entropies([t for t, _ in sample])
-    truth = np.array([models.langs.index(lang) if lang in models.langs else -1 for _, lang in sample])
-    best = ent.argmin(1)
-    top = float(ent[letters, best[letters]].max()) if letters.any() else float("inf")
-    limits = np.full(len(models.langs), top + REJECT_MARGIN)
-    for j in range(len(models.langs)):
-        own = ent[letters & (truth == j), j]
-        if len(own) >= 30:
-            limits[j] = own.max() + REJECT_MARGIN
-    models.limits = limits
-    known = letters & (truth >= 0)
-    if known.any():  # the sharpness of greatest likelihood, of a few
-        e, t = ent[known], truth[known]
-        gap = e - e.min(1)[:, None]
-        losses = []
-        for s in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
-            z = -s * gap
-            losses.append(float((np.log(np.exp(z).sum(1)) - z[np.arange(len(t)), t]).mean()))
-        models.sharpness = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)[int(np.argmin(losses))]
+    shared = share(train.sparkSession, models)
+    names = [f"loss{k}" for k in range(len(SHARPNESS))]
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("own", pa.float64()), ("best", pa.float64()), *[(c, pa.float64()) for c in names]])
+
+    def run(it):
+        m = shared()
+        place = {lang: j for j, lang in enumerate(m.langs)}
+        n, loss = np.zeros(len(place), np.int64), np.zeros((len(SHARPNESS), len(place)))
+        own, best = np.full(len(place), -np.inf), np.full(len(place), -np.inf)
+        for b in it:
+            _, offs = text_buffer(b.column(0))
+            for lo, hi in row_blocks(offs):
+                ent, letters = m.entropies(b.column(0).slice(lo, hi - lo).to_pylist())
+                truth = np.array([place.get(lang, -1) for lang in b.column(1).slice(lo, hi - lo).to_pylist()])
+                known = letters & (truth >= 0)
+                e, t = ent[known], truth[known]
+                at, least = e[np.arange(len(t)), t], e.min(1)
+                n += np.bincount(t, minlength=len(place))
+                np.maximum.at(own, t, at)
+                np.maximum.at(best, t, least)
+                for k, s in enumerate(SHARPNESS):
+                    each = np.log(np.exp(-s * (e - least[:, None])).sum(1)) + s * (at - least)
+                    loss[k] += np.bincount(t, each, len(place))
+        seen = np.flatnonzero(n)
+        yield batch(schema, [m.langs[j] for j in seen], n[seen], own[seen], best[seen], *loss[:, seen])
+
+    ddl = "lang string, n long, own double, best double, " + ", ".join(f"{c} double" for c in names)
+    parts = train.select("text", "lang").mapInArrow(tidy(run), ddl)
+    rows = {r.lang: r for r in parts.groupBy("lang").agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.max("best").alias("best"), *[F.sum(c).alias(c) for c in names]).collect()}
+    if not rows:
+        return models
+    top = max(r.best for r in rows.values())
+    models.limits = np.array([(rows[lang].own if lang in rows and rows[lang].n >= 30 else top) + REJECT_MARGIN for lang in models.langs])
+    # the sharpness of greatest likelihood, of a few
+    models.sharpness = SHARPNESS[int(np.argmin([sum(r[c] for r in rows.values()) for c in names]))]
     return models
 
 
@@ -318,8 +333,7 @@ def fit_language_models(docs: DataFrame) -> Models:
     alphabet = Alphabet(symbol_table(), astral_letters())
     train = docs.where(train_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     models = fit(collected(ngram_counts(train, share(spark, alphabet))), alphabet)
-    sample = drawn(train.where(F.length("text") <= CALIBRATION_CHARS), CALIBRATION_DOCS).select("text", "lang").collect()
-    return calibrate(models, [(r.text, r.lang) for r in sample])
+    return calibrate(models, train)
 
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"

@@ -33,3 +33,17 @@ def test_rare_language_keeps_its_model(spark):
     m = langid.fit_language_models(spark.createDataFrame(hot + rare, "doc_id long, text string, lang string").repartition(8))
     assert m.langs == ["hot", "rare"] and len(m.keys[3]) > 1_000_000
     assert m.predict(["ο ποταμός"])[0] == ["rare"]
+
+
+def test_limits_come_from_every_training_text(spark):
+    """One unusual text, long, among more texts than a calibration sample had."""
+    rows = [(i, f"the river runs by the old mill {'abcdefgh'[i % 8]}", "en") for i in range(4_500)]
+    odd = " ".join(f"qx{a}{b}zv" for a in "bcdfghjklmnp" for b in "rstvwxz")
+    rows += [(i, " ".join([odd] * 60), "en") for i in (9_000, 9_002)]  # 0 or 1 of them is held out
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    m = langid.fit_language_models(docs)
+    train = [r.text for r in docs.where(langid.train_fold()).collect()]
+    ent, _ = m.entropies(train)
+    assert len(train) > 2_000 and max(map(len, train)) > 20_000
+    assert max(e for t, e in zip(train, ent[:, 0], strict=True) if len(t) < 100) < ent.max() - 0.1
+    assert np.allclose(m.limits, ent.max(0) + langid.REJECT_MARGIN)
