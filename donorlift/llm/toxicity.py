@@ -14,7 +14,10 @@ texts of the training fold) and minimises the non-negative risk
 by Adam; where the second part falls below zero, its gradient is turned around.
 The class prior ``pi`` is the share of toxic rows among the labelled rows of the
 training fold, or a parameter.  P and U are bounded samples drawn by hash of the
-id (parameters below); scoring reads every whole text.
+id (parameters below), of whole texts of any length.  They stay in the tasks:
+the driver gets the number of texts by feature, and then, per text, the distinct
+windows as their features with evidence, which is all that the risk depends on.
+Scoring reads every whole text.
 
 Defined results: null and empty texts have the logit of an empty window; texts
 without confirmed toxic examples to learn from all score 0; repeated rows give
@@ -24,11 +27,11 @@ doc_id is not held out and is not learned from; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,7 @@ from donorlift.llm.common import (
     drawn,
     held_out,
     keep_rows,
+    materialise,
     mix,
     row_blocks,
     share,
@@ -49,14 +53,12 @@ from donorlift.llm.common import (
     tidy,
     train_fold,
     word_bounds,
-    word_hashes,
 )
 from donorlift.llm.queries import query
 
-#: Bounds of the training samples, in texts and in characters of one text.
+#: Bounds of the training samples, in texts of any length.
 POSITIVE_DOCS = 2_500
 UNLABELLED_DOCS = 4_500
-SAMPLE_CHARS = 8_000
 #: Class prior if no row is labelled as not toxic.
 DEFAULT_PRIOR = 0.1
 THRESHOLD = 0.7
@@ -146,33 +148,86 @@ class Toxicity:
         return np.concatenate([np.zeros(0), *parts])
 
 
-def fit_pu(positive: Sequence[str], unlabelled: Sequence[str], prior: float, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, evidence: float = EVIDENCE) -> Toxicity:
-    """Minimise the non-negative PU risk with logistic losses and a squared
-    penalty, over the features with evidence."""
-    if not positive or not unlabelled:
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(feature, p, u): texts of P and of U, rows (doc_id, text, positive), that
+    hold each feature; at most DIMENSIONS rows."""
+    schema = pa.schema([("feature", pa.int32()), ("p", pa.int64()), ("u", pa.int64())])
+
+    def run(it):
+        df = np.zeros((2, DIMENSIONS), np.int64)
+        for b in it:
+            part = 1 - b.column(2).to_numpy(zero_copy_only=False)
+            buf, offs = text_buffer(b.column(1))
+            for lo, hi in row_blocks(offs):
+                first, last, before = word_bounds(block := ASCII_LOWER[buf[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], KEEP)
+                feats, bounds = word_features(block, first, last)
+                text = np.repeat(np.arange(hi - lo), np.diff(bounds[before]))
+                one = np.unique(text * DIMENSIONS + feats)
+                np.add.at(df, (part[lo + one // DIMENSIONS], one % DIMENSIONS), 1)
+        some = np.flatnonzero(df.any(0))
+        for at in range(0, len(some), 50_000):
+            f = some[at : at + 50_000]
+            yield batch(schema, f.astype(np.int32), df[0, f], df[1, f])
+
+    return texts.mapInArrow(tidy(run), "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def learned_windows(texts: DataFrame, used: np.ndarray) -> DataFrame:
+    """(doc_id, positive, sizes, feats): a text's distinct windows in order, as
+    the numbers of their features among ``used``, one behind another.  Windows
+    with equal features have equal logits, so a text of any length is whole."""
+    shared = share(texts.sparkSession, used)
+    schema = pa.schema([("doc_id", pa.int64()), ("positive", pa.int32()), ("sizes", pa.list_(pa.int32())), ("feats", pa.list_(pa.int32()))])
+
+    def run(it):
+        number = np.full(DIMENSIONS, -1, np.int32)
+        number[shared()] = np.arange(len(used), dtype=np.int32)
+        for b in it:
+            buf, offs = text_buffer(b.column(1))
+            for lo, hi in row_blocks(offs):
+                first, last, before = word_bounds(block := ASCII_LOWER[buf[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], KEEP)
+                feats, bounds = word_features(block, first, last)
+                feats = number[feats]
+                on = feats >= 0
+                bounds = np.concatenate([[0], np.cumsum(on)])[bounds]
+                begin, ahead = windows(before)
+                feats, edges = feats[on], bounds[begin].tolist()
+                sizes, held = [], []
+                for a, z in zip(ahead[:-1].tolist(), ahead[1:].tolist(), strict=True):
+                    kinds = dict.fromkeys(np.sort(feats[edges[k] : edges[k + 1]]).tobytes() if edges[k] < edges[k + 1] else b"" for k in range(a, z))
+                    sizes.append([len(k) // 4 for k in kinds])
+                    held.append(np.frombuffer(b"".join(kinds), np.int32))
+                yield batch(schema, b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), sizes, held)
+
+    return texts.mapInArrow(tidy(run), "doc_id long, positive int, sizes array<int>, feats array<int>")
+
+
+def fit_pu(texts: DataFrame, prior: float, evidence: float = EVIDENCE) -> Toxicity:
+    """A classifier from texts (doc_id, text, positive) of P and U.  The tasks
+    read the texts; the driver gets features and their counts."""
+    size = {r.positive: r.n for r in texts.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = size.get(1, 0), size.get(0, 0)
+    if not n_p or not n_u:
         return Toxicity(None, 0.0, prior)
-    buf, offs = text_buffer(pa.array([*positive, *unlabelled], pa.string()))
-    buf = ASCII_LOWER[buf]
-    first, last, before = word_bounds(buf, offs, KEEP)
-    hashed = [word_hashes(buf, first[before[lo] : before[hi]], last[before[lo] : before[hi]]) for lo, hi in row_blocks(offs)]
-    _, seen, words = np.unique(np.concatenate(hashed), return_index=True, return_inverse=True)
-    words = words.astype(np.int32)
-    first, last = first[seen], last[seen]
-    made = [word_features(buf, first[at : at + 20_000], last[at : at + 20_000]) for at in range(0, len(seen), 20_000)]
-    feats = np.concatenate([f.astype(np.int32) for f, _ in made])
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in made]))])
-    del buf, first, last, hashed, made
-    n_p = len(positive)
-    used = evident(words, before, feats, bounds, n_p, evidence)
-    on = np.isin(feats, used)
-    bounds = np.concatenate([[0], np.cumsum(on)])[bounds]
-    feats = np.searchsorted(used, feats[on])
-    begin, ahead = windows(before)
-    share = np.concatenate([np.full(n_p, 1 / n_p), np.full(len(unlabelled), 1 / len(unlabelled))])
+    counts = document_frequencies(texts).where("p > 0").toArrow()
+    used = evident(*(counts.column(c).to_numpy() for c in ("feature", "p", "u")), n_p, n_u, evidence)
+    got = learned_windows(texts, used).orderBy(F.desc("positive"), "doc_id").toArrow()
+    count = pc.list_value_length(got.column("sizes")).to_numpy()
+    sizes, feats = (pc.list_flatten(got.column(c)).to_numpy() for c in ("sizes", "feats"))
+    bounds, ahead = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (sizes, count))
+    return minimised(feats, bounds, ahead, used, n_p, prior)
+
+
+def minimised(feats: np.ndarray, bounds: np.ndarray, ahead: np.ndarray, used: np.ndarray, n_p: int, prior: float, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> Toxicity:
+    """Minimise the non-negative PU risk with logistic losses and a squared
+    penalty.  ``feats`` are numbers in ``used``, of windows given by ``bounds``,
+    of texts given by ``ahead``; the first ``n_p`` texts are P."""
+    n_u = len(ahead) - 1 - n_p
+    share = np.concatenate([np.full(n_p, 1 / n_p), np.full(n_u, 1 / n_u)])
     theta, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     for epoch in range(1, epochs + 1):
-        win = sums(sums(theta[feats], bounds).astype(np.float32)[words], begin)
+        win = sums(theta[feats], bounds).astype(np.float32)
         top = np.maximum.reduceat(win, ahead[:-1])
         # each text's highest window, the first of equals
         at = np.flatnonzero(win == np.repeat(top, np.diff(ahead)))
@@ -183,11 +238,10 @@ def fit_pu(positive: Sequence[str], unlabelled: Sequence[str], prior: float, epo
         negative = soft[n_p:].mean() - prior * soft[:n_p].mean()
         g = np.concatenate([prior * (p[:n_p] - 1) - prior * p[:n_p], p[n_p:]]) if negative >= 0 else np.concatenate([prior * p[:n_p], -p[n_p:]])
         g *= share
-        lo, hi = begin[at], begin[at + 1]
+        lo, hi = bounds[at], bounds[at + 1]
         size = hi - lo
-        where = words[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        by_word = np.bincount(where, np.repeat(g, size), len(seen))
-        grad = np.bincount(feats, np.repeat(by_word, np.diff(bounds)), len(theta)) + decay * theta
+        where = feats[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        grad = np.bincount(where, np.repeat(g, size), len(theta)) + decay * theta
         gb = float(g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -201,28 +255,16 @@ def fit_pu(positive: Sequence[str], unlabelled: Sequence[str], prior: float, epo
     return Toxicity(weights, bias, prior)
 
 
-def evident(words: np.ndarray, before: np.ndarray, feats: np.ndarray, bounds: np.ndarray, n_p: int, evidence: float) -> np.ndarray:
-    """Features that more texts of P have than their share in U explains,
-    by the likelihood ratio of two proportions."""
-    n = len(before) - 1
-    df = np.zeros((2, DIMENSIONS))
-    edges = [*range(0, n_p, 250), *range(n_p, n, 250), n]
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        text = np.repeat(np.arange(lo, hi), np.diff(before[lo : hi + 1]))
-        pair = np.unique(text * len(bounds) + words[before[lo] : before[hi]].astype(np.int64))
-        text, word = pair // len(bounds), pair % len(bounds)
-        size = bounds[word + 1] - bounds[word]
-        where = np.repeat(bounds[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        one = np.unique(np.repeat(text, size) * DIMENSIONS + feats[where]) % DIMENSIONS
-        df[int(lo >= n_p)] += np.bincount(one, minlength=DIMENSIONS)
-    a, b, m = df[0], df[1], n - n_p
-    pooled = (a + b) / n
+def evident(feature: np.ndarray, a: np.ndarray, b: np.ndarray, n_p: int, m: int, evidence: float) -> np.ndarray:
+    """Features that more texts of P (``a`` of ``n_p``) have than their share in
+    U (``b`` of ``m``) explains, by the likelihood ratio of two proportions."""
+    pooled = (a + b) / (n_p + m)
 
     def term(k, p, q):
         return np.where(k > 0, k * np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)), 0)
 
     g = term(a, a / n_p, pooled) + term(n_p - a, 1 - a / n_p, 1 - pooled) + term(b, b / m, pooled) + term(m - b, 1 - b / m, 1 - pooled)
-    return np.flatnonzero((2 * g >= evidence) & (a / n_p > b / m))
+    return np.sort(feature[(2 * g >= evidence) & (a / n_p > b / m)].astype(np.int64))
 
 
 def calibrated(top: np.ndarray, n_p: int, prior: float, bias: float, epochs: int = 2_000, rate: float = 0.02) -> tuple[float, float]:
@@ -243,29 +285,26 @@ def calibrated(top: np.ndarray, n_p: int, prior: float, bias: float, epochs: int
     return scale, bias
 
 
-def sample_texts(docs: DataFrame, ids: DataFrame, n: int) -> list[str]:
-    """At most ``n`` texts of the given documents, drawn by hash of the id.
-    Only the drawn ids, at most ``n``, are broadcast."""
-    picked = [r.doc_id for r in drawn(ids.distinct(), n).collect()]
-    if not picked:
-        return []
-    some = docs.sparkSession.createDataFrame([(i,) for i in set(picked)], "doc_id long")
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    got = short.join(F.broadcast(some), "doc_id", "left_semi").orderBy("doc_id", "text").limit(n)
-    return [r.text for r in got.select("text").collect()]
+def sample_texts(docs: DataFrame, ids: DataFrame, n: int, positive: int) -> DataFrame:
+    """(doc_id, text, positive): at most ``n`` of the given documents, drawn by
+    hash of the id, whole, with one row each.  Only the drawn ids are broadcast."""
+    picked = [(r.doc_id,) for r in drawn(ids.distinct(), n).collect()]
+    some = docs.sparkSession.createDataFrame(picked, "doc_id long")
+    got = docs.join(F.broadcast(some), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return got.withColumn("positive", F.lit(positive))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Toxicity:
     """A classifier from documents (doc_id, text) and labels (doc_id, toxic)
     of the training fold."""
-    docs = docs.select("doc_id", "text").where(train_fold())
+    docs = docs.select("doc_id", "text").where(train_fold() & F.col("text").isNotNull())
     known = labels.select("doc_id", "toxic").where(train_fold() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         row = known.agg(F.avg("toxic").alias("share")).first()
         prior = row.share if row.share is not None and 0 < row.share < 1 else DEFAULT_PRIOR
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id")
-    toxic = short.join(known.where(F.col("toxic") == 1), "doc_id", "left_semi")
-    return fit_pu(sample_texts(docs, toxic, POSITIVE_DOCS), sample_texts(docs, short, UNLABELLED_DOCS), float(prior))
+    toxic = docs.select("doc_id").join(known.where(F.col("toxic") == 1), "doc_id", "left_semi")
+    texts = sample_texts(docs, toxic, POSITIVE_DOCS, 1).unionAll(sample_texts(docs, docs.select("doc_id"), UNLABELLED_DOCS, 0))
+    return fit_pu(materialise(texts, "toxicity-sample", compact=True), float(prior))
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from donorlift.llm import decontam, langid
+from donorlift.llm import decontam, langid, toxicity
 
 
 # -- 1 ------------------------------------------------------------------------
@@ -47,3 +47,24 @@ def test_limits_come_from_every_training_text(spark):
     assert len(train) > 2_000 and max(map(len, train)) > 20_000
     assert max(e for t, e in zip(train, ent[:, 0], strict=True) if len(t) < 100) < ent.max() - 0.1
     assert np.allclose(m.limits, ent.max(0) + langid.REJECT_MARGIN)
+
+
+# -- 7 ------------------------------------------------------------------------
+def test_toxicity_learns_from_long_texts(spark):
+    """All confirmed toxic texts are long; one id is repeated."""
+    rnd = np.random.default_rng(8)
+    words = [f"word{k}" for k in range(30)]
+    rows = []
+    for i in range(300):
+        w = rnd.choice(words, 2_500 if i % 5 == 0 else 300).tolist()
+        if i % 5 == 0:
+            w[int(rnd.integers(0, len(w)))] = "grobbelsnarf"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows + rows[:1] * 40, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    assert min(len(t) for i, t in rows if i % 5 == 0) > 8_000
+    model = toxicity.fit_toxicity(docs, known)
+    held = [r for r in toxicity.score_toxicity(docs, model).collect() if r.held_out]
+    assert held and all(r.predicted == int(r.doc_id % 5 == 0) for r in held)
+    taken = toxicity.sample_texts(docs, docs.select("doc_id"), 1_000, 0)
+    assert taken.count() == taken.select("doc_id").distinct().count() == 300
