@@ -25,7 +25,8 @@ Defined results: vectors that are null or hold a null or a component that is not
 finite are dropped; components beyond 2^46 in size count as that; vectors of
 different lengths are fitted apart, each length with its own n, sums and
 components; empty vectors give no rows, neither do components without variance
-(eigenvalues that rounding cannot tell from zero, so all of a single row);
+(at most LEAST of the greatest: in double precision the scatter does not tell
+them well enough to whiten; so all of a single row);
 null and repeated vec_ids are rows of their own; ``deviation`` is exact, and
 null where it exceeds 64 bits; empty tables give no rows.
 """
@@ -47,6 +48,8 @@ from donorlift.llm.queries import query
 SCALE, SHIFT = 64, 1_000_000
 LARGEST = 1 << 46
 COMPONENTS = 32
+#: Share of the greatest variance up to which a component counts as constant.
+LEAST = 1e-10
 #: Numbers in one block of rows, blocks of one matrix, and bytes of blocks that
 #: one task of a multiplication holds.
 BLOCK_NUMBERS = 1 << 17
@@ -204,7 +207,8 @@ def project(spark: SparkSession, blocks: DataFrame, read, size: int, whitener: n
     grid = block_matrix(blocks, read, across, size, width, count)
     one = Matrices.dense(width, k, whitener.ravel(order="F").tolist())
     diagonal = BlockMatrix(spark.sparkContext.parallelize([((j, j), one) for j in range(across)], min(across, 64)), width, k)
-    made = callMLlibFunc("getMatrixBlocks", grid.multiply(diagonal)._java_matrix_wrapper._java_model)
+    product = grid.multiply(diagonal)  # the wrapper lets go of the JVM's matrix when it goes
+    made = callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model)
 
     def run(it):
         for b in it:
@@ -254,7 +258,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
             found += scatter(spark, strip, _reader(d, model, base), size, d, part)
         values, vectors_ = np.linalg.eigh((found + found.T) / (2 * n))
         values, vectors_ = values[::-1], vectors_[:, ::-1]
-        trace, k = float(values.sum()), int((values[:components] > d * np.finfo(float).eps * max(values[0], 0)).sum())
+        trace, k = float(values.sum()), int((values[:components] > LEAST * max(values[0], 0)).sum())
         if k == 0:
             continue
         whitener = vectors_[:, :k] / np.sqrt(values[:k])

@@ -13,6 +13,7 @@ SCHEMAS = {
     "benchmark": "item_id long, text string, doc_id string",
     "labels": "doc_id long, quality int, toxic int, text string",
     "pages": "page_id long, url string, html string, host string, payload string, rule int",
+    "conversations": "conv_id long, turn long, role string, text string, step string, kind int, audit string",
     "embeddings": "vec_id long, embedding array<float>, label int, score string, rank string",
 }
 
@@ -80,7 +81,21 @@ def embeddings():
     return [(*r, 1, "s", "r") for r in rows]
 
 
-ROWS = {"documents": documents, "benchmark": benchmark, "labels": labels, "pages": pages, "embeddings": embeddings}
+def conversations():
+    rnd = random.Random(6)
+    said = ["Yes.", "No!", "why", " ", "", None, "ok\t\n", "So?\r\n", "Hm ...", "a\u00a0", "x" * 70_000]
+    rows = []
+    for c in range(150):
+        for t in range(rnd.randint(1, 12)):
+            role = rnd.choice(["user", "assistant"]) if rnd.random() < 0.3 else ["user", "assistant"][t % 2]
+            rows.append((c, t * rnd.choice([1, 1, 1, 2]), "system" if t == 0 and c % 3 == 0 else rnd.choice(["tool", "", None, "Assistant", "umpire"]) if rnd.random() < 0.05 else role, rnd.choice(said[:2] if rnd.random() < 0.8 else said) if rnd.random() < 0.2 else f"{sentence(rnd, 'en', 4)}{rnd.choice('...!?x')}"))
+    rows += [(200, None, "user", "One?"), (200, None, "assistant", "Two."), (200, 5, "user", "Three"), (None, 1, "user", "Four."), (None, None, "assistant", None), (201, None, None, None)]
+    rows += [(202, k, ["user", "assistant"][k % 2] if k % 9 else "system", f"Turn {k}{'.' if k % 5 else ''}") for k in range(400)]  # several segments
+    rows += [*rows[:7], *rows[40:44]]  # repeated rows
+    return [(*r, "s", 1, "KK") for r in rows]
+
+
+ROWS = {"conversations": conversations, "documents": documents, "benchmark": benchmark, "labels": labels, "pages": pages, "embeddings": embeddings}
 
 
 def same_as_sql(duck, df, sql):
