@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -146,16 +147,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Words up to this many bytes are hashed by 8-byte blocks, all at once.
+SHORT_WORD = 32
+_BLOCK_ODD = _rng.integers(1, 1 << 63, SHORT_WORD // 8, dtype=np.uint64) | np.uint64(1)
+
+
 def word_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: a polynomial over its bytes, mixed."""
-    if not len(first):
-        return np.zeros(0, np.uint64)
+    """64-bit hash of every word: its 8-byte blocks go through a finaliser one
+    after another, so different words of up to 8 bytes and equal length never
+    meet, and no sum of byte terms can cancel out; longer ones than SHORT_WORD
+    are rare and take BLAKE2b."""
     lens = last - first
-    before = np.cumsum(lens) - lens
-    within = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(before, lens)
-    powers = np.cumprod(np.full(int(lens.max()), HASH_BASE))
-    vals = BYTE_CODES[buf[within + np.repeat(first, lens)]] * powers[within]
-    return mix(np.add.reduceat(vals, before) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = mix(lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # 8 bytes from every position
+    some = np.flatnonzero(lens <= SHORT_WORD)
+    for b in range(SHORT_WORD // 8):
+        some = some[lens[some] > 8 * b]
+        if not len(some):
+            break
+        left = np.minimum(8, lens[some] - 8 * b).astype(np.uint64)
+        block = at_byte[first[some] + 8 * b] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - left) * np.uint64(8)))
+        h[some] = mix(h[some] + block * _BLOCK_ODD[b])
+    for w in np.flatnonzero(lens > SHORT_WORD).tolist():
+        h[w] = int.from_bytes(hashlib.blake2b(buf[first[w] : last[w]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def share(spark: SparkSession, value) -> Callable:
