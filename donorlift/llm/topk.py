@@ -7,7 +7,8 @@ of attribute values times query weights, that is of slices times powers of two:
 weights are split into signed powers of two, slices of equal weight are added
 by carry-save bitmap adders (three bitmaps in, a sum and a carry out), for all
 rows of a block together, until every power has one bitmap left.  Negative
-terms are added up in the same way, as complements.
+terms are added up in the same way, as complements.  The slices are stored once,
+in the index table, and used from there by every tile of queries.
 
 The best rows of a block are selected from the most significant slice downward:
 if enough candidates have a one there, the others leave, else those with a one
@@ -16,8 +17,10 @@ best rows of all blocks are merged by a window with a rank limit before the
 shuffle.
 
 Defined results: vectors that are null or hold a null or a component that is
-not finite take no part; components beyond what 64-bit scores can hold are
-refused; fewer than k other rows give fewer results; vectors of other lengths
+not finite take no part; components count as at most 2^63 / 1024 in size; rows
+are ranked by their exact scores at any size, of which the score column holds
+the nearest 64-bit value (so far beyond it, the least or greatest one); fewer
+than k other rows give fewer results; vectors of other lengths
 than a query's are no candidates of it; repeated vec_ids are rows of their own
 and rank by score, id; a query's own row is every row with its id.
 """
@@ -52,21 +55,39 @@ def quantised(df: DataFrame, scale: int = SCALE) -> DataFrame:
 class SlicedBlock:
     """Bit slices of a block of integer vectors."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray):
-        self.ids, self.rows = ids, len(ids)
-        self.least = q.min(0)
-        off = (q - self.least).astype(np.uint64)
-        words = -(-self.rows // 64)
-        self.slices = []
+    def __init__(self, ids: np.ndarray, least: np.ndarray, slices: list[list[np.ndarray]]):
+        self.ids, self.least, self.slices = ids, least, slices
+        words = -(-len(ids) // 64)
+        self.valid = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
+
+    @classmethod
+    def sliced(cls, ids: np.ndarray, q: np.ndarray) -> SlicedBlock:
+        least = q.min(0)
+        off = q.astype(np.uint64) - least.astype(np.uint64)  # modulo 2^64: right for any spread
+        words = -(-len(ids) // 64)
+        slices = []
         for k in range(q.shape[1]):
             col = off[:, k]
             bits = []
             for b in range(int(col.max()).bit_length()):
                 on = np.zeros(words * 64, np.uint8)
-                on[: self.rows] = (col >> np.uint64(b)) & np.uint64(1)
+                on[: len(ids)] = (col >> np.uint64(b)) & np.uint64(1)
                 bits.append(np.packbits(on, bitorder="little").view(np.uint64))
-            self.slices.append(bits)
-        self.valid = np.packbits(np.arange(words * 64) < self.rows, bitorder="little").view(np.uint64)
+            slices.append(bits)
+        return cls(ids, least, slices)
+
+    def stored(self) -> bytes:
+        """Least values, number of slices of each attribute, slices."""
+        widths = np.array([len(bits) for bits in self.slices], np.int64)
+        return b"".join([self.least.astype("<i8").tobytes(), widths.tobytes(), *[s.tobytes() for bits in self.slices for s in bits]])
+
+    @classmethod
+    def loaded(cls, ids: np.ndarray, dims: int, data) -> SlicedBlock:
+        least, widths = np.frombuffer(data, "<i8", dims), np.frombuffer(data, "<i8", dims, 8 * dims)
+        words = -(-len(ids) // 64)
+        bits = np.frombuffer(data, np.uint64, offset=16 * dims).reshape(int(widths.sum()), words)
+        ends = np.cumsum(widths)
+        return cls(ids, least, [list(bits[e - w : e]) for e, w in zip(ends.tolist(), widths.tolist(), strict=True)])
 
     def score_slices(self, weights: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of weights . vector for all rows, least significant first,
@@ -101,7 +122,7 @@ class SlicedBlock:
         return out, offset
 
     def best(self, weights: np.ndarray, own, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, without rows of id ``own``."""
+        """Ids and exact scores of the k best rows, without rows of id ``own``."""
         slices, offset = self.score_slices(weights)
         left = self.valid.copy()
         for row in np.flatnonzero(self.ids == own).tolist():
@@ -121,11 +142,12 @@ class SlicedBlock:
         sure, tied = rows_of(taken), rows_of(left) if need else np.zeros(0, np.int64)
         tied = tied[np.argsort(self.ids[tied], kind="stable")[:need]]  # equal scores: smaller ids
         rows = np.concatenate([sure, tied])
-        scores = np.full(len(rows), offset, np.int64)
+        kind = np.int64 if len(slices) < 62 and abs(offset) < 1 << 62 else object  # Python's integers hold any score
+        scores = np.full(len(rows), offset, kind)
         for power, s in enumerate(slices):
-            scores += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << power
-        order = np.lexsort((self.ids[rows], -scores))
-        return self.ids[rows][order], scores[order]
+            on = ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+            scores = scores + on.astype(kind) * (1 << power)
+        return self.ids[rows], scores
 
 
 def signed_powers(w: int) -> list[tuple[int, int]]:
@@ -147,11 +169,19 @@ def rows_of(bitmap: np.ndarray) -> np.ndarray:
 
 _HELD = pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("q", pa.binary())])
 HELD = "dims int, ids binary, q binary"
-LIMIT = 1 << 26  # of a component; 64-bit sums of products stay exact for 2^11 of them
 
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Rows (dims, ids, q): vectors of equal length, a block in each."""
+def plain(ids: np.ndarray, q: np.ndarray) -> bytes:
+    return q.astype("<i8").tobytes()
+
+
+def slices(ids: np.ndarray, q: np.ndarray) -> bytes:
+    return SlicedBlock.sliced(ids, q).stored()
+
+
+def blocks(vectors: DataFrame, rows: int, form) -> DataFrame:
+    """Rows (dims, ids, q): vectors of equal length, a block in each, as
+    ``form(ids, vectors)``."""
 
     def run(it):
         held: dict[int, list] = {}
@@ -164,29 +194,29 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
             for d in np.unique(lens).tolist():
                 at = np.flatnonzero(lens == d)
                 m = flat[ahead[at][:, None] + np.arange(d)] if d else np.zeros((len(at), 0), np.int64)
-                if d and np.abs(m).max() >= LIMIT:
-                    raise ValueError("a quantised component is too large for exact scores")
                 have = held.setdefault(d, [np.zeros(0, np.int64), np.zeros((0, d), np.int64)])
                 have[0], have[1] = np.concatenate([have[0], ids[at]]), np.concatenate([have[1], m])
                 while len(have[0]) >= rows:
-                    yield batch(_HELD, [d], [have[0][:rows].tobytes()], [have[1][:rows].astype(np.int32).tobytes()])
+                    yield batch(_HELD, [d], [have[0][:rows].tobytes()], [form(have[0][:rows], have[1][:rows])])
                     have[0], have[1] = have[0][rows:], have[1][rows:]
         for d, (ids, m) in held.items():
             if len(ids):
-                yield batch(_HELD, [d], [ids.tobytes()], [m.astype(np.int32).tobytes()])
+                yield batch(_HELD, [d], [ids.tobytes()], [form(ids, m)])
 
     return vectors.mapInArrow(tidy(run), HELD)
 
 
-RESULT = "query_id long, vec_id long, score long"
-_RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: A score is high * 2^62 + low.
+LOW = (1 << 62) - 1
+RESULT = "query_id long, vec_id long, high decimal(38,0), low long"
+_RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("high", pa.decimal128(38, 0)), ("low", pa.int64())])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` (vec_id, q)
     for every row of ``queries`` (vec_id, q)."""
-    index = materialise(blocks(vectors, BLOCK_ROWS).withColumn("block", F.monotonically_increasing_id()), "slices")
-    asked = materialise(blocks(queries, BLOCK_QUERIES).withColumn("block", F.monotonically_increasing_id()), "queries")
+    index = materialise(blocks(vectors, BLOCK_ROWS, slices).withColumn("block", F.monotonically_increasing_id()), "slices")
+    asked = materialise(blocks(queries, BLOCK_QUERIES, plain).withColumn("block", F.monotonically_increasing_id()), "queries")
     # tiles: a block of rows and a few blocks of queries; both sides are sent to
     # the tiles of their row or column, so no task meets all of either
     across, down = max(1, index.count()), max(1, -(-asked.count() // TILE_BLOCKS))
@@ -201,17 +231,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         for b in it:
             for j in range(b.num_rows):
                 block, d = b.column(0)[j].as_py(), b.column(3)[j].as_py()
-                if block != last:  # pairs come sorted by block: slices are made once
-                    ids = np.frombuffer(b.column(1)[j].as_py(), np.int64)
-                    held, last = SlicedBlock(ids, np.frombuffer(b.column(2)[j].as_py(), np.int32).reshape(len(ids), d).astype(np.int64)), block
+                if block != last:
+                    held, last = SlicedBlock.loaded(np.frombuffer(b.column(1)[j].as_py(), np.int64), d, b.column(2)[j].as_py()), block
                 q_ids = np.frombuffer(b.column(4)[j].as_py(), np.int64)
-                weights = np.frombuffer(b.column(5)[j].as_py(), np.int32).reshape(len(q_ids), d).astype(np.int64)
+                weights = np.frombuffer(b.column(5)[j].as_py(), "<i8").reshape(len(q_ids), d)
                 for q, w in zip(q_ids.tolist(), weights, strict=True):
                     ids, scores = held.best(w, q, k)
-                    yield batch(_RESULT, np.full(len(ids), q), ids, scores)
+                    yield batch(_RESULT, np.full(len(ids), q), ids, [int(v) >> 62 for v in scores], [int(v) & LOW for v in scores])
 
     found = pairs.select("block", "ids", "q", "dims", "q_ids", "q_q").mapInArrow(tidy(run), RESULT)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
+    # high * 2^62 + low, or the end of the 64-bit range that it lies beyond
+    score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.col("high") * (1 << 62) + F.col("low"))
+    found = found.withColumn("score", score.cast("long"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

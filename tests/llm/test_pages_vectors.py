@@ -75,7 +75,6 @@ def test_warc_round_trip(spark, edge_dir):
 
 def test_archives_have_dictionaries_and_checks():
     rnd = np.random.default_rng(2)
-    records = [warc.record(i, "http://x/", (b"<html><body>shared words of all pages " * 20 + rnd.bytes(900)), "D" * 32, i) for i in range(400)]
     records = [warc.record(i, "http://x/", p := b"<html>shared words of all pages " * 20 + rnd.bytes(900), warc.base32_sha1(p), i) for i in range(400)]
     data = warc.archive(records)
     assert struct.unpack_from("<I", data)[0] == warc.DICTIONARY_FRAME
@@ -114,6 +113,27 @@ def test_top_k_equals_brute_force(spark, edge_dir, monkeypatch):
     assert sorted(got) == brute_top(ROWS["embeddings"]())
 
 
+def test_top_k_with_components_of_any_size(spark, monkeypatch):
+    """Large components beside small ones, and scores that 64 bits do not hold."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    rnd = np.random.default_rng(7)
+    v = rnd.uniform(-1, 1, (150, 5))
+    v[3:60:7] *= 70_000
+    v[100] = [1e9, -3e9, 2e9, 0, 1e9]
+    v[117] = [4e15, 1e15, -9e15, 1, 0]
+    v[118] = v[117] * 0.9
+    v[0] *= 1e6
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    q = topk.quantised(df)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(q, q.where("vec_id in (0, 3, 100, 117, 149)")).collect()}
+    x = [[int(np.floor(1024 * c)) for c in r] for r in v]
+    for a in (0, 3, 100, 117, 149):
+        exact = sorted((-sum(c * d for c, d in zip(x[a], x[b], strict=True)), b) for b in range(150) if b != a)
+        for k, (s, b) in enumerate(exact[:10]):
+            assert got[a, k + 1] == (b, max(-(1 << 63), min((1 << 63) - 1, -s)))
+    assert got[117, 1] == (118, (1 << 63) - 1)
+
+
 def test_top_k_of_no_vectors(spark, empty_dir):
     assert topk.op6_topk(spark, empty_dir).collect() == []
 
@@ -121,7 +141,9 @@ def test_top_k_of_no_vectors(spark, empty_dir):
 def test_slices_add_up():
     rnd = np.random.default_rng(3)
     q = rnd.integers(-700, 700, (130, 9))
-    block, w = topk.SlicedBlock(np.arange(130), q), rnd.integers(-700, 700, 9)
+    made, w = topk.SlicedBlock.sliced(np.arange(130), q), rnd.integers(-700, 700, 9)
+    block = topk.SlicedBlock.loaded(made.ids, 9, made.stored())
+    assert all((a == b).all() for x, y in zip(made.slices, block.slices, strict=True) for a, b in zip(x, y, strict=True))
     slices, offset = block.score_slices(w)
     total = sum(((s[np.arange(130) >> 6] >> (np.arange(130) & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << p for p, s in enumerate(slices)) + offset
     assert (total == q @ w).all()

@@ -68,3 +68,21 @@ def test_toxicity_learns_from_long_texts(spark):
     assert held and all(r.predicted == int(r.doc_id % 5 == 0) for r in held)
     taken = toxicity.sample_texts(docs, docs.select("doc_id"), 1_000, 0)
     assert taken.count() == taken.select("doc_id").distinct().count() == 300
+
+
+# -- 1, 2 ---------------------------------------------------------------------
+def test_words_that_a_polynomial_hash_takes_as_equal(spark):
+    """The Thue-Morse word and its complement agree in every sum of byte terms
+    times powers modulo 2^64."""
+    from donorlift.llm import ngram_join
+
+    def thue(n, first):
+        return "".join("ab"[(k.bit_count() + first) & 1] for k in range(n))
+
+    texts = [thue(n, f) for n in (16, 32, 64, 1024, 4096) for f in (0, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    joined = ngram_join.jaccard_links(docs)
+    assert {r.doc_id: r.component_id for r in joined.collect()} == {i: i for i in range(len(texts))}
+    bench = docs.select((docs.doc_id + 100).alias("item_id"), "text").where("doc_id % 2 = 1")
+    found = decontam.contamination(docs, bench).collect()
+    assert {r.doc_id: r.n_hit for r in found} == {i: i % 2 for i in range(len(texts))}
