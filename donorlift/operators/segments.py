@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlift.functions import codes as fx
@@ -24,7 +24,6 @@ from donorlift.operators.ordering import exact_quantiles, ntile_of, with_positio
 RFA_AMOUNT_EDGES = [2.0, 3.0, 5.0, 10.0, 15.0, 25.0]
 RFA_AMOUNT_CODES = ["A", "B", "C", "D", "E", "F", "G"]
 # Recency classes: F first-time, N new, A active, L lapsing, I inactive, S star
-SALTS = 16  # parts of one member's gifts in a join
 CARD_EVERY = 3  # stand-in rule: campaigns i with i % 3 = 0 are card mailings
 # -----------------------------------------------------------------------------
 
@@ -56,18 +55,12 @@ def giving_summary(gifts: DataFrame, ref, key: str = "member_id") -> DataFrame:
         F.max(F.struct("gift_date", "gift_id", "amount")).alias("_last"),
         F.min(F.struct("gift_date", "gift_id")).alias("_first"),
     )
-    # second gift: the smallest (date, id) after the first.  The join key is
-    # salted, with the first gifts sent to every salt, so that a member with a
-    # third of all gifts is spread over SALTS tasks; their minima meet after it
-    salt = F.pmod(F.xxhash64("gift_id"), F.lit(SALTS)).cast("int")
-    first = s.select(key, F.col("_first.gift_date").alias("_fd"), F.col("_first.gift_id").alias("_fi"),
-                     F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    later = gifts.select(key, "gift_date", "gift_id", salt.alias("_salt")).join(first, [key, "_salt"]).where(
-        (F.col("gift_date") > F.col("_fd"))
-        | ((F.col("gift_date") == F.col("_fd")) & (F.col("gift_id") > F.col("_fi")))
-    )
-    least = later.groupBy(key, "_salt").agg(F.min(F.struct("gift_date", "gift_id")).alias("_least"))
-    second = least.groupBy(key).agg(F.min("_least").alias("_second"))
+    # second gift: Spark keeps the two first rows of a key in every map task
+    # before the shuffle (window group limit), so a member with a third of all
+    # gifts sends two rows a task, and both sides meet on the key they were dealt by
+    place = F.row_number().over(Window.partitionBy(key).orderBy("gift_date", "gift_id"))
+    second = gifts.select(key, "gift_date", "gift_id", place.alias("_k")).where(F.col("_k") <= 2)
+    second = second.groupBy(key).agg(F.max(F.when(F.col("_k") == 2, F.col("gift_date"))).alias("_second"))
     out = s.join(second, key, "left")
     return out.select(
         key,
@@ -81,8 +74,8 @@ def giving_summary(gifts: DataFrame, ref, key: str = "member_id") -> DataFrame:
         F.col("_last.amount").alias("lastgift"),
         F.col("_last.gift_date").alias("lastdate"),
         F.col("_first.gift_date").alias("fistdate"),
-        F.col("_second.gift_date").alias("nextdate"),
-        fx.months_between_whole(F.col("_second.gift_date"), F.col("_first.gift_date")).alias("timelag"),
+        F.col("_second").alias("nextdate"),
+        fx.months_between_whole(F.col("_second"), F.col("_first.gift_date")).alias("timelag"),
         mean_from_cents("_cents", "ngiftall").alias("avggift"),
     )
 

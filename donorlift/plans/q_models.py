@@ -19,27 +19,44 @@ from donorlift.plans.q_giving import GIVING_CTES, PROMOTION_SQL
 from donorlift.plans.registry import register
 from donorlift.session import ensure_checkpoint_dir
 from donorlift.sources import standin as si
+from donorlift.sources.files import StageStore
 from donorlift.streaming import gifts as st
 
 REF = si.REF
 
 
-def feature_frame(spark, sf_dir) -> md.FeatureFrame:
+def _build_features(spark, sf_dir):
     t = si.Tables(spark, sf_dir)
     g = si.gifts(t)
     first = g.groupBy("member_id").agg(F.min("gift_date").alias("first_date"))
     members = si.members(t)
-    df, names = fe.member_features(
+    df, _ = fe.member_features(
         members, sg.giving_summary(g, REF), sg.promotion_summary(si.history(t), first, REF),
         si.targets(t), REF, si.SCALE, en.fit_one_hot(members, "segment"),
     )
-    df = md.with_class_weight(df, "target_b")
-    ff = md.assemble(df, names, "member_id")
-    # every learner below reads this table many times (trees, folds,
-    # rounds): materialise it once in the shared checkpoint folder
-    ensure_checkpoint_dir(spark)
-    ff.df = ff.df.checkpoint(eager=True)
-    return ff
+    return md.with_class_weight(df, "target_b")
+
+
+def _files_of(spark, sf_dir, *names) -> str:
+    """A digest of the tables' files: path, size and time of each."""
+    at = "hex(sum(xxhash64(file_path, file_size, file_modification_time) & 281474976710655))"
+    tables = [spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet").select("_metadata.*").select("file_path", "file_size", "file_modification_time") for n in names]
+    files = tables[0]
+    for f in tables[1:]:
+        files = files.unionByName(f)
+    return files.distinct().selectExpr(f"{at} AS digest").first().digest
+
+
+def feature_frame(spark, sf_dir) -> md.FeatureFrame:
+    """The model table.  Every learner reads it many times (trees, folds,
+    rounds), and many queries use it: it is a stored stage (S6), built once per
+    application and state of the tables' files."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/donorlift-{spark.sparkContext.applicationId}"
+    store = StageStore(spark, root)
+    name = f"features-{_files_of(spark, sf_dir, 'customer', 'orders', 'nation', 'region')}"
+    df = store.provide(name, [name], {name: lambda _: _build_features(spark, sf_dir)})
+    names = [c for c in df.columns if c not in ("member_id", "target_b", "target_d", "w")]
+    return md.assemble(df, names, "member_id")
 
 
 SEGMENT_NAMES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
