@@ -165,30 +165,17 @@ def fit_enet(ff: FeatureFrame, amount: str = "target_d", label: str = "target_b"
 
 
 def bayes_ridge(df: DataFrame, names: Sequence[str], y: str, iters: int = 300, tol: float = 1e-6) -> dict:
-    """M9: Bayesian ridge regression.  X'X, X'y, y'y and the column means come
-    from one distributed aggregation (p x p numbers); the evidence iteration
+    """M9: Bayesian ridge regression.  The centred products of columns and
+    target are one distributed sum of matrices; the evidence iteration
     (MacKay updates) runs on that small matrix on the driver."""
     import numpy as np
 
+    from donorlift.operators.gram import scatter
+
     p = len(names)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")]
-    aggs += [F.sum(c).alias(f"s{i}") for i, c in enumerate(names)]
-    aggs += [F.sum(F.col(c) * F.col(y)).alias(f"xy{i}") for i, c in enumerate(names)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"xx{i}_{j}") for i, a in enumerate(names)
-             for j, b in enumerate(names) if j >= i]
-    r = df.agg(*aggs).first()
-    n = r["n"]
-    mx = np.array([r[f"s{i}"] for i in range(p)]) / n
-    my = r["sy"] / n
-    xx = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            xx[i, j] = xx[j, i] = r[f"xx{i}_{j}"]
-    xty = np.array([r[f"xy{i}"] for i in range(p)])
-    # centre
-    xx_c = xx - n * np.outer(mx, mx)
-    xy_c = xty - n * mx * my
-    yy_c = r["syy"] - n * my * my
+    got = scatter(df, [*names, y])
+    n, mx, my = got.n, got.mean[:p], float(got.mean[p])
+    xx_c, xy_c, yy_c = got.products[:p, :p], got.products[:p, p], float(got.products[p, p])
     alpha, lam = 1.0 / max(yy_c / n, 1e-12), 1.0
     eig, vec = np.linalg.eigh(xx_c)
     eig = np.clip(eig, 0, None)

@@ -183,16 +183,20 @@ def skewness_report(df: DataFrame, cols: Sequence[str], top: int = 6) -> DataFra
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A10: Pearson correlation of every pair of columns in one aggregation
-    (a C x C matrix in long form, a < b)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = wide.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
-    return long.select(
-        F.split("pair", r"\|")[0].alias("col_a"),
-        F.split("pair", r"\|")[1].alias("col_b"),
-        F.round("corr", 4).alias("corr"),
-    )
+    """A10: Pearson correlation of every pair of columns, over the rows where
+    both are known, from one sum of matrices (long form, a before b); null for
+    constant columns and fewer than two rows."""
+    import numpy as np
+    import pandas as pd
+
+    from donorlift.operators.gram import correlation_matrix
+
+    _, r = correlation_matrix(df, cols)
+    i, j = np.triu_indices(len(cols), 1)
+    names = np.array(cols, object)
+    long = pd.DataFrame({"col_a": names[i], "col_b": names[j], "corr": r[i, j]})
+    out = df.sparkSession.createDataFrame(long, "col_a string, col_b string, corr double")
+    return out.select("col_a", "col_b", F.round(F.when(~F.isnan("corr"), F.col("corr")), 4).alias("corr"))
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
