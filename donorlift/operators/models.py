@@ -12,6 +12,7 @@ import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 
 from donorlift.operators import profit as pr
 from donorlift.operators import sampling as sm
-from donorlift.operators.ordering import with_positions
 from donorlift.session import ensure_checkpoint_dir
 
 
@@ -259,53 +259,112 @@ def select_from_model(ff: FeatureFrame, label: str = "target_b", trees: int = SE
     return imp.withColumn("selected", F.col("importance") >= F.lit(mean))
 
 
+#: Forests of a Boruta selection that are fitted at the same time.
+ROUNDS_AT_ONCE = 8
+
+
 def _binom_sf(k: int, n: int, p: float = 0.5) -> float:
     """P(X >= k) for X ~ Binomial(n, p)."""
     return sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k, n + 1))
 
 
-def boruta(ff: FeatureFrame, label: str = "target_b", max_rounds: int = 120, trees: int = 30,
-           alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """all-relevant selection.  Each round appends a shadow copy of every
-    open feature whose values are permuted across rows (exact positions in
-    hash order, moved by a seeded affine permutation), fits a forest and counts a
-    hit when a feature beats the best shadow.  A two-sided binomial test on
-    the hits decides confirmed / rejected; rejected features leave, and the
-    rounds end when every feature is decided or at ``max_rounds``, which
-    leaves the rest tentative.  ``rank``: 1 confirmed, 2 tentative, then
-    rejected ones, the last rejected first (F5)."""
+def auto_trees(n_columns: int, depth: int) -> int:
+    """Trees of a Boruta round for so many columns and their shadows: enough
+    that each is tried some hundred times."""
+    return max(10, int(100 * math.sqrt(2 * n_columns) / depth))
+
+
+def _passed(p_values: dict[str, float], alpha: float, rounds: int) -> set[str]:
+    """Columns whose p-values hold among the columns (Benjamini and Hochberg)
+    and over the rounds made so far (Bonferroni)."""
+    order = sorted(p_values, key=p_values.get)
+    last = max((i + 1 for i, c in enumerate(order) if p_values[c] <= alpha * (i + 1) / len(order)), default=0)
+    return {c for c in order[:last] if p_values[c] <= alpha / rounds}
+
+
+def shadowed(df: DataFrame, key: str, label: str, names: Sequence[str], seed: int) -> DataFrame:
+    """(label, w, x): each row's ``names`` and, after them, shadows of these,
+    each shadow column permuted on its own among the rows of a batch.  Rows
+    must lie in random order; then a shadow has its column's values and nothing
+    to do with the label, and nothing is joined or shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    p, kind = len(names), df.schema[label].dataType.simpleString()
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(p)])
+            both = np.hstack([x, np.column_stack([rng.permutation(x[:, i]) for i in range(p)])])
+            held = pa.ListArray.from_arrays(pa.array(np.arange(0, both.size + 1, 2 * p), pa.int32()), pa.array(both.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), held], [label, "w", "x"])
+
+    rows = df.select(label, "w", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    return rows.mapInArrow(run, f"{label} {kind}, w double, x array<double>").select(label, "w", array_to_vector("x").alias("features"))
+
+
+def boruta(ff: FeatureFrame, label: str = "target_b", max_rounds: int = 120, trees: int | None = None,
+           alpha: float = 0.05, seed: int = 42, perc: float = 100.0, depth: int = 6) -> DataFrame:
+    """all-relevant selection.  The rows are put in random order once; in
+    each round every open or confirmed column gets a shadow with its values
+    permuted, a forest is fitted (``trees``, by default from the number of
+    columns and the depth) and a column scores a hit when its importance is
+    above the ``perc`` percentile of the shadows' (100: the greatest).
+    Binomial tests on the hits, corrected for the number of columns and rounds,
+    decide confirmed or rejected; rejected columns leave, and the rounds end when
+    every column is decided or at ``max_rounds``, which leaves the rest
+    tentative.  ``rank``: 1 confirmed, 2 tentative, then rejected ones, the
+    last rejected first (F5)."""
+    import numpy as np
+
     spark = ff.df.sparkSession
     ensure_checkpoint_dir(spark)
     key, names = ff.key, list(ff.names)
-    mixed = ff.df.select(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))).alias("_h"), key, label, "w", *names)
-    base = with_positions(mixed, [("_h", True), (key, True)], pos_col="_p", size_col="_n").checkpoint(eager=True)
+    mixed = ff.df.select(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))).alias("_h"), label, "w", *names)
+    base = mixed.repartition("_h").sortWithinPartitions("_h").checkpoint(eager=True)
     n = base.count()
-    rnd = random.Random(seed)
-    hits, rounds = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+    hits = dict.fromkeys(names, 0)
+    rounds = dict.fromkeys(names, 0)
     decision = dict.fromkeys(names, "tentative")
     left_at: dict[str, int] = {}
-    for r in range(max_rounds):
+
+    def forest(r: int, alive: list[str]) -> list[float]:
+        tab = shadowed(base, key, label, alive, seed + r)
+        m = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="w", numTrees=trees or auto_trees(len(alive), depth),
+                                   maxDepth=depth, seed=seed + r).fit(tab)
+        return m.featureImportances.toArray()
+
+    made = 0
+    while made < max_rounds and n >= 2:
         alive = [c for c in names if decision[c] != "rejected"]
-        if all(decision[c] != "tentative" for c in names) or n < 2:
+        if all(decision[c] != "tentative" for c in alive):
             break
-        step = next(a for a in iter(lambda: rnd.randrange(1, n), None) if math.gcd(a, n) == 1)
-        moved = (F.col("_p") * step + rnd.randrange(n)) % n + 1  # positions are 1 .. n
-        shadow = base.select(moved.alias("_p"), *[F.col(c).alias(f"shadow_{c}") for c in alive])
-        cols = alive + [f"shadow_{c}" for c in alive]
-        tab = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(base.join(shadow, "_p"))
-        m = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="w", numTrees=trees,
-                                   maxDepth=6, seed=seed + r).fit(tab.select("features", label, "w"))
-        imp = m.featureImportances.toArray()
-        best_shadow = max(imp[len(alive):])
-        for i, c in enumerate(alive):
-            if decision[c] != "tentative":
-                continue
-            rounds[c] += 1
-            hits[c] += int(imp[i] > best_shadow)
-            if _binom_sf(hits[c], rounds[c]) < alpha / 2:
-                decision[c] = "confirmed"
-            elif 1 - _binom_sf(hits[c] + 1, rounds[c]) < alpha / 2:
-                decision[c], left_at[c] = "rejected", r
+        # rounds do not depend on each other as long as the columns stay: some
+        # forests are fitted at a time, and their hits are counted in order
+        some = range(made, min(made + ROUNDS_AT_ONCE, max_rounds))
+        with ThreadPool(len(some)) as pool:
+            found = pool.map(lambda r, alive=alive: forest(r, alive), some)
+        for r, imp in zip(some, found, strict=True):
+            made = r + 1
+            bar = float(np.percentile(imp[len(alive):], perc))
+            open_ = [c for c in alive if decision[c] == "tentative"]
+            for c in open_:
+                rounds[c] += 1
+                hits[c] += int(imp[alive.index(c)] > bar)
+            more = _passed({c: _binom_sf(hits[c], rounds[c]) for c in open_}, alpha, made)
+            less = _passed({c: 1 - _binom_sf(hits[c] + 1, rounds[c]) for c in open_}, alpha, made)
+            for c in open_:
+                if c in more:
+                    decision[c] = "confirmed"
+                elif c in less:
+                    decision[c], left_at[c] = "rejected", r
+            if all(decision[c] != "tentative" for c in alive):
+                break
     last = sorted({left_at[c] for c in left_at}, reverse=True)
     rank = {c: {"confirmed": 1, "tentative": 2}.get(decision[c]) or 3 + last.index(left_at[c]) for c in names}
     return spark.createDataFrame([(c, hits[c], rounds[c], decision[c], rank[c]) for c in names],

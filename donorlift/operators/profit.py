@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlift.functions.money import cents, cents_lit, from_cents
-from donorlift.operators.ordering import exact_quantiles
+from donorlift.operators.ordering import exact_quantiles, with_prefix_sums
 
 DEFAULT_GRID = 10_000
 
@@ -144,6 +144,35 @@ def fit_alpha_star(curve: DataFrame) -> int:
     return int(alpha_star(curve).first()["k"])
 
 
+def exact_alpha_star(df: DataFrame, crit_col: str, amount_col: str, unit_cost: float, greatest: float = 1.0) -> DataFrame:
+    """G5 without a grid: profit is a step function of alpha that changes at the
+    members' critical values, so its greatest value is a running sum over those
+    values in order (a distributed one; the best step of each slice meets the
+    others' in an aggregation).  One row: the profit holds for ``above`` <
+    alpha <= ``upto`` (null: without end), ``alpha`` lies between the two;
+    ties go to the smallest alpha.  Only alphas up to ``greatest`` count, and
+    where mailing anybody loses money alpha is 0."""
+    steps = (
+        df.where(F.col(crit_col) < F.lit(greatest))
+        .groupBy(F.col(crit_col).alias("crit"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(_net(F.col(amount_col), unit_cost)).alias("s"))
+    )
+    running = with_prefix_sums(steps, [("crit", True)], ["n", "s"]).select("crit", "cum_n", "cum_s").checkpoint(eager=True)
+    best = running.where("cum_s > 0").agg(F.max(F.struct("cum_s", (-F.col("crit")).alias("nc"), "cum_n")).alias("b")).first()["b"]  # one row
+    spark = df.sparkSession
+    if best is None:
+        low, n, s = None, 0, 0
+        high = running.agg(F.min("crit")).first()[0]
+        alpha = 0.0
+    else:
+        low, n, s = -best["nc"], best["cum_n"], best["cum_s"]
+        high = df.where(F.col(crit_col) > F.lit(low)).agg(F.min(crit_col)).first()[0]
+        top = greatest if high is None else min(high, greatest)
+        alpha = (low + top) / 2 if low < (low + top) / 2 else top
+    one = spark.createDataFrame([(low, high, alpha, n, int(s))], "above double, upto double, alpha double, n_mailed long, _s long")
+    return one.select("above", "upto", "alpha", "n_mailed", from_cents(F.col("_s")).alias("profit"))
+
+
 def early_stop_point(curve: DataFrame, patience: int = 200) -> DataFrame:
     """First grid index where the last ``patience`` profits are equal
     (the reference's stop rule on a flat curve)."""

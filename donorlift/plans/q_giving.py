@@ -13,6 +13,7 @@ from donorlift.plans.oracle_views import REF_MONTH, month_idx, with_views
 from donorlift.plans.q_clean import sql_fix_date, sql_parse_yymm
 from donorlift.plans.registry import register
 from donorlift.sources import standin as si
+from donorlift.streaming import gifts as st
 
 REF = si.REF
 
@@ -227,19 +228,25 @@ FROM n LEFT JOIN stars s USING (member_id, i)"""),
 ]
 
 
-@register(
-    "rfa_history",
-    with_views(["gifts"], f"""
+_RFA_HISTORY_SQL = with_views(["gifts"], f"""
 SELECT member_id, i, recency, frequency, amount, recency || CAST(frequency AS VARCHAR) || amount AS rfa, star, months_since_last
 FROM (SELECT member_id, i, recency, star, CAST(last_back AS INTEGER) AS months_since_last, {_band_sql('last_amount')} AS amount,
         CAST(LEAST(GREATEST(CASE recency WHEN 'L' THEN n24 WHEN 'I' THEN n36 ELSE n12 END, 1), 4) AS INTEGER) AS frequency FROM r)""",
-        _RFA_HISTORY_CTES),
-    ids="E10 E11",
-)
+        _RFA_HISTORY_CTES)
+
+
+@register("rfa_history", _RFA_HISTORY_SQL, ids="E10 E11")
 def q_rfa_history(spark, sf_dir):
     return sg.rfa_history(si.gifts(_t(spark, sf_dir)), si.campaigns(spark), REF, si.SCALE)
 
 
+@register("stream_rfa_status", _RFA_HISTORY_SQL, ids="T3 E11")
+def q_stream_rfa_status(spark, sf_dir):
+    """The same status from the stream of orders, by timers at the dates."""
+    dates = [(r["i"], r["send_date"]) for r in si.campaigns(spark).collect()]  # 22 rows
+    return st.rfa_status_stream(spark, sf_dir, dates, REF, si.SCALE)
+
+
 @register(
     "star_donors",
     with_views(["gifts", "history"], """

@@ -63,6 +63,14 @@ def q_alpha_star(spark, sf_dir):
     return pr.alpha_star(curve(spark, sf_dir))
 
 
+@register("alpha_star_exact", with_views(["scored"], """
+SELECT b.c AS above, (SELECT min(c) FROM crit WHERE c > b.c) AS upto, (b.c + least((SELECT min(c) FROM crit WHERE c > b.c), 1.0::DOUBLE)) / 2 AS alpha, n_mailed, CAST(profit AS DOUBLE) AS profit
+FROM (SELECT c, CAST(SUM(COUNT(*)) OVER w AS BIGINT) AS n_mailed, SUM(SUM(CAST(target_d AS DECIMAL(18,2)) - CAST(10880.0 AS DECIMAL(18,2)))) OVER w AS profit
+  FROM crit WHERE c < 1 GROUP BY c WINDOW w AS (ORDER BY c) ORDER BY profit DESC, c LIMIT 1) b""", _CTES[:1]), ids="G5")
+def q_alpha_star_exact(spark, sf_dir):
+    return pr.exact_alpha_star(scored_with_crit(spark, sf_dir), "crit", "target_d", U)
+
+
 @register(
     "curve_flat_point",
     with_views(

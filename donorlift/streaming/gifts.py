@@ -199,3 +199,87 @@ def score_stream(spark: SparkSession, sf_dir: str, model: PipelineModel, feature
     scored = model.transform(members.join(features, key, "inner"))
     out = scored.select(key, vector_to_array("probability")[1].alias("p"))
     return _run_append(out, "score")
+
+
+# ---- T3 with E11: recency / frequency / amount status on a stream ------------------
+#: Columns of a status row after its key, as ``rfa_history`` gives them.
+STATUS = "i int, recency string, frequency int, amount string, rfa string, star boolean, months_since_last int"
+
+
+def rfa_changes(gifts: DataFrame, campaigns: list[tuple], ref, scale: float, key: str = "member_id", lateness: str = "31 days") -> DataFrame:
+    """E11 on a stream of gifts (key, gift_id, ts, amount): the status of a
+    member at the sending date of each campaign (i, date), from the gifts
+    before it.  A class ages without a new gift, so the status is not given
+    when a gift arrives but by an event-time timer at each date, once the
+    watermark has passed it.
+
+    State per member: for each day with gifts their number, the last one
+    and the card campaign that they answer -- at most as many entries as there
+    are days, however many gifts a member makes, and the same in whatever
+    order they arrive.  Gifts later than the watermark are dropped.  Dates
+    without an earlier gift give no row."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from donorlift.operators import segments as sg
+
+    edges = [e * scale for e in sg.RFA_AMOUNT_EDGES]
+    codes, every = list(sg.RFA_AMOUNT_CODES), sg.CARD_EVERY
+    ref_month = ref.year * 12 + ref.month - 1
+    first = dt.date(1970, 1, 1).toordinal()
+    # a date counts as passed a day later, in any time zone of the session
+    dates = sorted(((d.toordinal() + 1 - first) * 86_400_000, d.toordinal(), i, d.year * 12 + d.month - 1) for i, d in campaigns)
+
+    def status(held: list[tuple], day: int, i: int, month: int):
+        """The status row from the entries (day, month, number, last gift id,
+        its amount, card) before the date; an entry is one day's gifts."""
+        before = [e for e in held if e[0] < day]
+        if not before:
+            return None
+        back = lambda e: month - e[1]
+        n12, n24, n36 = (sum(e[2] for e in before if lo <= back(e) <= hi) for lo, hi in ((-10**9, 12), (13, 24), (25, 36)))
+        last = max(before, key=lambda e: (e[0], e[3]))
+        cards = {e[5] for e in before if e[5]}
+        star = any(c + every in cards and c + 2 * every in cards for c in cards)
+        oldest, newest, n = max(map(back, before)), min(map(back, before)), sum(e[2] for e in before)
+        recency = "S" if star else "F" if oldest <= 6 and n == 1 else "N" if oldest <= 12 else "A" if newest <= 12 else "L" if newest <= 24 else "I"
+        frequency = min(4, max(1, {"L": n24, "I": n36}.get(recency, n12)))
+        band = next((c for e, c in zip(edges, codes, strict=False) if last[4] < e), codes[-1])
+        return i, recency, frequency, band, f"{recency}{frequency}{band}", star, newest
+
+    def step(keys, frames, state):
+        held = {e[0]: e for e in zip(*state.get, strict=True)} if state.exists else {}
+        passed, done, rows = state.getCurrentWatermarkMs(), held.pop(-1)[1] if held else 0, []
+        if not state.exists:  # dates that the stream has left behind came before the member's first gift
+            while done < len(dates) and dates[done][0] <= passed:
+                done += 1
+        for pdf in frames if not state.hasTimedOut else ():
+            for gid, ts, amount in zip(pdf["gift_id"].tolist(), pdf["ts"].tolist(), pdf["amount"].tolist(), strict=True):
+                at, month = ts.date().toordinal(), ts.year * 12 + ts.month - 1
+                card = -(-(ref_month - month) // 3) + 2
+                _, _, n, *last, _ = held.get(at, (0, 0, 0, gid, amount, 0))
+                held[at] = (at, month, n + 1, *max((gid, amount), tuple(last)), card if card <= 24 and card % every == 0 else 0)
+        while done < len(dates) and dates[done][0] <= passed:
+            row = status(list(held.values()), *dates[done][1:])
+            if row:
+                rows.append((keys[0], *row))
+            done += 1
+        held[-1] = (-1, done, 0, 0, 0.0, 0)
+        state.update(tuple(list(c) for c in zip(*held.values(), strict=True)))
+        if done < len(dates):
+            state.setTimeoutTimestamp(dates[done][0])
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in STATUS.split(", ")]])
+
+    kind = gifts.schema[key].dataType.simpleString()
+    rows = gifts.select(key, "gift_id", "ts", "amount").withWatermark("ts", lateness)
+    kept = "day array<bigint>, month array<bigint>, n array<bigint>, gift_id array<bigint>, amount array<double>, card array<bigint>"
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {STATUS}", kept, "append", "EventTimeTimeout")
+
+
+def rfa_status_stream(spark: SparkSession, sf_dir: str, campaigns: list[tuple], ref, scale: float, files_per_trigger: int | None = None) -> DataFrame:
+    """The status at every campaign date from the stream of orders."""
+    orders = table_stream(spark, sf_dir, "orders", files_per_trigger)
+    gifts = orders.select(F.col("o_custkey").alias("member_id"), F.col("o_orderkey").alias("gift_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("amount"))
+    return _run_append(rfa_changes(gifts, campaigns, ref, scale), "rfa-status")

@@ -53,3 +53,20 @@ def test_mailing_summary_edge_cases(spark):
     assert (loss["k"], loss["n_mailed"], loss["profit"], loss["predicted_profit"]) == (0, 0, 0.0, 0.0)
     none = pr.mailing_summary(spark.createDataFrame([(0.1, 0.0, 20.0)], schema), "crit", "amount", "pred", 10.0, None, 11).first()
     assert none["pct_of_max"] is None
+
+
+def test_exact_alpha_is_best_of_all(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([round(rnd.random() * 1.3, 2), rnd.random(), None]), rnd.choice([0.0, 0.0, 0.0, round(rnd.uniform(1, 9), 2)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, c double, amt double").repartition(3)
+    net = lambda a: sum(round(x - 0.68, 2) for _, c, x in rows if c is not None and a > c)
+    got = pr.exact_alpha_star(df, "c", "amt", 0.68).first()
+    values = sorted({c for _, c, _ in rows if c is not None and c < 1})
+    best = max(net(c + 1e-12) for c in values)
+    assert abs(got.profit - best) < 1e-6 and abs(net(got.alpha) - best) < 1e-6 and got.above < got.alpha <= min(1.0, got.upto)
+    assert got.above == min(c for c in values if abs(net(c + 1e-12) - best) < 1e-6)
+    assert got.n_mailed == sum(c is not None and got.alpha > c for _, c, _ in rows)
+    assert got.profit >= pr.alpha_star(pr.profit_curve(df, "c", "amt", 0.68, 5000)).first().profit
+    nobody = pr.exact_alpha_star(df, "c", "amt", 100.0).first()
+    assert (nobody.alpha, nobody.n_mailed, nobody.profit, nobody.above) == (0.0, 0, 0.0, None)
+    assert pr.exact_alpha_star(df.where("k < 0"), "c", "amt", 0.68).first().profit == 0

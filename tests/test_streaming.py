@@ -75,3 +75,27 @@ def test_running_rfa_keeps_the_latest_state(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(st, "table_stream", lambda s, d, t: every(s, d, t, 1))
     got = {r["user_id"]: (r["frequency"], r["amount"]) for r in st.running_rfa(spark, str(tmp_path)).collect()}
     assert got == {7: (2, 15.0), 8: (1, 1.0)}
+
+
+def test_status_on_a_stream_of_many_batches_equals_the_history(spark, tmp_path):
+    """Classes age by timers: one file or many, some of them out of order, give
+    the status of every campaign date."""
+    from pyspark.sql import functions as F
+
+    from donorlift.operators import segments as sg
+    from donorlift.sources import standin as si
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    quarter = F.year("o_orderdate") * 4 + F.quarter("o_orderdate")
+    low, high = orders.agg(F.min(quarter), F.max(quarter)).first()
+    cuts = [low + (high - low) * k // 5 for k in range(6)]
+    for k in range(5):
+        part = orders.where((quarter >= cuts[k]) & ((quarter < cuts[k + 1]) | (F.lit(k) == 4)))
+        part.orderBy(F.desc("o_orderdate")).coalesce(1).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+        time.sleep(1.1)
+    dates = [(r["i"], r["send_date"]) for r in si.campaigns(spark).collect()]
+    want = sg.rfa_history(si.gifts(si.Tables(spark, sf)), si.campaigns(spark), si.REF, si.SCALE)
+    for folder, files in ((sf, None), (str(tmp_path), 1)):
+        got = st.rfa_status_stream(spark, folder, dates, si.REF, si.SCALE, files).select(want.columns)
+        assert got.count() > 100 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
