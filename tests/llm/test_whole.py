@@ -86,3 +86,24 @@ def test_words_that_a_polynomial_hash_takes_as_equal(spark):
     bench = docs.select((docs.doc_id + 100).alias("item_id"), "text").where("doc_id % 2 = 1")
     found = decontam.contamination(docs, bench).collect()
     assert {r.doc_id: r.n_hit for r in found} == {i: i % 2 for i in range(len(texts))}
+
+
+# -- 8 ------------------------------------------------------------------------
+def test_long_words_equal_the_library_in_time():
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    from donorlift.llm import bpe
+
+    own, mine = Tokenizer.from_file(bpe.default_vocabulary()), bpe.WordBPE(bpe.default_vocabulary())
+    own.no_truncation()
+    rnd = random.Random(4)
+    words = ["a" * 5_000, "ab" * 3_001 + "b", "the" * 1_000, "\u00e9t\u00e9" * 500, "=" * 3_000, "x" * 41]
+    words += ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(30, 3_000))) for _ in range(60)]
+    words.append("".join(rnd.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(1_000_000)))
+    t = time.time()
+    got = [e.tolist() for e in mine.encode(words)]
+    assert time.time() - t < 30
+    assert got == [own.encode(w, add_special_tokens=False).ids for w in words]
