@@ -2,7 +2,7 @@
 
 Words are lower-cased runs of letters, digits and bytes beyond ASCII.  A word's
 weight is the sum of the weights of its hashed features: the word itself, its
-beginnings and its inner byte 4-grams.  A text is cut into windows of words, a
+beginnings and its inner byte 4-grams.  A text has windows that overlap by half, a
 window's logit is the bias plus the weights of its words, and a text's logit
 that of its highest window, so that a few words decide in texts of any length.
 
@@ -111,15 +111,17 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return c[bounds[1:]] - c[bounds[:-1]]
 
 
-def windows(words_before: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of all windows of all texts (m + 1 values) and the number of
-    windows before each text; a text has at least one, maybe empty, window."""
-    lens = np.diff(words_before)
-    count = np.maximum(1, -(-lens // size))
+def windows(words_before: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last (exclusive) word of all windows of all texts, and the
+    number of windows before each text.  Windows overlap by half, so any passage
+    of up to half a window lies whole in one of them wherever it stands; a text
+    has at least one, maybe empty, window."""
+    lens, stride = np.diff(words_before), size // 2
+    count = np.maximum(1, -(-(lens - size) // stride) + 1)
     ahead = np.concatenate([[0], np.cumsum(count)])
     k = np.arange(ahead[-1]) - np.repeat(ahead[:-1], count)
-    begin = np.repeat(words_before[:-1], count) + k * size
-    return np.append(begin, words_before[-1]), ahead
+    begin = np.repeat(words_before[:-1], count) + k * stride
+    return begin, np.minimum(begin + size, np.repeat(words_before[1:], count)), ahead
 
 
 @dataclass
@@ -137,8 +139,9 @@ class Toxicity:
         first, last, before = word_bounds(buf, offs, KEEP)
         feats, bounds = word_features(buf, first, last)
         word = sums(self.weights[feats], bounds)
-        begin, ahead = windows(before)
-        logit = self.bias + np.maximum.reduceat(sums(word, begin), ahead[:-1])
+        begin, end, ahead = windows(before)
+        upto = np.concatenate([[0.0], np.cumsum(word, dtype=np.float64)])
+        logit = self.bias + np.maximum.reduceat(upto[end] - upto[begin], ahead[:-1])
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
     def scores(self, arr: pa.Array) -> np.ndarray:
@@ -190,11 +193,11 @@ def learned_windows(texts: DataFrame, used: np.ndarray) -> DataFrame:
                 feats = number[feats]
                 on = feats >= 0
                 bounds = np.concatenate([[0], np.cumsum(on)])[bounds]
-                begin, ahead = windows(before)
-                feats, edges = feats[on], bounds[begin].tolist()
+                begin, end, ahead = windows(before)
+                feats, begin, end = feats[on], bounds[begin].tolist(), bounds[end].tolist()
                 sizes, held = [], []
                 for a, z in zip(ahead[:-1].tolist(), ahead[1:].tolist(), strict=True):
-                    kinds = dict.fromkeys(np.sort(feats[edges[k] : edges[k + 1]]).tobytes() if edges[k] < edges[k + 1] else b"" for k in range(a, z))
+                    kinds = dict.fromkeys(np.sort(feats[begin[k] : end[k]]).tobytes() if begin[k] < end[k] else b"" for k in range(a, z))
                     sizes.append([len(k) // 4 for k in kinds])
                     held.append(np.frombuffer(b"".join(kinds), np.int32))
                 yield batch(schema, b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), sizes, held)

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from donorlift.llm import bpe, decontam, langid, licences, ngram_join, packing, toxicity
@@ -175,8 +176,21 @@ def test_toxicity_without_examples(spark, edge_dir):
 
 
 def test_windows_cover_texts():
-    begin, ahead = toxicity.windows(np.array([0, 0, 5, 100]), 40)
-    assert begin.tolist() == [0, 0, 5, 45, 85, 100] and ahead.tolist() == [0, 1, 2, 5]
+    begin, end, ahead = toxicity.windows(np.array([0, 0, 5, 100]), 40)
+    assert begin.tolist() == [0, 0, 5, 25, 45, 65] and end.tolist() == [0, 5, 45, 65, 85, 100] and ahead.tolist() == [0, 1, 2, 6]
+
+
+def test_a_passage_scores_alike_at_every_position():
+    """Half a window of words that are weak alone, among words without weight."""
+    passage = " ".join(f"weak{chr(97 + k)}{chr(97 + k)}" for k in range(toxicity.WINDOW // 2))
+    plain = toxicity.Toxicity(np.zeros(toxicity.DIMENSIONS, np.float32), -6.0, 0.1)
+    buf = np.frombuffer(passage.encode(), np.uint8)
+    feats, _ = toxicity.word_features(buf, *toxicity.word_bounds(buf, np.array([0, len(buf)]), toxicity.KEEP)[:2])
+    plain.weights[np.unique(feats)] = 0.05
+    texts = ["zu " * k + passage + " zu" * (90 - k) for k in range(91)]
+    scores = plain.scores(pa.array(texts))
+    alone = plain.scores(pa.array([passage, "zu " * 50]))
+    assert np.allclose(scores, alone[0], atol=1e-6) and alone[0] > 5 * alone[1]
 
 
 # -- 8 ------------------------------------------------------------------------
