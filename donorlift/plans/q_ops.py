@@ -16,6 +16,7 @@ from donorlift.functions import codes as fx
 from donorlift.operators import sampling as sm
 from donorlift.operators import segments as sg
 from donorlift.operators import transformers as tr
+from donorlift.operators.steps import Chain, Step
 from donorlift.plans.oracle_views import REF_MONTH, month_idx, with_views
 from donorlift.plans.q_clean import sql_fix_date, sql_parse_yymm
 from donorlift.plans.registry import register
@@ -96,29 +97,24 @@ def q_stage_chain(spark, sf_dir):
     validation split; each stage's table is provided from the one before."""
     t = _t(spark, sf_dir)
     split = sm.stratified_split(si.targets(t).select("member_id", "target_b"), "member_id", "target_b")
-    steps = {
-        "cleaned": [*clean_stages(si.REF.year), tr.DropColumnsModel(["zip", "odate"])],
-        "numeric": [tr.ToNumber(["rfaF", "domainSocioEconomic"]), tr.NominalEncoder(["domainUrbanicity"]), tr.NominalEncoder(["rfaR"], maxLevels=3)],
-        "imputed": [tr.MedianImputer(_CHAIN_NUMBERS)],
-        "selected": [tr.KeepColumns(["member_id", *_CHAIN_NUMBERS, *[f"domainUrbanicity_{v}" for v in "CRSTU"], *[f"rfaR_{k}" for k in range(3)]])],
-    }
-    names = ["raw", *steps]
 
     def rows(part):
         return si.raw_members(t).join(split.where(F.col("split") == part).select("member_id"), "member_id", "left_semi")
 
-    def fitted(name, prev):
-        model = Pipeline(stages=steps[name]).fit(prev)
-        path = _scratch(spark, f"chain-{name}")
-        model.write().overwrite().save(path)
-        models[name] = PipelineModel.load(path)
-        return models[name].transform(prev)
-
-    models: dict = {}
-    learn = {"raw": lambda _: rows("train"), **{n: (lambda prev, n=n: fitted(n, prev)) for n in steps}}
-    fl.StageStore(spark, _scratch(spark, "learning")).provide("selected", names, learn)
-    apply = {"raw": lambda _: rows("test"), **{n: (lambda prev, n=n: models[n].transform(prev)) for n in steps}}
-    return fl.StageStore(spark, _scratch(spark, "validation")).provide("selected", names, apply)
+    chain = Chain(spark, _scratch(spark, "chain"), chain_steps())
+    chain.learn(lambda: rows("train"))
+    return chain.apply(lambda: rows("test"), "validation")
+
+
+def chain_steps() -> list[Step]:
+    """The steps from raw to selected members."""
+    kept = [*_CHAIN_NUMBERS, *[f"domainUrbanicity_{v}" for v in "CRSTU"], *[f"rfaR_{k}" for k in range(3)]]
+    return [
+        Step("cleaned", clean_stages(si.REF.year), drop=["zip", "odate"]),
+        Step("numeric", [tr.ToNumber(["rfaF", "domainSocioEconomic"]), tr.NominalEncoder(["domainUrbanicity"]), tr.NominalEncoder(["rfaR"], maxLevels=3)]),
+        Step("imputed", [tr.MedianImputer(_CHAIN_NUMBERS)], before=lambda df: df.where(F.col("member_id").isNotNull()), types=dict.fromkeys(_CHAIN_NUMBERS, "double")),
+        Step("selected", [tr.KeepColumns(["member_id", *kept])], after=lambda df: df.select("member_id", *[c for c in df.columns if c != "member_id"])),
+    ]
 
 
 @register("stage_store", CLEANED_SQL, ids="S4 S5 S6")
