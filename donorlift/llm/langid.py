@@ -5,20 +5,25 @@ A text is read as lower-cased letters with one blank between runs of letters
 and three before the first one, so every letter or blank ends a 4-gram.  A
 4-gram of 16-bit symbols is exactly one 64-bit key.  Keys are counted per
 language over every training text (partial counts in the tasks, sums by
-shuffle); lower orders count distinct left neighbours, as Kneser-Ney does.
-
-The fitted models of all languages share sorted key arrays, one per order, with
-a column of log-probabilities per language, and arrays of back-off weights by
-context.  Scoring looks up all 4-grams of a block by binary search, and those
-not found again one order lower.  The language of least cross-entropy per
-symbol wins; ties go to the first name.  A text is *rejected* if it is null or
-has no letter, or if its cross-entropy is above the limit calibrated for its
-language: the highest of all its texts in the training fold, each scored whole,
-plus a margin (of all languages' texts, where it has under 30).
-
-Every counted 4-gram of every language is in the model, which has no bound:
-it is fitted on the driver and broadcast, and a corpus of more distinct 4-grams
-than these hold ends with an error, not with a smaller model.
+shuffle) into a table in the shared folder; lower orders count distinct left
+neighbours, as Kneser-Ney does.
+
+A model is sorted key arrays per language and order, with log-probabilities,
+and back-off weights by context.  Scoring looks up the distinct 4-grams of a
+block by binary search, and those not found one order lower.  The language of
+least cross-entropy per symbol wins; ties go to the first name.
+
+Every counted 4-gram of every language is in the model.  Up to ``PART_GRAMS`` of
+them are one broadcast.  More are cut by (language, last but one symbol), which
+a 4-gram shares with all it backs off to; the driver and the tasks hold one part
+at a time, the texts are read once a part, and the parts' sums meet by the digest
+of the text.  Sums are of whole numbers, so both ways give the same rows.
+
+A text is *rejected* if it is null or has no letter, or if its cross-entropy is
+above the limit calibrated for its language: the ``LIMIT_QUANTILE`` of that of all
+its training texts, each scored whole by a model that leaves its half of the
+texts out, plus a margin (languages of under ``FEW_TEXTS`` texts: the widest limit,
+and at least the highest of their own).
 
 Defined results: null text or no letter gives ``und`` with score 0 and is
 rejected; without any training text every text gives ``und``; texts of any
@@ -33,15 +38,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlift.llm.common import batch, held_out, keep_rows, row_blocks, share, table, text_buffer, tidy, train_fold
+from donorlift.llm.common import batch, held_out, keep_rows, materialise, row_blocks, share, table, text_buffer, tidy, train_fold
 from donorlift.llm.queries import query
 
 ORDER = 4
-#: Added to the highest cross-entropy of a training text, in nats per symbol.
-REJECT_MARGIN = 1.0
+#: Log-probabilities are whole multiples of 1 / SCALE nats.
+SCALE = 1 << 20
+#: The model of all training texts; 0 and 1 leave out that fold.
+FULL = 2
+#: 4-grams of a model that are on the driver, and in a task, at once.
+PART_GRAMS = 2_000_000
+#: 4-grams that a counting task holds before it gives them out.
+HELD_GRAMS = 4_000_000
+#: Share of a language's training texts within its limit, and what is added to
+#: it, in nats per symbol.
+LIMIT_QUANTILE, REJECT_MARGIN = 0.999, 1.0
+#: Cross-entropies are counted in bins of 1 / BINS nats.
+BINS = 32
+#: Languages of fewer training texts have no quantile of their own.
+FEW_TEXTS = 30
 #: Sharpness of scores: the one of greatest likelihood is taken.
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 UND = "und"
@@ -110,34 +129,31 @@ def keys_of(sym: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Models:
-    """Fitted models of all languages; index k of a list is order k + 1."""
+class Table:
+    """Sorted key arrays of one language, or of its 4-grams with certain last
+    but one symbols; index k of a list is order k + 1.  Log-probabilities are
+    whole multiples of 1 / SCALE, so sums do not depend on their order."""
 
-    langs: list[str]
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    unseen: np.ndarray
-    alphabet: Alphabet
-    limits: np.ndarray | None = None
-    sharpness: float = 1.0
+    unseen: int
 
-    def log_probs(self, key: np.ndarray) -> np.ndarray:
-        """Log-probability of the last symbol of each 4-gram, per language."""
-        return self._lookup(key, ORDER)
-
-    def _lookup(self, key: np.ndarray, order: int) -> np.ndarray:
+    def log_probs(self, key: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Of the last symbol of each n-gram; one not found goes one order lower."""
         if order == 0:
-            return np.broadcast_to(self.unseen, (len(key), len(self.langs)))
+            return np.full(len(key), self.unseen, np.int64)
         keys = self.keys[order - 1]
+        if not len(keys):
+            return self.log_probs(key & _low(order - 1), order - 1)
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         out = self.logp[order - 1][at]
         miss = np.flatnonzero(keys[at] != key)
         if len(miss):
             lost = key[miss]
-            low = self._lookup(lost & np.uint64((1 << 16 * (order - 1)) - 1), order - 1).copy()
-            ctx, known = lost >> np.uint64(16), self.contexts[order - 1]
+            low = self.log_probs(lost & _low(order - 1), order - 1)
+            known, ctx = self.contexts[order - 1], lost >> np.uint64(16)
             if len(known):
                 c = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
                 hit = known[c] == ctx
@@ -145,15 +161,73 @@ class Models:
             out[miss] = low
         return out
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol of every text and language, and whether a
-        text has a letter."""
+
+def _low(symbols: int) -> np.uint64:
+    """Mask of the last ``symbols`` symbols of a key."""
+    return np.uint64((1 << 16 * symbols) - 1)
+
+
+def _fixed(p: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(np.maximum(p, 1e-300)) * SCALE).astype(np.int64)
+
+
+def lower_orders(k: np.ndarray, c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of orders 1 to 4: lower ones count distinct left neighbours."""
+    orders = [(k, c)]
+    for o in range(ORDER - 1, 0, -1):
+        kk, cc = np.unique(orders[0][0] & _low(o), return_counts=True)
+        orders.insert(0, (kk, cc))
+    return orders
+
+
+def discount(n1: float, n2: float) -> float:
+    """Kneser-Ney's estimate n1 / (n1 + 2 n2)."""
+    return min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+
+
+def fit_table(k: np.ndarray, c: np.ndarray, unigrams: tuple[np.ndarray, np.ndarray], discounts: list[float], vocab: int) -> Table:
+    """Interpolated Kneser-Ney from the 4-grams of one language (or from those
+    that share last but one symbols), the language's unigrams and discounts.
+    A 4-gram, its suffixes and all contexts they back off to have one last but
+    one symbol, so a part holds whatever its 4-grams need."""
+    orders = [unigrams, *lower_orders(k, c)[1:]]
+    logp, contexts, backoff, lower = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+    for o, (keys, n) in enumerate(orders):
+        d = discounts[o]
+        if o == 0:
+            total = max(n.sum(), 1)
+            base = d * len(keys) / total / vocab if len(keys) else 1 / vocab
+            p = np.maximum(n - d, 0) / total + base
+        else:
+            known, ctx = np.unique(keys >> np.uint64(16), return_inverse=True)
+            total = np.bincount(ctx, n, len(known))
+            gamma = d * np.bincount(ctx, minlength=len(known)) / np.maximum(total, 1)
+            p = np.maximum(n - d, 0) / total[ctx] + gamma[ctx] * lower[np.searchsorted(orders[o - 1][0], keys & _low(o))]
+            contexts.append(known)
+            backoff.append(_fixed(gamma))
+        logp.append(_fixed(p))
+        lower = p
+    return Table([k for k, _ in orders], logp, contexts, backoff, int(_fixed(np.array([base]))[0]))
+
+
+@dataclass
+class Part:
+    """Tables of some languages, by their number; ``symbols`` holds the last
+    but one symbols that a table answers for (None: all)."""
+
+    alphabet: Alphabet
+    n_langs: int
+    tables: list[tuple[int, np.ndarray | None, Table]]
+
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: the scaled log-probability of every language, the number
+        of symbols, and whether it has a letter."""
         n = len(texts)
         sym, offs = self.alphabet.symbols(texts)
         key, ends = keys_of(sym, offs)
         lens = np.diff(ends)
         letters = np.zeros(n, bool)
-        total = np.zeros((n, len(self.langs)))
+        total = np.zeros((n, self.n_langs), np.int64)
         full = np.flatnonzero(lens > 0)
         if len(full):
             letters[full] = np.logical_or.reduceat((key & np.uint64(0xFFFF)) != BLANK, ends[full])
@@ -161,14 +235,171 @@ class Models:
                 hi = min(lo + (1 << 18), len(key))
                 some = np.flatnonzero((ends[1:] > lo) & (ends[:-1] < hi) & (lens > 0))
                 total[some] += np.add.reduceat(self.log_probs(key[lo:hi]), np.maximum(ends[some], lo) - lo, 0)
-        return -total / np.maximum(lens, 1)[:, None], letters
+        return total, lens, letters
+
+    def log_probs(self, key: np.ndarray) -> np.ndarray:
+        """Scaled log-probabilities, a column per language; 0 outside the part."""
+        kinds, place = np.unique(key, return_inverse=True)
+        out = np.zeros((len(kinds), self.n_langs), np.int64)
+        for j, symbols, t in self.tables:
+            if symbols is None:
+                out[:, j] = t.log_probs(kinds)
+            else:
+                mine = np.isin((kinds >> np.uint64(16)) & np.uint64(0xFFFF), symbols)
+                out[mine, j] = t.log_probs(kinds[mine])
+        return out[place]
+
+
+def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: Alphabet) -> Part:
+    """Models of all languages, in the order of their names, from 4-gram
+    counts that fit one task; the SQL of ``statistics`` gives the same."""
+    orders = {lang: lower_orders(k, c) for lang, (k, c) in counts.items()}
+    vocab = len(np.unique(np.concatenate([np.zeros(0, np.uint64), *[o[0][0] for o in orders.values()]]))) + 1
+    tables = []
+    for j, lang in enumerate(sorted(counts)):
+        ds = [discount((c == 1).sum(), (c == 2).sum()) for _, c in orders[lang]]
+        tables.append((j, None, fit_table(*counts[lang], orders[lang][0], ds, vocab)))
+    return Part(alphabet, len(counts), tables)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+
+def ngram_counts(train: DataFrame, alphabet) -> DataFrame:
+    """(model, lang, key, n): 4-gram counts over every training text, for the
+    model of all texts (2) and those that leave out fold 0 or 1 of the texts."""
+
+    schema = pa.schema([("fold", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def count(it):
+        alpha = alphabet()
+        held: dict[tuple, list] = {}
+
+        def fold(group):
+            keys = np.concatenate([k for k, _ in held[group]])
+            ns = np.concatenate([c for _, c in held[group]])
+            u, inv = np.unique(keys, return_inverse=True)
+            held[group] = [(u, np.bincount(inv, ns, len(u)).astype(np.int64))]
+
+        def rows():
+            for group in sorted(held):
+                fold(group)
+                u, c = held[group][0]
+                for at in range(0, len(u), 50_000):
+                    part = u[at : at + 50_000].view(np.int64)
+                    yield batch(schema, [group[0]] * len(part), [group[1]] * len(part), part, c[at : at + 50_000])
+            held.clear()
+
+        for b in it:
+            _, all_offs = text_buffer(b.column(0))
+            for lo, hi in row_blocks(all_offs):
+                groups = list(zip(b.column(2).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).to_pylist(), strict=True))
+                texts = b.column(0).slice(lo, hi - lo).to_pylist()
+                for group in sorted(set(groups)):
+                    key, _ = keys_of(*alpha.symbols([t for t, g in zip(texts, groups, strict=True) if g == group]))
+                    held.setdefault(group, []).append(np.unique(key, return_counts=True))
+                    if len(held[group]) > 8:
+                        fold(group)
+            if sum(len(k) for parts in held.values() for k, _ in parts) > HELD_GRAMS:
+                yield from rows()
+        yield from rows()
+
+    partial = train.select("text", "lang", text_fold().alias("fold")).mapInArrow(tidy(count), "fold int, lang string, key long, n long")
+    models = F.explode(F.array(F.lit(2), 1 - F.col("fold"))).alias("model")
+    return partial.select(models, "lang", "key", "n").groupBy("model", "lang", "key").agg(F.sum("n").alias("n"))
+
+
+def text_fold():
+    """0 or 1; equal texts are in one fold."""
+    return F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+
+
+def statistics(grams: DataFrame) -> list:
+    """What reaches the driver of the counts, at most about 65,536 rows of each
+    kind per language: 4-grams by last but one symbol (kind 0), unigrams (1),
+    and the numbers of n-grams with counts 1 and 2 by order (10 + order)."""
+    orders = {ORDER: grams}
+    for o in range(ORDER - 1, 0, -1):
+        low = F.col("key").bitwiseAND(F.lit((1 << 16 * o) - 1))
+        orders[o] = orders[o + 1].groupBy("model", "lang", low.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    symbol = F.shiftrightunsigned("key", 16).bitwiseAND(F.lit(0xFFFF))
+    out = grams.groupBy("model", "lang", symbol.alias("symbol")).agg(F.count(F.lit(1)).alias("n")).select("model", "lang", F.lit(0).alias("kind"), "symbol", "n")
+    out = out.union(orders[1].select("model", "lang", F.lit(1), "key", "n"))
+    for o, df in orders.items():
+        out = out.union(df.where("n <= 2").groupBy("model", "lang", "n").agg(F.count(F.lit(1)).alias("m")).select("model", "lang", F.lit(10 + o), "n", "m"))
+    return out.collect()
+
+
+class Models:
+    """Counted models: the 4-grams stay in a table in the shared folder, and a
+    model is loaded in parts of at most ``part_grams`` 4-grams, or of those of
+    one language with one last but one symbol."""
+
+    def __init__(self, grams: DataFrame | None, alphabet: Alphabet, part_grams: int):
+        self.grams, self.alphabet = grams, alphabet
+        self.limits: np.ndarray | None = None
+        self.sharpness = 1.0
+        self.kinds: dict[tuple, dict[int, int]] = {}
+        for r in statistics(grams) if grams is not None else []:
+            self.kinds.setdefault((r.model, r.lang, r.kind), {})[r.symbol] = r.n
+        self.langs = sorted({lang for _, lang, _ in self.kinds})
+        self.parts = {m: self._parts(m, part_grams) for m in (0, 1, FULL)}
+
+    def _parts(self, model: int, part_grams: int) -> list[list[tuple[str, int]]]:
+        """(language, symbol) cells of each part."""
+        parts, held = [[]], 0
+        for lang in self.langs:
+            for symbol, n in sorted(self.kinds.get((model, lang, 0), {}).items()):
+                if held and held + n > part_grams:
+                    parts.append([])
+                    held = 0
+                parts[-1].append((lang, symbol))
+                held += n
+        return parts
+
+    def load(self, model: int, at: int) -> Part:
+        """Part number ``at`` of a model."""
+        cells, whole = self.parts[model][at], len(self.parts[model]) == 1
+        grams = self.grams.where(F.col("model") == model)
+        if not whole:
+            spark = self.grams.sparkSession
+            mine = spark.createDataFrame(cells, "_lang string, _symbol long")
+            symbol = F.shiftrightunsigned("key", 16).bitwiseAND(F.lit(0xFFFF))
+            # at most 65,536 cells a language
+            grams = grams.join(F.broadcast(mine), (F.col("lang") == F.col("_lang")) & (symbol == F.col("_symbol")), "left_semi")
+        got = grams.select("lang", "key", "n").toArrow()
+        lang = np.array(got.column("lang").to_pylist(), object)
+        key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        # symbols that any language has, and one that none has
+        vocab = len({s for name in self.langs for s in self.kinds.get((model, name, 1), {})}) + 1
+        tables = []
+        for j, name in enumerate(self.langs):
+            symbols = None if whole else np.array([s for x, s in cells if x == name], np.uint64)
+            if not whole:
+                # cells that no part has score by unigrams, in the first part
+                counted = self.kinds.get((model, name, 0), {})
+                if at == 0:
+                    symbols = np.union1d(symbols, np.setdiff1d(np.arange(1 << 16, dtype=np.uint64), np.array(sorted(counted), np.uint64)))
+                if not len(symbols):
+                    continue
+            k, c = key[lang == name], n[lang == name]
+            order = np.argsort(k)
+            uni = sorted(self.kinds.get((model, name, 1), {}).items())
+            unigrams = np.array([s for s, _ in uni], np.uint64), np.array([c for _, c in uni], np.int64)
+            ds = []
+            for o in range(1, ORDER + 1):
+                of = self.kinds.get((model, name, 10 + o), {})
+                ds.append(discount(of.get(1, 0), of.get(2, 0)))
+            tables.append((j, symbols, fit_table(k[order], c[order], unigrams, ds, vocab)))
+        return Part(self.alphabet, len(self.langs), tables)
+
+    def entropies(self, sums: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Cross-entropy per symbol in nats, a column per language."""
+        return -sums / SCALE / np.maximum(lens, 1)[:, None]
+
+    def predict(self, sums: np.ndarray, lens: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of every text."""
-        n = len(texts)
+        n = len(lens)
         if not self.langs or not n:
             return [UND] * n, np.zeros(n), np.ones(n, bool)
-        ent, letters = self.entropies([t or "" for t in texts])
+        ent = self.entropies(sums, lens)
         best = ent.argmin(1)
         gap = ent - ent[np.arange(n), best][:, None]
         score = 1 / np.exp(-self.sharpness * gap).sum(1)
@@ -177,163 +408,139 @@ class Models:
             rejected |= ent[np.arange(n), best] > self.limits[best]
         return [self.langs[b] if ok else UND for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0), rejected
 
+    def decider(self) -> Models:
+        """A copy without tables, to be sent to tasks."""
+        out = object.__new__(Models)
+        out.langs, out.limits, out.sharpness = self.langs, self.limits, self.sharpness
+        return out
 
-def ngram_counts(train: DataFrame, alphabet) -> DataFrame:
-    """(lang, key, n): 4-gram counts over every training text."""
-
-    schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def count(it):
-        alpha = alphabet()
-        held: dict[str, list] = {}
+def scored_by(part: Part, arr: pa.Array):
+    """(from, to, sums, symbols, letters) of blocks of a text column."""
+    _, offs = text_buffer(arr)
+    for lo, hi in row_blocks(offs):
+        yield lo, hi, *part.sums([t or "" for t in arr.slice(lo, hi - lo).to_pylist()])
 
-        def fold(lang):
-            keys = np.concatenate([k for k, _ in held[lang]])
-            ns = np.concatenate([c for _, c in held[lang]])
-            u, inv = np.unique(keys, return_inverse=True)
-            held[lang] = [(u, np.bincount(inv, ns, len(u)).astype(np.int64))]
 
-        for b in it:
-            _, all_offs = text_buffer(b.column(0))
-            for lo, hi in row_blocks(all_offs):
-                langs = np.array(b.column(1).slice(lo, hi - lo).to_pylist(), object)
-                texts = np.array(b.column(0).slice(lo, hi - lo).to_pylist(), object)
-                for lang in sorted(set(langs)):
-                    key, _ = keys_of(*alpha.symbols(list(texts[langs == lang])))
-                    held.setdefault(lang, []).append(np.unique(key, return_counts=True))
-                    if len(held[lang]) > 8:
-                        fold(lang)
-        for lang in sorted(held):
-            fold(lang)
-            u, c = held[lang][0]
-            for at in range(0, len(u), 50_000):
-                part = u[at : at + 50_000].view(np.int64)
-                yield batch(schema, [lang] * len(part), part, c[at : at + 50_000])
-
-    partial = train.select("text", "lang").mapInArrow(tidy(count), "lang string, key long, n long")
-    return partial.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-
-def collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language all its keys, in order, and their counts."""
-    got = counts.select("lang", "key", "n").toArrow()
-    names = got.column("lang").combine_chunks().dictionary_encode()
-    if isinstance(names, pa.ChunkedArray):
-        names = names.combine_chunks()
-    lang, names = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
-    key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    out = {}
-    for at in sorted(range(len(names)), key=names.__getitem__):
-        k, c = key[lang == at], n[lang == at]
-        order = np.argsort(k)
-        out[names[at]] = (k[order], c[order].astype(np.float64))
-    return out
+def text_sums(texts: DataFrame, models: Models, model: int) -> DataFrame:
+    """(digest, sums, lens, letters) of every distinct text, for a model of
+    several parts: the texts are read once a part, one part is held at a time,
+    and the parts' sums meet by the SHA-256 of the text."""
+    schema = pa.schema([("digest", pa.string()), ("sums", pa.list_(pa.int64())), ("lens", pa.int64()), ("letters", pa.bool_())])
+    ddl = "digest string, sums array<long>, lens long, letters boolean"
+    done = None
+    for at in range(len(models.parts[model])):
+        shared = share(texts.sparkSession, models.load(model, at))
 
+        def run(it, shared=shared):
+            part = shared()
+            for b in it:
+                for lo, hi, sums, lens, letters in scored_by(part, b.column(1)):
+                    yield batch(schema, b.column(0).slice(lo, hi - lo), list(sums), lens, letters)
 
-def _discount(c: np.ndarray) -> float:
-    """Kneser-Ney's estimate n1 / (n1 + 2 n2)."""
-    n1, n2 = float((c == 1).sum()), float((c == 2).sum())
-    return min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+        rows = texts.where("text IS NOT NULL").select(F.sha2("text", 256).alias("digest"), "text").mapInArrow(tidy(run), ddl)
+        rows = rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("sums", "lens", "letters")])
+        rows = materialise(rows, "language-sums")
+        done = rows if done is None else done.union(rows)
+    total = F.array(*[F.sum(F.col("sums")[j]) for j in range(len(models.langs))])
+    return done.groupBy("digest").agg(total.alias("sums"), F.first("lens").alias("lens"), F.first("letters").alias("letters"))
 
 
-def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: Alphabet) -> Models:
-    """Interpolated Kneser-Ney models from 4-gram counts."""
-    langs = sorted(counts)
-    u16 = np.uint64(16)
-    per_lang = []  # per language and order: keys, counts
-    for lang in langs:
-        k, c = counts[lang]
-        orders = [None] * ORDER
-        orders[ORDER - 1] = (k, c)
-        for o in range(ORDER - 1, 0, -1):  # distinct left neighbours
-            low = np.sort(orders[o][0] & np.uint64((1 << 16 * o) - 1))
-            kk, cc = np.unique(low, return_counts=True)
-            orders[o - 1] = (kk, cc.astype(np.float64))
-        per_lang.append(orders)
-    union = [np.unique(np.concatenate([p[o][0] for p in per_lang])) if langs else np.zeros(0, np.uint64) for o in range(ORDER)]
-    contexts = [np.unique(union[o] >> u16) if o else np.zeros(0, np.uint64) for o in range(ORDER)]
-    vocab = max(1, len(union[0]) + 1)
-    unseen_p = np.zeros(len(langs))
-    logp, backoff, lower_p = [], [], None
-    for o in range(ORDER):
-        p = np.zeros((len(union[o]), len(langs)))
-        bo = np.zeros((len(contexts[o]), len(langs)))
-        ctx_of = np.searchsorted(contexts[o], union[o] >> u16) if o else np.zeros(len(union[o]), np.int64)
-        for j, orders in enumerate(per_lang):
-            k, c = orders[o]
-            d = _discount(c)
-            at = np.searchsorted(union[o], k)
-            if o == 0:
-                total = max(c.sum(), 1.0)
-                gamma = d * len(k) / total if len(k) else 1.0
-                p[:, j] = gamma / vocab
-                p[at, j] += np.maximum(c - d, 0) / total
-                unseen_p[j] = gamma / vocab
-                continue
-            ctx = ctx_of[at]
-            total = np.bincount(ctx, c, len(contexts[o]))
-            kinds = np.bincount(ctx, minlength=len(contexts[o]))
-            gamma = np.where(total > 0, d * kinds / np.maximum(total, 1e-300), 1.0)
-            bo[:, j] = np.log(gamma)
-            low = np.searchsorted(union[o - 1], union[o] & np.uint64((1 << 16 * o) - 1))
-            p[:, j] = gamma[ctx_of] * lower_p[low, j]
-            p[at, j] += np.maximum(c - d, 0) / total[ctx]
-        lower_p = p
-        logp.append(np.log(np.maximum(p, 1e-300)).astype(np.float32))
-        backoff.append(bo.astype(np.float32))
-    return Models(langs, union, logp, contexts, backoff, np.log(np.maximum(unseen_p, 1e-300)).astype(np.float32), alphabet)
+def _sums_of(b: pa.RecordBatch, n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums, symbols and letters from columns 0 to 2; null counts as empty."""
+    lists = b.column(0).to_pylist()
+    sums = np.array([s or [0] * n_langs for s in lists], np.int64).reshape(len(lists), n_langs)
+    return sums, b.column(1).fill_null(0).to_numpy(zero_copy_only=False), b.column(2).fill_null(False).to_numpy(zero_copy_only=False)
 
 
 def calibrate(models: Models, train: DataFrame) -> Models:
-    """Rejection limits and the sharpness of scores from all labelled texts
-    (text, lang): a row per task and language leaves the tasks."""
+    """Rejection limits and the sharpness of scores from all training texts
+    (text, lang), each scored by the model that leaves out its fold: exact
+    counts by language and cross-entropy, in bins of 1 / BINS nats."""
     if not models.langs:
         return models
-    shared = share(train.sparkSession, models)
+    spark = train.sparkSession
+    decider = share(spark, models.decider())
     names = [f"loss{k}" for k in range(len(SHARPNESS))]
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("own", pa.float64()), ("best", pa.float64()), *[(c, pa.float64()) for c in names]])
+    schema = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("n", pa.int64()), *[(c, pa.float64()) for c in names]])
+    ddl = "lang string, bin int, n long, " + ", ".join(f"{c} double" for c in names)
 
-    def run(it):
-        m = shared()
+    def tally(held, m, sums, lens, letters, langs):
         place = {lang: j for j, lang in enumerate(m.langs)}
-        n, loss = np.zeros(len(place), np.int64), np.zeros((len(SHARPNESS), len(place)))
-        own, best = np.full(len(place), -np.inf), np.full(len(place), -np.inf)
-        for b in it:
-            _, offs = text_buffer(b.column(0))
-            for lo, hi in row_blocks(offs):
-                ent, letters = m.entropies(b.column(0).slice(lo, hi - lo).to_pylist())
-                truth = np.array([place.get(lang, -1) for lang in b.column(1).slice(lo, hi - lo).to_pylist()])
-                known = letters & (truth >= 0)
-                e, t = ent[known], truth[known]
-                at, least = e[np.arange(len(t)), t], e.min(1)
-                n += np.bincount(t, minlength=len(place))
-                np.maximum.at(own, t, at)
-                np.maximum.at(best, t, least)
-                for k, s in enumerate(SHARPNESS):
-                    each = np.log(np.exp(-s * (e - least[:, None])).sum(1)) + s * (at - least)
-                    loss[k] += np.bincount(t, each, len(place))
-        seen = np.flatnonzero(n)
-        yield batch(schema, [m.langs[j] for j in seen], n[seen], own[seen], best[seen], *loss[:, seen])
-
-    ddl = "lang string, n long, own double, best double, " + ", ".join(f"{c} double" for c in names)
-    parts = train.select("text", "lang").mapInArrow(tidy(run), ddl)
-    rows = {r.lang: r for r in parts.groupBy("lang").agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.max("best").alias("best"), *[F.sum(c).alias(c) for c in names]).collect()}
+        truth = np.array([place.get(lang, -1) for lang in langs], np.int64)
+        known = letters & (truth >= 0)
+        if not known.any():
+            return
+        e, t = m.entropies(sums, lens)[known], truth[known]
+        own, least = e[np.arange(len(t)), t], e.min(1)
+        losses = [np.log(np.exp(-s * (e - least[:, None])).sum(1)) + s * (own - least) for s in SHARPNESS]
+        cell, inv = np.unique(np.stack([t, np.ceil(own * BINS).astype(np.int64)]), axis=1, return_inverse=True)
+        sizes = np.bincount(inv.ravel(), minlength=cell.shape[1])
+        each = [np.bincount(inv.ravel(), x, cell.shape[1]) for x in losses]
+        for k in range(cell.shape[1]):
+            row = np.array([sizes[k], *[x[k] for x in each]])
+            held[tuple(cell[:, k])] = held.get(tuple(cell[:, k]), 0) + row
+
+    def rows_of(held, m):
+        if held:
+            at, rows = np.array(list(held)), np.array(list(held.values()))
+            yield batch(schema, [m.langs[j] for j in at[:, 0]], at[:, 1].astype(np.int32), rows[:, 0].astype(np.int64), *rows[:, 1:].T)
+
+    if all(len(models.parts[f]) == 1 for f in (0, 1)):
+        left_out = [share(spark, models.load(f, 0)) for f in (0, 1)]
+
+        def run(it):
+            m, parts, held = decider(), [x() for x in left_out], {}
+            for b in it:
+                folds = b.column(2)
+                for f in (0, 1):
+                    mine = b.filter(pc.equal(folds, f))
+                    for lo, hi, sums, lens, letters in scored_by(parts[f], mine.column(0)):
+                        tally(held, m, sums, lens, letters, mine.column(1).slice(lo, hi - lo).to_pylist())
+            yield from rows_of(held, m)
+
+        parts = train.select("text", "lang", text_fold()).mapInArrow(tidy(run), ddl)
+    else:
+
+        def run(it):
+            m, held = decider(), {}
+            for b in it:
+                tally(held, m, *_sums_of(b, len(m.langs)), b.column(3).to_pylist())
+            yield from rows_of(held, m)
+
+        parts = None
+        for f in (0, 1):
+            mine = train.where(text_fold() == f)
+            joined = mine.select("lang", F.sha2("text", 256).alias("digest")).join(text_sums(mine, models, f), "digest")
+            some = joined.select("sums", "lens", "letters", "lang").mapInArrow(tidy(run), ddl)
+            parts = some if parts is None else parts.union(some)
+    rows = parts.groupBy("lang", "bin").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).collect()
     if not rows:
         return models
-    top = max(r.best for r in rows.values())
-    models.limits = np.array([(rows[lang].own if lang in rows and rows[lang].n >= 30 else top) + REJECT_MARGIN for lang in models.langs])
+
+    def quantile(some) -> float:
+        """The upper edge of the bin that reaches LIMIT_QUANTILE of the texts."""
+        some = sorted((r.bin, r.n) for r in some)
+        reach = np.cumsum([n for _, n in some])
+        return some[int(np.searchsorted(reach, LIMIT_QUANTILE * reach[-1]))][0] / BINS
+
+    of = {lang: [r for r in rows if r.lang == lang] for lang in models.langs}
+    limits = {lang: quantile(some) for lang, some in of.items() if sum(r.n for r in some) >= FEW_TEXTS}
+    widest = max(limits.values(), default=0.0)
+    for lang in models.langs:  # few texts: at least the widest limit, and their own highest
+        limits.setdefault(lang, max([widest, *[r.bin / BINS for r in of[lang]]]))
+    models.limits = np.array([limits[lang] for lang in models.langs]) + REJECT_MARGIN
     # the sharpness of greatest likelihood, of a few
-    models.sharpness = SHARPNESS[int(np.argmin([sum(r[c] for r in rows.values()) for c in names]))]
+    models.sharpness = SHARPNESS[int(np.argmin([sum(r[c] for r in rows) for c in names]))]
     return models
 
 
-def fit_language_models(docs: DataFrame) -> Models:
+def fit_language_models(docs: DataFrame, part_grams: int | None = None) -> Models:
     """Models from documents (doc_id, text, lang) of the training fold."""
-    spark = docs.sparkSession
     alphabet = Alphabet(symbol_table(), astral_letters())
     train = docs.where(train_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    models = fit(collected(ngram_counts(train, share(spark, alphabet))), alphabet)
-    return calibrate(models, train)
+    grams = materialise(ngram_counts(train, share(docs.sparkSession, alphabet)), "language-grams", compact=True)
+    return calibrate(Models(grams, alphabet, part_grams or PART_GRAMS), train)
 
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -342,28 +549,53 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pr
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:
     """Predicted language of every document."""
-    shared = share(docs.sparkSession, models)
+    spark = docs.sparkSession
+    decider = share(spark, models.decider())
+    if len(models.parts[FULL]) > 1:
+
+        def join(it):
+            m = decider()
+            for b in it:
+                yield batch(_RESULT, b.column(3), b.column(4), *m.predict(*_sums_of(b, len(m.langs))))
+
+        ids = docs.select("doc_id", held_out().alias("held_out"), F.sha2("text", 256).alias("digest"))
+        found = ids.join(text_sums(docs.select("text"), models, FULL), "digest", "left")
+        return found.select("sums", "lens", "letters", "doc_id", "held_out").mapInArrow(tidy(join), RESULT)
+    shared = share(spark, models.load(FULL, 0) if models.langs else Part(models.alphabet, 0, []))
 
     def run(it):
-        m = shared()
+        m, part = decider(), shared()
         for b in it:
-            _, offs = text_buffer(b.column(1))
-            for lo, hi in row_blocks(offs):
-                lang, score, rejected = m.predict(b.column(1).slice(lo, hi - lo).to_pylist())
-                yield batch(_RESULT, b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), lang, score, rejected)
+            for lo, hi, sums, lens, letters in scored_by(part, b.column(1)):
+                yield batch(_RESULT, b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), *m.predict(sums, lens, letters))
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(tidy(run), RESULT)
 
 
 def keeps_language(docs: DataFrame, models: Models) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
-
-    def decide(m: Models, arr: pa.Array) -> np.ndarray:
-        _, offs = text_buffer(arr)
-        parts = [m.predict(arr.slice(lo, hi - lo).to_pylist())[2] for lo, hi in row_blocks(offs)]
-        return ~np.concatenate([np.zeros(0, bool), *parts])
-
-    return keep_rows(docs, "text", share(docs.sparkSession, models), decide)
+    spark = docs.sparkSession
+    if not models.langs:
+        return docs.where(F.lit(False))
+    decider = share(spark, models.decider())
+    if len(models.parts[FULL]) > 1:
+
+        def keep(it):
+            m = decider()
+            for b in it:
+                yield b.filter(pa.array(~m.predict(*_sums_of(b, len(m.langs)))[2]))
+
+        sums = text_sums(docs.select("text"), models, FULL).select("sums", "lens", "letters", F.col("digest").alias("_kept_digest"))
+        kept = sums.mapInArrow(tidy(keep), sums.schema).select("_kept_digest")
+        return docs.join(kept, F.sha2(docs["text"], 256) == kept["_kept_digest"], "left_semi")
+    whole = share(spark, models.load(FULL, 0))
+
+    def decide(both, arr: pa.Array) -> np.ndarray:
+        m, part = both
+        rest = [m.predict(sums, lens, letters)[2] for _, _, sums, lens, letters in scored_by(part, arr)]
+        return ~np.concatenate([np.zeros(0, bool), *rest])
+
+    return keep_rows(docs, "text", lambda: (decider(), whole()), decide)
 
 
 @query("op10_langid")

@@ -4,6 +4,8 @@ that hold nulls, empty and very long texts, ties, repeats and extra columns."""
 import hashlib
 import re
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -288,10 +290,73 @@ def test_language_probabilities_sum_to_one():
         key, _ = langid.keys_of(*alphabet.symbols([text] * 3))
         counts[lang] = tuple(a.astype(t) for a, t in zip(np.unique(key, return_counts=True), (np.uint64, float), strict=True))
     m = langid.fit(counts, alphabet)
+    symbols = {int(s) for _, _, t in m.tables for s in t.keys[0]} | {0x7777}  # one that no text has
     for context in (0x0020_0020_0020, 0x0020_0061_0062, 0x007A_0079_007A, 0x0070_0070_0070):
-        keys = np.array([(context << 16) | int(s) for s in m.keys[0]], np.uint64)
-        total = np.exp(m.log_probs(keys).astype(float)).sum(0) + np.exp(m._lookup(np.array([(context << 16) | 0x7777], np.uint64), 4).astype(float))[0]
-        assert np.allclose(total, 1, atol=1e-4)
+        keys = np.array([(context << 16) | s for s in symbols], np.uint64)
+        assert np.allclose(np.exp(m.log_probs(keys) / langid.SCALE).sum(0), 1, atol=1e-4)
+
+
+def brute_kneser_ney(counts, vocab):
+    """log p of a 4-gram, by the textbook's recursion over dictionaries."""
+    mask = [(1 << 16 * o) - 1 for o in range(5)]
+    orders = {4: dict(counts)}
+    for o in (3, 2, 1):
+        orders[o] = {}
+        for k in orders[o + 1]:
+            orders[o][k & mask[o]] = orders[o].get(k & mask[o], 0) + 1
+    d = {}
+    for o, of in orders.items():
+        n1, n2 = (sum(c == x for c in of.values()) for x in (1, 2))
+        d[o] = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+
+    def p(key, o):
+        if o == 0:
+            return 1 / vocab
+        rest = {k: c for k, c in orders[o].items() if k >> 16 == (key & mask[o]) >> 16}
+        total = sum(rest.values())
+        if not total:
+            return p(key, o - 1)
+        return max(rest.get(key & mask[o], 0) - d[o], 0) / total + d[o] * len(rest) / total * p(key, o - 1)
+
+    return lambda key: math.log(p(key, 4))
+
+
+def test_language_models_equal_brute_force(spark):
+    """Counts, lower orders, discounts and back-off, of all texts and of the
+    texts outside each fold, in one part and in many."""
+    rnd = np.random.default_rng(4)
+    words = {"x": ["abba", "cab", "bad", "dab", "a"], "y": ["zyx", "abz", "yy", "xyz"], "z": ["éa", "ça"]}
+    rows = [(i, " ".join(rnd.choice(words[lang], 3)), lang) for i, lang in enumerate(rnd.choice(["x", "y", "z"], 60, p=[0.5, 0.4, 0.1]).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = docs.where(langid.train_fold()).select("text", "lang", langid.text_fold().alias("fold")).collect()
+    alphabet = langid.Alphabet(langid.symbol_table(), langid.astral_letters())
+    probe, _ = langid.keys_of(*alphabet.symbols([r[1] for r in rows] + ["abzzé 漢字 qa"]))
+    probe = np.unique(probe)
+    one, many = (langid.fit_language_models(docs, n) for n in (1_000_000, 12))
+    assert len(one.parts[langid.FULL]) == 1 and len(many.parts[langid.FULL]) > 4
+    assert one.limits.tolist() == many.limits.tolist() and one.sharpness == many.sharpness
+    for model in (0, 1, langid.FULL):
+        counts = {lang: {} for lang in one.langs}
+        for r in train:
+            if r.fold != model:
+                for k in langid.keys_of(*alphabet.symbols([r.text]))[0].tolist():
+                    counts[r.lang][k] = counts[r.lang].get(k, 0) + 1
+        vocab = len({k & 0xFFFF for c in counts.values() for k in c}) + 1
+        want = np.array([[f(int(k)) for f in (brute_kneser_ney(counts[lang], vocab) for lang in one.langs)] for k in probe])
+        whole = one.load(model, 0).log_probs(probe)
+        assert np.allclose(whole / langid.SCALE, want, atol=1e-5)
+        assert (sum(many.load(model, at).log_probs(probe) for at in range(len(many.parts[model]))) == whole).all()
+
+
+def test_many_parts_give_the_same_rows(spark, edge_dir):
+    docs = doc_frame(spark, edge_dir)
+    learned = table(spark, edge_dir, "documents", "doc_id", "text", "lang")
+    one, many = (langid.fit_language_models(learned, n) for n in (10_000_000, 300))
+    assert len(many.parts[langid.FULL]) > 1 and len(one.parts[langid.FULL]) == 1
+    assert sorted(map(repr, langid.identify(docs, many).collect())) == sorted(map(repr, langid.identify(docs, one).collect()))
+    kept = langid.keeps_language(docs, many)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, langid.keeps_language(docs, one).collect()))
 
 
 def test_ngrams_do_not_cross_texts():

@@ -31,22 +31,38 @@ def test_rare_language_keeps_its_model(spark):
     hot = [(i, " ".join("".join(w) for w in rnd.choice(list("abcdefghijklmnopqrstuvwxyzäöüßéèàç"), (6_000, 9))), "hot") for i in range(90)]
     rare = [(1_000 + i, f"ζωγράφος δένδρον ποταμός {'αβγδε'[i % 5]}λλο", "rare") for i in range(12)]
     m = langid.fit_language_models(spark.createDataFrame(hot + rare, "doc_id long, text string, lang string").repartition(8))
-    assert m.langs == ["hot", "rare"] and len(m.keys[3]) > 1_000_000
-    assert m.predict(["ο ποταμός"])[0] == ["rare"]
+    assert m.langs == ["hot", "rare"] and m.grams.where("model = 2 AND lang = 'hot'").count() > 1_000_000
+    assert predicted(m, ["ο ποταμός"]) == ["rare"]
 
 
-def test_limits_come_from_every_training_text(spark):
-    """One unusual text, long, among more texts than a calibration sample had."""
-    rows = [(i, f"the river runs by the old mill {'abcdefgh'[i % 8]}", "en") for i in range(4_500)]
-    odd = " ".join(f"qx{a}{b}zv" for a in "bcdfghjklmnp" for b in "rstvwxz")
-    rows += [(i, " ".join([odd] * 60), "en") for i in (9_000, 9_002)]  # 0 or 1 of them is held out
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+def predicted(m, texts):
+    sums = lens = letters = 0
+    for at in range(len(m.parts[langid.FULL])):
+        more, lens, letters = m.load(langid.FULL, at).sums(texts)
+        sums = sums + more
+    return m.predict(sums, lens, letters)[0]
+
+
+def test_limits_are_quantiles_of_all_held_out_texts(spark):
+    """All training texts count, whole, each scored without its half; one odd
+    label among thousands does not move a limit."""
+    rows = [(i, f"the river {'runs rolls flows'.split()[i % 3]} by the old mill {i * 7919 % 613:03d} {'abcdefgh'[i % 8]}", "en") for i in range(4_500)]
+    odd = [(i, " ".join(f"qx{a}{b}zv" for a in "bcdfghjklmnp" for b in "rstvwxz") * 60, "en") for i in (9_000, 9_002)]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows + odd, schema).repartition(8)
     m = langid.fit_language_models(docs)
-    train = [r.text for r in docs.where(langid.train_fold()).collect()]
-    ent, _ = m.entropies(train)
-    assert len(train) > 2_000 and max(map(len, train)) > 20_000
-    assert max(e for t, e in zip(train, ent[:, 0], strict=True) if len(t) < 100) < ent.max() - 0.1
-    assert np.allclose(m.limits, ent.max(0) + langid.REJECT_MARGIN)
+    train = docs.where(langid.train_fold()).select("text", langid.text_fold().alias("fold")).collect()
+    own = np.zeros(len(train))
+    for f in (0, 1):
+        at = [i for i, r in enumerate(train) if r.fold == f]
+        keys, _ = langid.keys_of(*m.alphabet.symbols([r.text for r in train if r.fold != f]))
+        k, c = np.unique(keys, return_counts=True)
+        sums, lens, _ = langid.fit({"en": (k, c)}, m.alphabet).sums([train[i].text for i in at])
+        own[at] = m.entropies(sums, lens)[:, 0]
+    bins = np.sort(np.ceil(own * langid.BINS))
+    want = bins[int(np.ceil(langid.LIMIT_QUANTILE * len(bins))) - 1] / langid.BINS + langid.REJECT_MARGIN
+    assert len(train) > 2_000 and max(len(r.text) for r in train) > 20_000
+    assert np.allclose(m.limits, want) and want < own.max() + langid.REJECT_MARGIN
 
 
 # -- 7 ------------------------------------------------------------------------
