@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from donorlift.functions import codes as fx
+from donorlift.operators import encode as en
 from donorlift.operators import sampling as sm
 from donorlift.operators import segments as sg
 from donorlift.operators import transformers as tr
@@ -155,6 +156,41 @@ def q_csv_roundtrip(spark, sf_dir):
     return back
 
 
+@register(
+    "files_read_back",
+    with_views(["members", "scored"], """
+SELECT c.c_custkey AS member_id, s.target_b, s.target_d, s.d_hat,
+  CAST(CASE WHEN c.c_nationkey IS NULL THEN NULL WHEN z.k IS NOT NULL THEN z.lat
+       WHEN m.region IN ('MIDDLE EAST') THEN 38.8719 ELSE 0.0 END AS DOUBLE) AS latitude,
+  CAST(CASE WHEN c.c_nationkey IS NULL THEN NULL WHEN z.k IS NOT NULL THEN z.lon
+       WHEN m.region IN ('MIDDLE EAST') THEN -77.0563 ELSE 0.0 END AS DOUBLE) AS longitude
+FROM customer c JOIN members m ON c.c_custkey = m.member_id JOIN scored s ON c.c_custkey = s.member_id
+LEFT JOIN (SELECT n_nationkey AS k, n_nationkey * 3.0 - 36.0 AS lat, n_regionkey * 60.0 - 120.0 + n_nationkey AS lon
+           FROM nation WHERE n_nationkey % 4 <> 0) z ON c.c_nationkey = z.k"""),
+    ids="S2 S3 S9 J1 E1",
+)
+def q_files_read_back(spark, sf_dir):
+    """The targets file, the centroid file and the result file, each written as
+    CSV, read back by its reader and attached to the members."""
+    root = _scratch(spark, "files")
+    t = _t(spark, sf_dir)
+    scored = si.scored(t)
+    fl.write_result_csv(scored, "member_id", "d_hat", f"{root}/result")
+    scored.select("member_id", "target_b", "target_d").write.option("header", True).csv(f"{root}/targets")
+    t.nation.where(F.col("n_nationkey") % 4 != 0).select(
+        F.col("n_nationkey").alias("ZIP"),
+        (F.col("n_nationkey") * 3.0 - 36.0).alias("INTPTLAT"),
+        (F.col("n_regionkey") * 60.0 - 120.0 + F.col("n_nationkey")).alias("INTPTLONG"),
+    ).write.option("header", True).csv(f"{root}/centroids")
+    base = t.customer.select(F.col("c_custkey").alias("member_id"), F.col("c_nationkey").alias("zip")).join(
+        si.members(t).select("member_id", "region"), "member_id")
+    points = fl.read_centroids(spark, f"{root}/centroids", ["ZIP", "INTPTLAT", "INTPTLONG"])
+    located = en.coords_lookup(base, "zip", "region", points, ["MIDDLE EAST"])
+    out = located.join(fl.read_targets(spark, f"{root}/targets", "member_id", "target_b", "target_d"), "member_id")
+    out = out.join(fl.read_result_csv(spark, f"{root}/result", "member_id", "d_hat"), "member_id")
+    return out.select("member_id", "target_b", "target_d", "d_hat", "latitude", "longitude")
+
+
 def _wide(spark, sf_dir):
     return si.history_wide(_t(spark, sf_dir))
 

@@ -1,4 +1,4 @@
-"""File sources and sinks.
+"""File sources and sinks.
 
 S1  comma-separated member files read with every column as text, per-column
     missing-value codes turned into NULL in one projection (a blank is a
@@ -6,7 +6,9 @@ S1  comma-separated member files read with every column as text, per-column
 S4/S5  stage tables written to / read from Parquet under a store root;
 S6  a stage is produced on demand: read it if stored, else build it from
     the stage before it and store it (a Parquet cut between stages);
-S9  the result file: (key, predicted amount) as CSV.
+S2  the targets file of the validation set: (key, responded, amount);
+S3  the centroid file, its columns renamed to (key, lat, lon);
+S9  the result file: (key, predicted amount) as CSV, written and read.
 """
 
 from __future__ import annotations
@@ -54,6 +56,24 @@ def write_result_csv(df: DataFrame, key: str, value: str, path: str) -> None:
     df.select(key, value).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_result_csv(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """S9 read back: one row per line; a value that is no number is null."""
+    return read_coded_csv(spark, path, [key, value], types={key: "bigint", value: "double"})
+
+
+def read_targets(spark: SparkSession, path: str, key: str, flag: str, amount: str) -> DataFrame:
+    """The targets of a validation set, to be attached by ``key``."""
+    return read_coded_csv(spark, path, [key, flag, amount], types={key: "bigint", flag: "int", amount: "double"})
+
+
+def read_centroids(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """S3: the file's key, latitude and longitude ``columns`` as (key, lat,
+    lon), numbers; lines without a key are left out."""
+    types = dict(zip(columns, ("bigint", "double", "double"), strict=True))
+    rows = read_coded_csv(spark, path, columns, types=types)
+    return rows.toDF("key", "lat", "lon").where(F.col("key").isNotNull())
+
+
 class StageStore:
     """Stages as Parquet directories under ``root`` (a shared folder
     on a cluster).  ``provide`` returns a stored stage or builds it from the
