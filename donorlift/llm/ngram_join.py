@@ -14,8 +14,11 @@ lie within a factor of 4/3.
    shingle are brought together by a shuffle; shingles with the same members
    count as one group.  Inside a group an odd sketch (each shingle flips one of
    about n bits) gives a lower bound of the symmetric difference; classes
-   within reach of each other are chained.  Components of these chains are
-   the candidate groups: all links lie inside one.
+   within reach of each other are chained.  A group of over SPLIT_MEMBERS is
+   cut into cells of two neighbouring sizes, and a cell that is still larger
+   is joined to hubs without a comparison.  Components of all these are the
+   candidate groups: all links lie inside one.  No task holds a hot shingle:
+   the classes of recurring ones are dealt out in salted parts.
 3. *Prefix trees.*  The sets of a group, in ascending order of hashes, form a
    radix tree whose inner edges hold shared beginnings once.  Every set walks
    it level by level; the overlap with an edge counts for all sets below it,
@@ -39,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from donorlift.llm.common import ASCII_LOWER, batch, byte_class, materialise, mix, row_blocks, share, table, text_buffer, tidy, word_bounds, word_hashes
@@ -62,8 +65,8 @@ SKETCH_BITS = (256, 1 << 16)
 #: Member classes whose ids are broadcast to their texts; more are joined by a
 #: shuffle.
 BROADCAST_MEMBERS = 100_000
-#: Members up to which a group is split by sketches; a larger one is one chain.
-SPLIT_MEMBERS = 4_096
+#: Members up to which a group is split by sketches.
+SPLIT_MEMBERS = 1_024
 #: Members of a block of a large group, at least and at most.
 BLOCK_MEMBERS = (64, 4_000)
 #: Shingles of a block.
@@ -179,18 +182,19 @@ def recurring(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 # -- 2. candidates -----------------------------------------------------------
-_PREFIX = pa.schema([("token", pa.int64()), ("c", pa.int64())])
+_PREFIX = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("hot", pa.bool_())])
 
 
 def prefix_rows(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, c): the first shingles of every class, once per task."""
+    """(token, c, hot): the first shingles of every class, once per task; hot
+    are the recurring ones."""
     shared = share(docs.sparkSession, heavy)
 
     def run(it):
         tokens, place = shared()
         seen: set[bytes] = set()
         for b in it:
-            out_t, out_c = [], []
+            out_t, out_c, out_h = [], [], []
             for s in sets_of(b.column(0)):
                 if not len(s):
                     continue
@@ -199,25 +203,68 @@ def prefix_rows(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFr
                     continue
                 seen.add(d)
                 p = prefix_length(len(s))
+                rank = np.zeros(len(s), np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     rank = np.where(tokens[at] == s, place[at], 0)
-                    s = s[np.argsort(rank, kind="stable")] if rank.any() else s
+                    if rank.any():
+                        order = np.argsort(rank, kind="stable")
+                        s, rank = s[order], rank[order]
                 out_t.append(s[:p])
                 out_c.append(np.full(min(p, len(s)), class_key(d), np.int64))
+                out_h.append(rank[:p] > 0)
             if out_t:
-                yield batch(_PREFIX, np.concatenate(out_t).view(np.int64), np.concatenate(out_c))
+                yield batch(_PREFIX, np.concatenate(out_t).view(np.int64), np.concatenate(out_c), np.concatenate(out_h))
 
-    return docs.select("text").mapInArrow(tidy(run), "token long, c long")
+    return docs.select("text").mapInArrow(tidy(run), "token long, c long, hot boolean")
 
 
 def candidate_groups(prefixes: DataFrame) -> DataFrame:
-    """(g, c): classes by shared prefix shingle; shingles with the same members
-    are one group (equal hash sums can only join groups)."""
-    by_token = Window.partitionBy("token")
-    once = prefixes.withColumn("before", F.lag("c").over(by_token.orderBy("c"))).where(F.col("before").isNull() | (F.col("before") != F.col("c")))
-    rows = once.select("c", F.count(F.lit(1)).over(by_token).alias("k"), F.bit_xor(F.xxhash64("c")).over(by_token).alias("g"))
-    return rows.where("k > 1").select(F.xxhash64("g", "k").alias("g"), "c").distinct()
+    """(g, k, c): classes by shared prefix shingle, k of them; shingles with the
+    same members are one group (equal hash sums can only join groups).
+
+    A shingle's rows meet in one task; those of a recurring one are dealt to
+    several by class, and its at most HEAVY_ROWS sums are broadcast."""
+    salts = 4 * prefixes.sparkSession.sparkContext.defaultParallelism
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("c"), F.lit(salts))).otherwise(0)
+    part = Window.partitionBy("token", "salt")
+    count, members = F.count(F.lit(1)), F.bit_xor(F.xxhash64("c"))
+    once = prefixes.withColumn("salt", salt).withColumn("before", F.lag("c").over(part.orderBy("c"))).where(F.col("before").isNull() | (F.col("before") != F.col("c")))
+    rows = once.select("token", "c", "hot", count.over(part).alias("k"), members.over(part).alias("g"))
+    rows = materialise(rows.where("hot or k > 1"), "prefixes", compact=True)
+    often = rows.where("hot").select("token", "c")
+    sums = often.groupBy("token").agg(count.alias("k"), members.alias("g"))
+    shared = rows.where("not hot").select("g", "k", "c").unionAll(often.join(F.broadcast(sums), "token").where("k > 1").select("g", "k", "c"))
+    return shared.select(F.xxhash64("g", "k").alias("g"), "k", "c").distinct()
+
+
+def size_bucket() -> Column:
+    """Linked sets have sizes within a factor of 4/3: their buckets are the same
+    or neighbours."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + F.lit(1e-9)).cast("int")
+
+
+def possible_links(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect whatever classes of a group may link."""
+    large = groups.where(F.col("k") > SPLIT_MEMBERS).select("g", "c").join(classes.select("c", "n"), "c")
+    cells = large.select("c", F.explode(F.array(F.xxhash64("g", size_bucket()), F.xxhash64("g", size_bucket() + 1))).alias("g"))
+    cells = materialise(cells.distinct(), "cells", compact=True)
+    sizes = cells.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    cells = cells.join(sizes, "g")
+    few = groups.where(F.col("k") <= SPLIT_MEMBERS).select("g", "c").unionAll(cells.where(F.col("k") <= SPLIT_MEMBERS).select("g", "c"))
+    return chains(few.join(classes.select("c", "n", "sketch"), "c")).unionAll(hubs(cells.where(F.col("k") > SPLIT_MEMBERS)))
+
+
+def hubs(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that make one component of each group (g, c) of k members:
+    salted parts of about SPLIT_MEMBERS around their least class, which are
+    chained."""
+    parts = F.ceil(F.col("k") / SPLIT_MEMBERS)
+    salted = members.select("g", "c", F.pmod(F.xxhash64("c"), parts).alias("salt"))
+    heads = salted.groupBy("g", "salt").agg(F.min("c").alias("hub"))
+    last = F.lag("hub").over(Window.partitionBy("g").orderBy("salt"))
+    between = heads.select(F.col("hub").alias("a"), last.alias("b")).where("b is not null")
+    return salted.join(heads, ["g", "salt"]).select(F.col("c").alias("a"), F.col("hub").alias("b")).unionAll(between)
 
 
 def fold(sketches: np.ndarray, width: int) -> np.ndarray:
@@ -270,7 +317,7 @@ def chains(members: DataFrame) -> DataFrame:
     which may link; rows come sorted by group, one group at a time is held."""
 
     def run(it):
-        group, c, n, bits, last = None, [], [], [], None
+        group, c, n, bits = None, [], [], []
 
         def close():
             if len(c) < 2:
@@ -280,24 +327,13 @@ def chains(members: DataFrame) -> DataFrame:
                 yield batch(_EDGE, ids[:-1], ids[1:])
 
         for b in it:
-            cols = [b.column(k).to_pylist() for k in range(4)]
-            loose: list[tuple[int, int]] = []
-            for g, cc, nn, ss in zip(*cols, strict=True):
+            for g, cc, nn, ss in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if g != group:
                     yield from close()
-                    group, c, n, bits, last = g, [], [], [], None
-                if last is not None:
-                    loose.append((last, cc))
-                    last = cc
-                    continue
+                    group, c, n, bits = g, [], [], []
                 c.append(cc)
                 n.append(nn)
                 bits.append(ss)
-                if len(c) > SPLIT_MEMBERS:  # too many to compare: one chain
-                    loose += zip(c[:-1], c[1:], strict=True)
-                    last, c, n, bits = cc, [], [], []
-            if loose:
-                yield batch(_EDGE, [a for a, _ in loose], [z for _, z in loose])
         yield from close()
 
     return members.select("g", "c", "n", "sketch").repartition(F.col("g")).sortWithinPartitions("g", "c").mapInArrow(tidy(run), "a long, b long")
@@ -480,8 +516,7 @@ def tiles(members: DataFrame) -> DataFrame:
     """Rows (tile, part, side) of every member: small groups share tiles; of a
     large one, each member goes to every pair of blocks that it can link in.
     side: 0 queries and tree, 1 queries, 2 tree."""
-    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + F.lit(1e-9)).cast("int")
-    rows = members.withColumn("bucket", bucket)
+    rows = members.withColumn("bucket", size_bucket())
     groups = rows.groupBy("sg").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     least, most = BLOCK_MEMBERS
     block = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), 1.5 * F.sqrt("size")))
@@ -515,7 +550,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
 
     heavy = recurring(first.where(F.col("token").isNotNull()).select("token", "count"))
     groups = materialise(candidate_groups(prefix_rows(docs, heavy)), "groups", compact=True)
-    near = components(chains(groups.join(classes.select("c", "n", "sketch"), "c")), groups.count())
+    near = components(possible_links(groups, classes), 2 * groups.count())  # a class is in two cells of a group at most
     members = classes.join(near.select(F.col("node").alias("c"), F.col("label").alias("sg")), "c")
     members = materialise(members.select("digest", "rep", "sg", "n", "copies"), "members", compact=True)
 
@@ -539,9 +574,17 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the least doc_id, with all
-    its columns; documents without a doc_id stay, repeated rows become one."""
+    its columns; documents without a doc_id stay.  Of rows with equal id and
+    text one stays: that with the least hash of the other columns."""
     heads = jaccard_links(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__head")).distinct()
-    kept = docs.join(heads, docs["doc_id"] == F.col("__head"), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = docs.join(heads, docs["doc_id"] == F.col("__head"), "left_semi")
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    if rest:
+        others = F.struct(*[F.col(f"`{c}`") for c in rest])
+        kept = kept.groupBy("doc_id", "text").agg(F.min_by(others, F.xxhash64(F.to_json(others))).alias("__rest"))
+        kept = kept.select(*[F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns])
+    else:
+        kept = kept.distinct()
     return kept.unionAll(docs.where(F.col("doc_id").isNull()))
 
 

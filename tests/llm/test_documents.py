@@ -114,6 +114,37 @@ def test_one_of_each_group_stays(spark, edge_dir):
     assert kept.count(None) == 2
 
 
+def test_hot_shingles_give_the_same_groups(spark):
+    """Recurring shingles are counted in salted parts, with repeated rows."""
+    rows = [(t, c) for t in range(6) for c in range(3 + 40 * (t % 2))] + [(7, 1), (7, 1), (8, 5)]
+    found = []
+    for hot in (True, False):
+        prefixes = spark.createDataFrame([(t, c, hot) for t, c in rows + rows[:50]], "token long, c long, hot boolean").repartition(5)
+        found.append(sorted((r.k, r.c, r.g) for r in ngram_join.candidate_groups(prefixes).collect()))
+    assert found[0] == found[1] and len(found[0]) == 3 + 43  # tokens with the same classes are one group; lone ones are none
+
+
+def test_large_groups_are_cut_by_size(spark, monkeypatch):
+    """A group of unlike sizes is compared in cells of neighbouring sizes, and
+    classes whose sizes allow no link are not brought together."""
+    monkeypatch.setattr(ngram_join, "SPLIT_MEMBERS", 8)
+    sizes = [10] * 3 + [13] * 2 + [1000] * 4 + [30_000] * 12
+    classes = spark.createDataFrame([(c, n, bytes(32)) for c, n in enumerate(sizes)], "c long, n long, sketch binary")
+    groups = spark.createDataFrame([(1, len(sizes), c) for c in range(len(sizes))], "g long, k long, c long")
+    edges = [(r.a, r.b) for r in ngram_join.possible_links(groups, classes).collect() if r.a != r.b]
+    comp = list(range(len(sizes)))
+    for _ in sizes:
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert comp == [0] * 5 + [5] * 4 + [9] * 12
+
+
+def test_the_row_that_stays_does_not_depend_on_the_order(spark):
+    rows = [(1, "a b c d e f", f"s{k}", k) for k in range(6)] + [(2, "a b c d e f", None, None)]
+    kept = [ngram_join.one_of_each(spark.createDataFrame(some, "doc_id long, text string, source string, extra int").repartition(3)).collect() for some in (rows, rows[::-1])]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
 # -- 5 ------------------------------------------------------------------------
 def test_licences_equal_sql(spark, edge_dir, duck):
     same_as_sql(duck, licences.op5_licences(spark, edge_dir), licences.SQL)
