@@ -231,7 +231,8 @@ def candidate_groups(prefixes: DataFrame) -> DataFrame:
     count, members = F.count(F.lit(1)), F.bit_xor(F.xxhash64("c"))
     once = prefixes.withColumn("salt", salt).withColumn("before", F.lag("c").over(part.orderBy("c"))).where(F.col("before").isNull() | (F.col("before") != F.col("c")))
     rows = once.select("token", "c", "hot", count.over(part).alias("k"), members.over(part).alias("g"))
-    rows = materialise(rows.where("hot or k > 1"), "prefixes", compact=True)
+    # dealt anew, so that few files do not mean few tasks for the windows
+    rows = materialise(rows.where("hot or k > 1").repartition("c"), "prefixes", compact=True)
     often = rows.where("hot").select("token", "c")
     sums = often.groupBy("token").agg(count.alias("k"), members.alias("g"))
     shared = rows.where("not hot").select("g", "k", "c").unionAll(often.join(F.broadcast(sums), "token").where("k > 1").select("g", "k", "c"))
