@@ -128,14 +128,22 @@ def gift_windows(spark: SparkSession, sf_dir: str, window: str = "1 day", latene
     return _run_append(gift_window_agg(ev, window, lateness, slide), "gift-windows")
 
 
-def gift_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2 by calendar month: running gifts and amount per donor and month
-    (months are no fixed window, so the state is keyed by their first day)."""
-    ev = table_stream(spark, sf_dir, "events").where(F.col("event_type") == GIFT)
-    agg = ev.groupBy(F.trunc("ts", "month").alias("month"), "user_id").agg(
-        F.count(F.lit(1)).alias("n_gifts"), F.round(F.sum("value"), 2).alias("amount")
+def gift_months(spark: SparkSession, sf_dir: str, lateness: str = "31 days", files_per_trigger: int | None = None) -> DataFrame:
+    """T2 by calendar month: running gifts and amount per donor and month.
+    Months are no fixed window, so the stream adds up days, each under its
+    month; a day's state goes once the watermark has passed it, and later gifts
+    of that day are dropped.  The days become months when the result is read."""
+    ev = table_stream(spark, sf_dir, "events", files_per_trigger)
+    days = (
+        ev.where(F.col("event_type") == GIFT)
+        .withWatermark("ts", lateness)
+        .groupBy(F.window("ts", "1 day").alias("w"), F.trunc("ts", "month").alias("month"), "user_id")
+        .agg(F.count(F.lit(1)).alias("n_gifts"), F.sum("value").alias("amount"))
+        .select(F.col("w.start").alias("day"), "month", "user_id", "n_gifts", "amount")
+    )
+    return _run_update(days, "gift-months", ["day", "month", "user_id"]).groupBy("month", "user_id").agg(
+        F.sum("n_gifts").alias("n_gifts"), F.round(F.sum("amount"), 2).alias("amount")
     )
-    return _run_update(agg, "gift-months", ["month", "user_id"])
 
 
 def gift_window_agg(events: DataFrame, window: str = "1 day", lateness: str = "2 days", slide: str | None = None) -> DataFrame:
@@ -162,20 +170,24 @@ def running_rfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_update(agg, "running-rfa", ["user_id"])
 
 
-def responses_to_mailings(spark: SparkSession, sf_dir: str, within: str = "1 day") -> DataFrame:
+def responses_to_mailings(spark: SparkSession, sf_dir: str, within: str = "1 day", parts: int = 4) -> DataFrame:
     """T4: each gift matched to the mailings of the same donor in the
     preceding ``within`` (stream-stream inner join with time bounds and
-    watermarks on both sides, so join state is cleaned up)."""
+    watermarks on both sides, so join state is cleaned up).  AQE does not split
+    a hot key of a stream: a donor's gifts are dealt to ``parts`` by their id,
+    and each mailing goes to every part, so any number gives the same rows."""
     ev = table_stream(spark, sf_dir, "events")
     mail = ev.where(F.col("event_type") == MAILING).select(
-        F.col("event_id").alias("mailing_id"), F.col("user_id").alias("m_user"), F.col("ts").alias("mailed_ts")
+        F.col("event_id").alias("mailing_id"), F.col("user_id").alias("m_user"), F.col("ts").alias("mailed_ts"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("m_part"),
     ).withWatermark("mailed_ts", "2 days")
     gift = ev.where(F.col("event_type") == GIFT).select(
-        F.col("event_id").alias("gift_id"), F.col("user_id").alias("g_user"), F.col("ts").alias("gift_ts")
+        F.col("event_id").alias("gift_id"), F.col("user_id").alias("g_user"), F.col("ts").alias("gift_ts"),
+        F.pmod(F.xxhash64("event_id"), F.lit(parts)).cast("int").alias("g_part"),
     ).withWatermark("gift_ts", "2 days")
     j = mail.join(
         gift,
-        F.expr(f"m_user = g_user AND gift_ts >= mailed_ts AND gift_ts <= mailed_ts + interval {within}"),
+        F.expr(f"m_user = g_user AND m_part = g_part AND gift_ts >= mailed_ts AND gift_ts <= mailed_ts + interval {within}"),
         "inner",
     ).select("mailing_id", "gift_id", F.col("m_user").alias("user_id"), "mailed_ts", "gift_ts")
     return _run_append(j, "responses")

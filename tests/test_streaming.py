@@ -65,6 +65,26 @@ def test_redelivered_gift_dropped_across_batches(spark, tmp_path):
     assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3, 4]
 
 
+def test_months_drop_gifts_of_days_behind_the_watermark(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    at = lambda m, d: dt.datetime(2024, m, d, 12)
+    batches = [[(1, at(1, 1), 7, "purchase", 10.0), (2, at(1, 31), 7, "purchase", 1.0)],
+               [(3, at(4, 20), 7, "purchase", 2.0)],                  # moves the watermark to March
+               [(4, at(4, 21), 8, "view", 0.0)],
+               [(5, at(1, 1), 7, "purchase", 100.0), (6, at(4, 2), 7, "purchase", 4.0)]]  # dropped; counted
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(1.1)
+    got = {(str(r["month"]), r["user_id"]): (r["n_gifts"], r["amount"]) for r in st.gift_months(spark, str(tmp_path), files_per_trigger=1).collect()}
+    assert got == {("2024-01-01", 7): (2, 11.0), ("2024-04-01", 7): (2, 6.0)}
+
+
+def test_parts_of_a_hot_donor_give_the_same_responses(spark):
+    sf = "/root/testdata/sf0.001"
+    one, many = (st.responses_to_mailings(spark, sf, parts=k) for k in (1, 5))
+    assert one.count() > 0 and one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
 def test_running_rfa_keeps_the_latest_state(spark, tmp_path, monkeypatch):
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
     day = lambda d: dt.datetime(2024, 1, d, 12)
