@@ -8,7 +8,7 @@ digit ratio, character entropy, parameter counts, and label statistics of the
 host's last label and last two labels.  A labelled url's own label is taken out
 of its statistics (leave one out), so they do not give it away.
 
-Training takes at most ``TRAIN_URLS`` labelled urls, drawn by hash of the url;
+Training takes at most ``TRAIN_URLS`` labelled urls, drawn by hash of row and url;
 statistics cover all of them.  Everything runs as column expressions and MLlib.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
@@ -111,7 +111,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, train
     rows = with_parts(pages.select("page_id", "url"))
     rows = rows.withColumn("r", fitting_rule(rules, F.col("host"), F.col("path")))
     rows = rows.withColumn("label", F.when(F.col("r").isNotNull(), (F.col("r.verdict") == "block").cast("double")))
-    rows = materialise(lexical(rows).select("page_id", "host", "path", F.col("r.rule").alias("rule"), "label", F.xxhash64("url").alias("h"), "last", "pair", *FEATURES[:-4]), "urls")
+    rows = materialise(lexical(rows).select("page_id", "host", "path", F.col("r.rule").alias("rule"), "label", F.xxhash64("page_id", "url").alias("h"), "last", "pair", *FEATURES[:-4]), "urls")
     known = rows.where(F.col("label").isNotNull())
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).first()
     named = [F.col(c) for c in ("page_id", "host", "path", "rule")]

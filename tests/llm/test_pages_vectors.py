@@ -43,6 +43,17 @@ def test_url_trees_learn_from_decided_urls(spark):
     assert all(got[1000 + i] == ("block" if i % 2 else "allow") for i in range(20))
 
 
+def test_one_hot_url_does_not_break_the_bound(spark, monkeypatch):
+    """Rows of one url are drawn apart, so the sample stays near its bound."""
+    fitted = []
+    fit = urls.GBTClassifier.fit
+    monkeypatch.setattr(urls.GBTClassifier, "fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    monkeypatch.setattr(urls, "TREES", 2)
+    rows = [(i, "http://hot.net/a") for i in range(600)] + [(600 + i, f"http://h{i}.org/fr/{i}") for i in range(200)] + [(900, "http://x.io/")]
+    assert urls.judge(spark.createDataFrame(rows, "page_id long, url string"), train_urls=200).count() == len(rows)
+    assert len(fitted) == 1 and 120 < fitted[0] < 280
+
+
 def test_urls_without_labels_or_of_one_class(spark, empty_dir):
     df = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.com/"), (3, None)], "page_id long, url string")
     assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "block", 2: "block", 3: "block"}
