@@ -166,7 +166,7 @@ def skewness_report(df: DataFrame, cols: Sequence[str], top: int = 6) -> DataFra
     g = lv.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), F.skewness("value").alias("g1")
     )
-    n = F.col("n")
+    n = F.col("n").cast("double")  # n^3 passes a long at some two million rows
     big_g = F.try_divide(F.col("g1") * F.sqrt(n * (n - 1)), n - 2)
     ses = F.sqrt(F.try_divide(6 * n * (n - 1), (n - 2) * (n + 1) * (n + 3)))
     g = g.select("feature", "n", F.round(big_g, 4).alias("skewness"), ses.alias("_ses"))

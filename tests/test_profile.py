@@ -44,3 +44,10 @@ def test_big_integers_are_counted_exactly(spark):
     df = spark.range(100).selectExpr("id + 9007199254740993 AS big", "CAST(id AS DECIMAL(38,0)) + 90071992547409930000 AS dec", "id / 4.0D AS real")
     got = {r["feature"]: (r["n_distinct"], r["top1"]) for r in pf.column_profile(df, ["big", "dec", "real"]).collect()}
     assert got == {"big": (100, 1), "dec": (100, 1), "real": (100, 1)}
+
+
+def test_skewness_of_millions_of_rows(spark):
+    """The standard error's n^3 is beyond a long."""
+    df = spark.range(3_000_000).selectExpr("CASE WHEN id % 4 = 0 THEN 3 ELSE 0 END AS x", "id % 2 AS even")
+    got = {r["feature"]: (r["n"], r["skewness"], r["significant"]) for r in pf.skewness_report(df, ["x", "even"]).collect()}
+    assert got == {"x": (3_000_000, 1.1547, True), "even": (3_000_000, 0.0, False)}
