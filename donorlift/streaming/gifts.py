@@ -218,76 +218,108 @@ def score_stream(spark: SparkSession, sf_dir: str, model: PipelineModel, feature
 STATUS = "i int, recency string, frequency int, amount string, rfa string, star boolean, months_since_last int"
 
 
-def rfa_changes(gifts: DataFrame, campaigns: list[tuple], ref, scale: float, key: str = "member_id", lateness: str = "31 days") -> DataFrame:
+#: Groups that the members of a status stream are dealt to.
+STATUS_GROUPS = 1024
+
+
+def rfa_changes(gifts: DataFrame, campaigns: list[tuple], ref, scale: float, key: str = "member_id", lateness: str = "31 days", groups: int = STATUS_GROUPS) -> DataFrame:
     """E11 on a stream of gifts (key, gift_id, ts, amount): the status of a
     member at the sending date of each campaign (i, date), from the gifts
     before it.  A class ages without a new gift, so the status is not given
     when a gift arrives but by an event-time timer at each date, once the
     watermark has passed it.
 
-    State per member: for each day with gifts their number, the last one
-    and the card campaign that they answer -- at most as many entries as there
-    are days, however many gifts a member makes, and the same in whatever
-    order they arrive.  Gifts later than the watermark are dropped.  Dates
-    without an earlier gift give no row."""
+    Members are dealt to ``groups`` by hash; a group has one state and one
+    timer, and its members are judged together.  State: for each member and day
+    with gifts their number and the last one -- at most as many entries
+    as there are days, however many gifts a member makes, and the same in
+    whatever order they arrive -- and the dates that are done.  Gifts later than
+    the watermark are dropped.  Dates without an earlier gift give no row."""
     import datetime as dt
 
+    import numpy as np
     import pandas as pd
 
     from donorlift.operators import segments as sg
 
-    edges = [e * scale for e in sg.RFA_AMOUNT_EDGES]
-    codes, every = list(sg.RFA_AMOUNT_CODES), sg.CARD_EVERY
-    ref_month = ref.year * 12 + ref.month - 1
+    edges, codes = [e * scale for e in sg.RFA_AMOUNT_EDGES], np.array(sg.RFA_AMOUNT_CODES, object)
+    every, ref_month = sg.CARD_EVERY, ref.year * 12 + ref.month - 1
     first = dt.date(1970, 1, 1).toordinal()
     # a date counts as passed a day later, in any time zone of the session
-    dates = sorted(((d.toordinal() + 1 - first) * 86_400_000, d.toordinal(), i, d.year * 12 + d.month - 1) for i, d in campaigns)
-
-    def status(held: list[tuple], day: int, i: int, month: int):
-        """The status row from the entries (day, month, number, last gift id,
-        its amount, card) before the date; an entry is one day's gifts."""
-        before = [e for e in held if e[0] < day]
-        if not before:
+    dates = sorted(((d.toordinal() + 1 - first) * 86_400_000, d.toordinal() - first, i, d.year * 12 + d.month - 1) for i, d in campaigns)
+    kind = gifts.schema[key].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")  # kept as bytes, others as a list
+    names = [key, *[c.split()[0] for c in STATUS.split(", ")]]
+
+    def merged(member, day, n, gid, amount):
+        """One entry per member and day, in this order: gifts added up, the last one kept."""
+        order = np.lexsort((amount, gid, day, member))
+        member, day, n, gid, amount = (v[order] for v in (member, day, n, gid, amount))
+        new = np.ones(len(day), bool)
+        new[1:] = (member[1:] != member[:-1]) | (day[1:] != day[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(day)) - 1
+        return member[at], day[at], np.add.reduceat(n, at) if len(at) else n, gid[last], amount[last]
+
+    def status(held, day: int, i: int, month: int):
+        """The status rows of all members with an entry before the date."""
+        before = held[1] < day
+        member, days, n, _, amount = (v[before] for v in held)
+        if not len(days):
             return None
-        back = lambda e: month - e[1]
-        n12, n24, n36 = (sum(e[2] for e in before if lo <= back(e) <= hi) for lo, hi in ((-10**9, 12), (13, 24), (25, 36)))
-        last = max(before, key=lambda e: (e[0], e[3]))
-        cards = {e[5] for e in before if e[5]}
-        star = any(c + every in cards and c + 2 * every in cards for c in cards)
-        oldest, newest, n = max(map(back, before)), min(map(back, before)), sum(e[2] for e in before)
-        recency = "S" if star else "F" if oldest <= 6 and n == 1 else "N" if oldest <= 12 else "A" if newest <= 12 else "L" if newest <= 24 else "I"
-        frequency = min(4, max(1, {"L": n24, "I": n36}.get(recency, n12)))
-        band = next((c for e, c in zip(edges, codes, strict=False) if last[4] < e), codes[-1])
-        return i, recency, frequency, band, f"{recency}{frequency}{band}", star, newest
+        at = np.flatnonzero(np.append(True, member[1:] != member[:-1]))
+        last = np.append(at[1:], len(days)) - 1
+        months = days.astype("datetime64[D]").astype("datetime64[M]").astype("int64") + 1970 * 12
+        back = month - months
+        total = lambda v: np.add.reduceat(v, at)
+        n12, n24, n36 = (total(np.where((back >= lo) & (back <= hi), n, 0)) for lo, hi in ((-10**9, 12), (13, 24), (25, 36)))
+        card = -(-(ref_month - months) // 3) + 2
+        answers = (card <= 24) & (card % every == 0)
+        owner = np.repeat(np.arange(len(at)), last - at + 1)[answers]
+        low = card.min()
+        wide = int(card.max() - low) + 2 * every + 1
+        held_cards = owner * wide + (card[answers] - low)
+        star = np.zeros(len(at), bool)
+        star[owner[np.isin(held_cards + every, held_cards) & np.isin(held_cards + 2 * every, held_cards)]] = True
+        oldest, newest = back[at], back[last]
+        recency = np.select([star, (oldest <= 6) & (total(n) == 1), oldest <= 12, newest <= 12, newest <= 24], list("SFNAL"), "I").astype(object)
+        frequency = np.clip(np.where(recency == "L", n24, np.where(recency == "I", n36, n12)), 1, 4)
+        band = codes[np.searchsorted(edges, amount[last], side="right")]
+        rfa = recency + frequency.astype(str).astype(object) + band
+        return pd.DataFrame(dict(zip(names, (member[at], np.full(len(at), i), recency, frequency, band, rfa, star, newest), strict=True)))
 
     def step(keys, frames, state):
-        held = {e[0]: e for e in zip(*state.get, strict=True)} if state.exists else {}
-        passed, done, rows = state.getCurrentWatermarkMs(), held.pop(-1)[1] if held else 0, []
-        if not state.exists:  # dates that the stream has left behind came before the member's first gift
-            while done < len(dates) and dates[done][0] <= passed:
-                done += 1
+        done, held = 0, (np.zeros(0, "int64" if whole else object), *(np.zeros(0, t) for t in ("int32", "int64", "int64", "float64")))
+        if state.exists:
+            done, member, *rest = state.get
+            held = (np.frombuffer(member, "int64") if whole else np.array(member, object), *(np.frombuffer(v, h.dtype) for v, h in zip(rest, held[1:], strict=True)))
+        passed, more = state.getCurrentWatermarkMs(), [held]
         for pdf in frames if not state.hasTimedOut else ():
-            for gid, ts, amount in zip(pdf["gift_id"].tolist(), pdf["ts"].tolist(), pdf["amount"].tolist(), strict=True):
-                at, month = ts.date().toordinal(), ts.year * 12 + ts.month - 1
-                card = -(-(ref_month - month) // 3) + 2
-                _, _, n, *last, _ = held.get(at, (0, 0, 0, gid, amount, 0))
-                held[at] = (at, month, n + 1, *max((gid, amount), tuple(last)), card if card <= 24 and card % every == 0 else 0)
+            day = pdf["ts"].to_numpy().astype("datetime64[D]").astype("int32")
+            more.append((pdf["_member"].to_numpy(), day, np.ones(len(day), "int64"), pdf["gift_id"].to_numpy(), pdf["amount"].to_numpy(float)))
+        if len(more) > 1:
+            held = merged(*(np.concatenate(v) for v in zip(*more, strict=True)))
+        out = []
         while done < len(dates) and dates[done][0] <= passed:
-            row = status(list(held.values()), *dates[done][1:])
-            if row:
-                rows.append((keys[0], *row))
+            out.append(status(held, *dates[done][1:]))
             done += 1
-        held[-1] = (-1, done, 0, 0, 0.0, 0)
-        state.update(tuple(list(c) for c in zip(*held.values(), strict=True)))
+        if done == len(dates):  # nothing is left to judge
+            held = tuple(v[:0] for v in held)
+        member, *rest = held
+        state.update((done, member.astype("int64").tobytes() if whole else member.tolist(), *(v.tobytes() for v in rest)))
         if done < len(dates):
             state.setTimeoutTimestamp(dates[done][0])
-        if rows:
-            yield pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in STATUS.split(", ")]])
-
-    kind = gifts.schema[key].dataType.simpleString()
-    rows = gifts.select(key, "gift_id", "ts", "amount").withWatermark("ts", lateness)
-    kept = "day array<bigint>, month array<bigint>, n array<bigint>, gift_id array<bigint>, amount array<double>, card array<bigint>"
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {STATUS}", kept, "append", "EventTimeTimeout")
+        for rows in out:
+            if rows is not None:
+                yield rows if keys[0] >= 0 else rows.assign(**{key: None})  # members without a key are one member
+
+    member = F.coalesce(F.col(key), F.lit(0).cast(kind)).cast("bigint") if whole else F.coalesce(F.col(key), F.lit("").cast(kind))
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups))).cast("int")
+    rows = gifts.where(F.col("ts").isNotNull()).select(
+        group.alias("_group"), member.alias("_member"), F.coalesce(F.col("gift_id").cast("bigint"), F.lit(-(1 << 63))).alias("gift_id"), "ts", F.col("amount").cast("double").alias("amount")
+    ).withWatermark("ts", lateness)
+    kept = f"done int, member {'binary' if whole else f'array<{kind}>'}, day binary, n binary, gift_id binary, amount binary"
+    return rows.groupBy("_group").applyInPandasWithState(step, f"{key} {kind}, {STATUS}", kept, "append", "EventTimeTimeout")
 
 
 def rfa_status_stream(spark: SparkSession, sf_dir: str, campaigns: list[tuple], ref, scale: float, files_per_trigger: int | None = None) -> DataFrame:

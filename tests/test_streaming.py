@@ -119,3 +119,29 @@ def test_status_on_a_stream_of_many_batches_equals_the_history(spark, tmp_path):
     for folder, files in ((sf, None), (str(tmp_path), 1)):
         got = st.rfa_status_stream(spark, folder, dates, si.REF, si.SCALE, files).select(want.columns)
         assert got.count() > 100 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_status_of_members_in_few_states(spark, tmp_path):
+    """Members share states: so many at most as groups, whatever the key's
+    type, members without a key, and the number of groups."""
+    from donorlift.operators import segments as sg
+    from donorlift.sources import standin as si
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    # some without a key, some members with two gifts a day
+    orders = orders.withColumn("o_custkey", F.when(F.col("o_custkey") % 10 != 1, F.col("o_custkey") % 40)).withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    dates = [(r["i"], r["send_date"]) for r in si.campaigns(spark).collect()]
+    want = sg.rfa_history(si.gifts(si.Tables(spark, str(tmp_path))), si.campaigns(spark), si.REF, si.SCALE)
+    assert want.where("member_id IS NULL").count() > 0
+    for kind, groups in (("bigint", 4), ("string", 4), ("bigint", 1000)):
+        gifts = st.table_stream(spark, str(tmp_path), "orders").select(
+            F.col("o_custkey").cast(kind).alias("member_id"), F.col("o_orderkey").alias("gift_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("amount"))
+        name = f"status_{kind}_{groups}"
+        q = (st.rfa_changes(gifts, dates, si.REF, si.SCALE, groups=groups).writeStream.format("memory").queryName(name)
+             .option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= groups + 1
+        got = spark.table(name).withColumn("member_id", F.col("member_id").cast("bigint")).select(want.columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
