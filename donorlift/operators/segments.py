@@ -114,20 +114,42 @@ def rfa_status(gifts: DataFrame, ref, scale: float, key: str = "member_id") -> D
 
 def rfa_history(gifts: DataFrame, campaigns: DataFrame, ref, scale: float, key: str = "member_id") -> DataFrame:
     """The status at the sending date of every campaign, from the
-    gifts before it.  The campaigns (a fixed, small table) are a literal: each
-    gift goes to the dates after it and is combined on the map side."""
-    dates = F.array(*[F.struct(F.lit(r["i"]).alias("i"), F.lit(r["send_date"]).alias("sent")) for r in campaigns.orderBy("i").collect()])
-    card = F.ceil((fx.month_index(F.lit(ref)) - fx.month_index(F.col("gift_date"))) / 3).cast("int") + 2
-    g = gifts.select(key, "gift_id", "gift_date", "amount", F.explode(dates).alias("c")).where(F.col("gift_date") < F.col("c.sent"))
-    back = fx.month_index(F.col("c.sent")) - fx.month_index(F.col("gift_date"))
-    g = g.select(key, F.col("c.i").alias("i"), "gift_id", "gift_date", "amount", back.alias("back"), F.when((card <= 24) & (card % CARD_EVERY == 0), card).alias("ci"))
-    return _rfa_of(g, [key, "i"], scale)
+    gifts before it.  Gifts are combined on the map side to one entry per member
+    and day, and a member's days meet in one row, at most as many as there are
+    days; the campaigns (a fixed, small table) are a literal, and each date is
+    judged from that row, so no gift is sent once per date."""
+    sent = [(r["i"], r["send_date"]) for r in campaigns.orderBy("i").collect()]
+    dates = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("sent")) for i, d in sent])
+    month = fx.month_index(F.col("gift_date"))
+    card = F.ceil((fx.month_index(F.lit(ref)) - month) / 3).cast("int") + 2
+    days = gifts.where(F.col("gift_date") < F.lit(max((d for _, d in sent), default=None))).groupBy(key, "gift_date").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("gift_id", "amount")).alias("g"))
+    # ordered by date, then as the last gift of a day
+    entry = F.struct("gift_date", "g.gift_id", "g.amount", "n", month.alias("m"), F.when((card <= 24) & (card % CARD_EVERY == 0), card).alias("ci"))
+    held = days.groupBy(key).agg(F.collect_list(entry).alias("_days"))
+    each = held.select(key, "_days", F.explode(dates).alias("c")).select(
+        key, F.col("c.i").alias("i"), fx.month_index(F.col("c.sent")).alias("_m"), F.filter("_days", lambda d: d.gift_date < F.col("c.sent")).alias("_d")
+    ).where(F.size("_d") > 0)
+
+    def gifts_of(lo: int | None = None, hi: int | None = None):
+        back = lambda d: F.col("_m") - d.m
+        fits = lambda d: F.lit(True) if hi is None else back(d) <= hi if lo is None else back(d).between(lo, hi)
+        return F.aggregate("_d", F.lit(0).cast("long"), lambda n, d: n + F.when(fits(d), d.n).otherwise(0))
+
+    a = each.select(
+        key, "i",
+        (F.col("_m") - F.array_max("_d").m).alias("last_back"),
+        (F.col("_m") - F.array_min("_d").m).alias("first_back"),
+        gifts_of().alias("n"), gifts_of(hi=12).alias("n12"), gifts_of(13, 24).alias("n24"), gifts_of(25, 36).alias("n36"),
+        F.array_max("_d").alias("_last"),
+        F.array_compact(F.transform("_d", lambda d: d.ci)).alias("_cards"),
+    )
+    return _status_of(a, [key, "i"], scale)
 
 
 def _rfa_of(g: DataFrame, keys: Sequence[str], scale: float) -> DataFrame:
     """Status per ``keys`` from gifts with their months back and, if they
-    answer a card mailing, its number.  A class without a gift in its own
-    period counts as frequency 1, the least code."""
+    answer a card mailing, its number."""
     a = g.groupBy(*keys).agg(
         F.min("back").alias("last_back"),
         F.max("back").alias("first_back"),
@@ -138,6 +160,12 @@ def _rfa_of(g: DataFrame, keys: Sequence[str], scale: float) -> DataFrame:
         F.max(F.struct("gift_date", "gift_id", "amount")).alias("_last"),
         F.collect_set("ci").alias("_cards"),
     )
+    return _status_of(a, keys, scale)
+
+
+def _status_of(a: DataFrame, keys: Sequence[str], scale: float) -> DataFrame:
+    """Status from the figures of each of ``keys``.  A class without a gift in
+    its own period counts as frequency 1, the least code."""
     star = F.exists(
         "_cards",
         lambda x: F.array_contains("_cards", x + CARD_EVERY) & F.array_contains("_cards", x + 2 * CARD_EVERY),
