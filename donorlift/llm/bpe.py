@@ -4,6 +4,10 @@ The vocabulary file describes a word-level BPE: text is NFC-normalised, white
 space is dropped, letters are lower-cased, words are split by a fixed pattern,
 bytes become printable characters and the last one carries an end-of-word mark.
 
+The words of texts of printable ASCII and Latin letters are cut together, by the
+kinds of their bytes, and each distinct word of a block is looked up once; other
+texts are split one by one.
+
 Encoding holds every distinct short word of a block as one row of a contiguous
 matrix: its part ids (the part boundaries) and the merge rank of each pair of
 adjacent parts.  All rows are scanned for their minimum rank together; the
@@ -31,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +47,29 @@ SHORT_WORD = 40
 #: Words kept with their ids per task; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
 NO_RANK = np.int32(2**31 - 1)
-#: Text encoded at once, in bytes: more words of a block are new together.
-ENCODE_BYTES = 1 << 20
+#: Text encoded at once, in bytes: a word of a block is looked up once.
+ENCODE_BYTES = 1 << 22
 #: The pattern that has a plain twin for lower-cased texts of printable ASCII and
 #: the Latin letters of one byte, where the classes \\p{L} and \\p{N} are short.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN = "a-zß-öø-ÿ"
 
 
+def _byte_kinds() -> np.ndarray:
+    """What each byte of a lower-cased text is to KNOWN_PATTERN: 0 white space,
+    1 part of a letter, 2 digit, 3 other; 4 if the text holds more than printable
+    ASCII and LATIN (whose letters beyond ASCII are 0xC3 and one more byte)."""
+    kinds = np.full(256, 4, np.uint8)
+    kinds[33:127] = 3
+    kinds[48:58] = 2
+    kinds[[*range(97, 123), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = 1
+    kinds[[9, 10, 13, 32]] = 0
+    return kinds
+
+
+BYTE_KINDS = _byte_kinds()
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: bytes that print in
     Latin-1 stand for themselves, the others take 256, 257, ... in order."""
@@ -113,12 +133,16 @@ class WordBPE:
             return out
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[str]:
+    @staticmethod
+    def _lower(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case character by character: no final sigma
                 text = text.replace("Σ", "σ")
-        text = text.lower()
+        return text.lower()
+
+    def _plain(self, text: str) -> list[str]:
+        text = self._lower(text)
         if self.beyond_latin and not self.beyond_latin(text):
             return self.split_latin(text)
         return self.split_words(text)
@@ -249,10 +273,58 @@ class WordBPE:
 
     def encode_bytes(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.words(t) if t else [] for t in texts]
+        out: list[bytes | None] = [None if t else b"" for t in texts]
+        if self.beyond_latin:
+            some = [i for i, t in enumerate(texts) if t and not any(s in t for s in self.specials)]
+            for i, ids in zip(some, self._encode_latin([self._lower(texts[i]).encode("utf-8") for i in some]), strict=True):
+                out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        split = [self.words(texts[i]) for i in rest]
         self.learn(chain.from_iterable(split))
         get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        for i, ws in zip(rest, split, strict=True):
+            out[i] = b"".join(map(get, ws))
+        return out
+
+    def _encode_latin(self, texts: Sequence[bytes]) -> list[bytes | None]:
+        """The ids of lower-cased texts; None for texts of more than printable
+        ASCII and LATIN.  The words of all texts are cut together, by the kinds of
+        their bytes, and each distinct word is looked up once."""
+        if not texts:
+            return []
+        offs = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        kind = BYTE_KINDS[buf]
+        beyond = np.zeros(len(texts), bool)
+        beyond[np.searchsorted(offs, np.flatnonzero(kind == 4), "right") - 1] = True
+        if beyond.any():
+            kind[np.repeat(beyond, np.diff(offs))] = 0
+        inside = kind != 0
+        start = inside.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        # an apostrophe that begins a word takes the letters of a contraction with it
+        quote = np.flatnonzero(start[:-1] & (buf[:-1] == 39) & (kind[1:] == 1))
+        one, two = buf[quote + 1], buf[quote + 2]
+        size = np.where(np.isin(one, list(b"stmd")), 2, 0)
+        size[((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))] = 3
+        quote, size = quote[size > 0], size[size > 0]
+        start[quote + 1] = False
+        start[quote + size] |= kind[quote + size] == 1
+        first = np.append(np.flatnonzero(start[inside]), np.count_nonzero(inside))
+        words = pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer(first), pa.py_buffer(buf[inside])).dictionary_encode()
+        which = words.indices.to_numpy()
+        known = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), pa.scalar("\n", pa.large_string()))[0].as_py().split("\n") if len(which) else []
+        held = list(map(self.cache.get, known))
+        new = [k for k, ids in enumerate(held) if ids is None]
+        self.learn([known[k] for k in new])
+        for k in new:
+            held[k] = self.cache[known[k]]
+        flat, sizes = np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        begins, n = np.cumsum(sizes) - sizes, sizes[which]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[which] - ends + n, n)].tobytes()
+        cuts = (4 * np.append(0, ends)[np.searchsorted(np.flatnonzero(start), offs)]).tolist()
+        return [None if b else ids[lo:hi] for b, lo, hi in zip(beyond.tolist(), cuts, cuts[1:])]
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         return [np.frombuffer(b, "<u4") for b in self.encode_bytes(texts)]
