@@ -122,8 +122,7 @@ def q_fit_forest_amount(spark, sf_dir):
 @register("feature_importance", None, ids="A17 K3 M1")
 def q_feature_importance(spark, sf_dir):
     ff = feature_frame(spark, sf_dir)
-    m = md.forest_classifier().fit(ff.df)
-    return md.importance_table(m, ff.names, spark, top=50)
+    return md.ranked_importances(md.forest_importances(ff.df, md.forest_classifier()), ff.names, spark, top=50)
 
 
 @register("fit_enet", None, ids="M8")
