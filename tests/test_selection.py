@@ -55,3 +55,40 @@ def test_boruta_model_is_learned_stored_and_applied(spark, tmp_path):
     assert PipelineModel.load(str(tmp_path / "m")).transform(df.limit(3)).columns == ["k", "y", "good"]
     loose = md.boruta(md.FeatureFrame(md.with_class_weight(df, "y"), ["good", "bad", "worse"], "k"), "y", 8, trees=10, perc=50.0).collect()
     assert {r.feature for r in loose} == {"good", "bad", "worse"} and max(r.rounds for r in loose) <= 8
+
+
+def _labelled(spark, n=400):
+    rnd = random.Random(8)
+    rows = [(i, y, *[rnd.gauss(1.5 * y, 1), rnd.gauss(-y, 1), rnd.gauss(0, 1)]) for i in range(n) for y in [int(rnd.random() < 0.4)]]
+    df = spark.createDataFrame(rows, "k long, y int, good double, fair double, noise double").repartition(3).checkpoint()
+    return md.FeatureFrame(md.with_class_weight(df, "y"), ["good", "fair", "noise"], "k")
+
+
+def test_boruta_makes_a_round_s_shadows_once(spark, monkeypatch):
+    """A fit reads its rows several times; the shadows are not made anew each time."""
+    read, shadowed = spark.sparkContext.accumulator(0), md.shadowed
+
+    def counted(df, *args):
+        def run(batches):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        return shadowed(df.mapInArrow(run, df.schema), *args)
+
+    monkeypatch.setattr(md, "shadowed", counted)
+    md.boruta(_labelled(spark), "y", 2, trees=4)
+    assert read.value == 2 * 400
+
+
+def test_boruta_of_little_memory_fits_fewer_rounds_and_finds_the_same(spark, monkeypatch):
+    made, shadowed = [], md.shadowed
+    monkeypatch.setattr(md, "shadowed", lambda df, key, label, names, seed: made.append(seed) or shadowed(df, key, label, names, seed))
+    many = md.boruta(_labelled(spark), "y", 30, trees=6).collect()
+    at_first = len(made)
+    made.clear()
+    monkeypatch.setattr(md, "fits_at_once", lambda *_: 1)
+    assert md.boruta(_labelled(spark), "y", 30, trees=6).collect() == many
+    assert len(made) == max(r["rounds"] for r in many) <= at_first  # no round after the last decision
+    monkeypatch.undo()
+    assert md.fits_at_once(spark, 1 << 60, 8) == 1 and md.fits_at_once(spark, 1, 8) == 8
